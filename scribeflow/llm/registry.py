@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP1_SQL, op1_chat_format
 from .mixing import op9_mixing
+from .quality_classifier import op3_quality_classifier
+from .quality_rules import op10_quality_rules
 from .sharding import op5_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_sharding": op5_sharding,
     "op9_mixing": op9_mixing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
