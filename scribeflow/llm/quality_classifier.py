@@ -103,11 +103,9 @@ def corpus_contexts(docs: DataFrame) -> np.ndarray:
     """Unit context vectors by bucket over all texts: CONTEXT_BUCKETS rows, whatever the corpus."""
     names = [f"d{i}" for i in range(CONTEXT)]
     schema = "bucket int, seen long, " + ", ".join(f"{n} long" for n in names)
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
+    out = pa.schema([("bucket", pa.int32()), ("seen", pa.int64()), *((n, pa.int64()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = to_arrow_schema(T.StructType.fromDDL(schema))
         pairs, seen = np.zeros(CONTEXT_BUCKETS**2, np.int32), np.zeros(CONTEXT_BUCKETS, np.int64)
         for batch in batches:
             for piece in slices(batch):
