@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP1_SQL, op1_chat_format
+from .lm_scoring import op6_lm_scoring
 from .mixing import op9_mixing
 from .near_dedup import op8_near_dedup
 from .quality_classifier import op3_quality_classifier
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_sharding": op5_sharding,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
