@@ -13,6 +13,7 @@ from .mixing import op9_mixing
 from .near_dedup import op8_near_dedup
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op10_quality_rules
+from .sentence_pieces import op7_sentencepiece
 from .sharding import op5_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_sharding": op5_sharding,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
