@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP1_SQL, op1_chat_format
 from .fingerprints import op4_fingerprints
+from .html_extract import op2_html_extract
 from .lm_scoring import op6_lm_scoring
 from .mixing import op9_mixing
 from .near_dedup import op8_near_dedup
@@ -18,6 +19,7 @@ from .sharding import op5_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_html_extract": op2_html_extract,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_fingerprints": op4_fingerprints,
     "op5_sharding": op5_sharding,
