@@ -11,7 +11,9 @@
    bucket each class is compared with the next in order, one pair for each row, which joins most groups
    up. Completion: classes still in different components are compared wherever they share a shingle of
    their prefix in order of rarity; sets of similarity 0.75 must share one, so no link is lost, and pairs
-   within a component are not built. Components come from alternating large-star and small-star steps.
+   within a component are not built. Before full sets meet, parity bitmaps of 1024 bits rule out pairs
+   exactly: two sets differ in at least as many shingles as their bitmaps in bits. Components come from
+   alternating large-star and small-star steps.
 
 Defined results: null texts and texts without words have no shingles, link with nothing and stay; under
 five words the whole sequence is the one shingle; repeated ids keep one row each and share a component;
@@ -33,7 +35,7 @@ from .common import Scratch, lower_words, map_batches, mix, shingles
 N_BANDS, BAND = 50, 6
 T = N_BANDS * BAND
 #: Bands whose chains are compared before completion.
-CHAIN_BANDS = 8
+CHAIN_BANDS = 16
 #: Ids up to this many are broadcast to pick candidates' texts; beyond it the tables are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -99,13 +101,25 @@ def _sketch_batch(batch: pa.RecordBatch) -> Iterator[dict]:
     }
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """1024 bits as 16 longs: whether an odd number of the items fall on each."""
+    at = (mix(items ^ _ROUND[-1]) >> np.uint64(54)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=1024) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _shingle_batch(batch: pa.RecordBatch) -> Iterator[dict]:
     seen: dict[bytes, np.ndarray] = {}
     for t in batch.column("text").to_pylist():
         w = lower_words(t)
         if w:
-            seen.setdefault(class_of(w), shingles(w).view(np.int64))
-    yield {"cls": list(seen), "items": list(seen.values())}
+            seen.setdefault(class_of(w), shingles(w))
+    yield {"cls": list(seen), "n": [len(s) for s in seen.values()], "items": [s.view(np.int64) for s in seen.values()], "bits": [parity(s) for s in seen.values()]}
+
+
+def may_link(percent: int) -> str:
+    """SQL over na, nb, xa, xb: false only if sizes or bitmaps rule a similarity of percent / 100 out."""
+    apart = "aggregate(zip_with(xa, xb, (x, y) -> bit_count(x ^ y)), 0, (n, k) -> n + k)"
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {100 + percent} * (na + nb - {apart}) >= {2 * percent} * (na + nb)"
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -153,27 +167,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.write(map_batches(docs, _sketch_batch, "doc_id long, cls binary, n_shingles long, bands array<long>"), "rows")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    banded = classes.select("cls", "first_id", "n", F.posexplode("bands").alias("band", "bucket"))
+    banded = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
     bucket = Window.partitionBy("bucket")
     # The order within a bucket differs from band to band, so that chains of several bands add up.
     ordered = bucket.orderBy(F.xxhash64("cls", "band"), "cls")
     shared = banded.withColumn("before", F.lag("cls").over(ordered)).withColumn("after", F.lead("cls").over(ordered)).where("before is not null or after is not null")
-    shared = scratch.write(shared.select("cls", "first_id", "n", "band", "before"), "shared")
-    members = scratch.write(shared.groupBy("cls").agg(F.first("first_id").alias("first_id"), F.first("n").alias("n")), "members")
+    shared = scratch.write(shared.select("cls", "band", "before"), "shared")
+    members = scratch.write(classes.select("cls", "first_id").join(shared.select("cls").distinct(), "cls"), "members")
     if members.isEmpty():
         return _labelled(rows, classes.select("cls", F.col("cls").alias("root"), "first_id"))
     ids = members.select(F.col("first_id").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     picked = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    sets = map_batches(picked, _shingle_batch, "cls binary, items array<long>").groupBy("cls").agg(F.first("items").alias("items"))
+    sets = map_batches(picked, _shingle_batch, "cls binary, n int, items array<long>, bits array<long>").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "items", "bits")))
     sets = scratch.write(sets.join(members.select("cls"), "cls", "left_semi"), "sets")
     chains = shared.where((F.col("before").isNotNull()) & (F.col("band") < CHAIN_BANDS)).select(F.least("cls", "before").alias("a"), F.greatest("cls", "before").alias("b")).distinct()
-    size = members.select("cls", "n")
-    near = chains.join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-    links = scratch.write(verified(near, sets, percent), "links")
+    side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"))
+    near = chains.join(side("a"), "a").join(side("b"), "b").where(may_link(percent)).select("a", "b")
+    links = scratch.write(verified(scratch.write(near, "near"), sets, percent), "links")
     root = _roots(members, components(links, scratch, "first"))
-    more = scratch.write(verified(_completion(sets, root, scratch, percent), sets, percent), "more")
+    more = scratch.write(verified(scratch.write(_completion(sets, root, scratch, percent), "late"), sets, percent), "more")
     if not more.isEmpty():
         # Components of components: only their roots are linked further.
         of = root.select("cls", "root")
@@ -185,27 +198,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def _roots(members: DataFrame, found: DataFrame) -> DataFrame:
-    return members.join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("root"))
+    return members.join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
 
 
 def _completion(sets: DataFrame, root: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a prefix shingle and fit in size."""
     owned = scratch.write(sets.join(root, "cls").select("cls", "root", "n", F.explode("items").alias("item")), "items")
-    spread = owned.groupBy("item").agg(F.count("*").alias("freq"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    ranked = owned.join(spread, "item")
+    spread = owned.groupBy("item", "root").agg(F.count("*").alias("c")).groupBy("item").agg(F.sum("c").alias("freq"), F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"))
     rank = Window.partitionBy("cls").orderBy("freq", "item")
     # Sets of n and m items with similarity s share s / (1 + s) * (n + m) >= s * n items.
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    head = ranked.withColumn("at", F.row_number().over(rank)).where(F.col("at") <= prefix)
-    firsts = head.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("head"))
-    open_ = scratch.write(head.where("lo <> hi").select("cls", "root", "n", "item"), "open")
-    open_ = scratch.write(open_.join(firsts.join(open_.select("cls").distinct(), "cls", "left_semi"), "cls"), "heads")
-    left = open_.select("item", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("head").alias("ha"))
-    right = open_.select("item", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("head").alias("hb"))
-    fits = f"a < b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    # A pair is built at the first item that both heads have, so once.
-    once = F.get(F.array_intersect("ha", "hb"), F.lit(0)) == F.col("item")
-    return left.join(right, "item").where(fits).where(once).select("a", "b")
+    head = owned.join(spread, "item").withColumn("at", F.row_number().over(rank)).where((F.col("at") <= prefix) & (F.col("roots") > 1))
+    head = scratch.write(head.select("item", "cls", "root", "main").join(sets.select("cls", "n", "bits"), "cls"), "heads")
+    scratch.drop("items")
+    # An item's largest component never meets itself: only rows of the others stand on the left.
+    left = head.where("root <> main").select("item", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = head.select("item", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("bits").alias("xb"), (F.col("root") == F.col("main")).alias("big"))
+    return left.join(right, "item").where(f"ra <> rb AND (big OR a < b) AND {may_link(percent)}").select("a", "b").distinct()
 
 
 def _labelled(rows: DataFrame, heads: DataFrame) -> DataFrame:
