@@ -130,7 +130,7 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         gap = np.array([abs(len(left[i]) - len(right[i])) for i in todo])
         now, later = todo[gap <= m], todo[gap > m]
         failed = []
-        step = max(1, 4_000_000 // m)
+        step = max(1, 300_000 // m)
         for at in range(0, len(now), step):
             part = now[at : at + step]
             tables = []
@@ -209,7 +209,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _compare(ids, texts, t)
                 ids, texts, size = [], [], 0
                 continue
-            if size > 2_000_000 or len(ids) >= 500:
+            if size > 1_000_000 or len(ids) >= 250:
                 yield _compare(ids, texts, t)
                 ids, texts, size = [], [], 0
             ids.append(d)
