@@ -116,7 +116,7 @@ def corpus_contexts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at]), *(pa.array(sums[at, d]) for d in range(CONTEXT))], schema=out)
 
-    got = docs.select("text").mapInArrow(run, schema).groupBy("bucket").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in names)).toPandas()
+    got = docs.select("text").mapInArrow(run, schema).groupBy("bucket").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in names)).toArrow().to_pandas()
     table = np.zeros((CONTEXT_BUCKETS, CONTEXT))
     table[got["bucket"].to_numpy()] = got[names].to_numpy() / got[["seen"]].to_numpy()
     norm = np.linalg.norm(table, axis=1, keepdims=True)
@@ -210,7 +210,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": [x.tobytes() for x in pool(batch.column("text").to_pylist(), held.value)]}
 
-    got = map_batches(rows, run, "doc_id long, quality int, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    got = map_batches(rows, run, "doc_id long, quality int, x binary").toArrow().to_pandas().drop_duplicates("doc_id").sort_values("doc_id")
     if not len(got):
         return contexts, {"rate": 0.5}
     return contexts, train_network(np.stack([np.frombuffer(b, np.float32) for b in got["x"]]), got["quality"].to_numpy())

@@ -23,7 +23,7 @@ from .common import map_batches, mix, windows5, word_hashes
 
 BITS = 15
 #: Most labelled rows that the model is fitted on.
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 2500
 #: A document is kept if its calibrated probability of label 1 reaches this.
 THRESHOLD = 0.5
 MIN_WORDS = 10
@@ -101,21 +101,21 @@ def fit(ids: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, ep
     def pack(rows: np.ndarray):
         take = np.flatnonzero(rows)
         x = np.concatenate([ids[i] for i in take])
-        v = np.concatenate([weights[i] for i in take]).astype(np.float64)
-        r = np.repeat(np.arange(len(take)), [len(ids[i]) for i in take])
+        v = np.concatenate([weights[i] for i in take])
+        r = np.repeat(np.arange(len(take), dtype=np.int32), [len(ids[i]) for i in take])
         return x, v, r, labels[take].astype(np.float64)
 
     x, v, r, y = pack(~back)
     # Both labels weigh the same, else the rare one is hardly learnt; scaling undoes the shift.
     share = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
-    w, bias, l2 = np.zeros(_SIZE), 0.0, 1e-5
+    w, bias, l2 = np.zeros(_SIZE, np.float32), 0.0, 1e-5
     vw, vb = w.copy(), bias
     for t in range(epochs):
         z = np.bincount(r, weights=vw[x] * v, minlength=len(y)) + vb
-        g = (sigmoid(z) - y) * share
-        gw = np.bincount(x, weights=g[r] * v, minlength=_SIZE) + l2 * vw
-        nw, nb = vw - 4.0 * gw, vb - 4.0 * g.sum()
-        m = t / (t + 3)
+        g = ((sigmoid(z) - y) * share).astype(np.float32)
+        gw = np.bincount(x, weights=g[r] * v, minlength=_SIZE).astype(np.float32) + np.float32(l2) * vw
+        nw, nb = vw - np.float32(4.0) * gw, vb - 4.0 * g.sum()
+        m = np.float32(t / (t + 3))
         vw, vb = nw + m * (nw - w), nb + m * (nb - bias)
         w, bias = nw, nb
     slope, shift = 1.0, 0.0
@@ -155,7 +155,7 @@ def train_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
             v.append(w.tobytes())
         yield {"doc_id": ids, "quality": quality, "x": x, "v": v}
 
-    got = map_batches(rows, run, "doc_id long, quality int, x binary, v binary").toPandas()
+    got = map_batches(rows, run, "doc_id long, quality int, x binary, v binary").toArrow().to_pandas()
     got = got.drop_duplicates("doc_id").sort_values("doc_id", key=lambda s: mix(s.to_numpy(np.uint64)))
     y = got["quality"].to_numpy()
     if len(np.unique(y)) < 2:
