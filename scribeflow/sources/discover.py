@@ -10,6 +10,7 @@ import os
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +37,19 @@ def default_root(harness: str) -> str:
     return os.path.join(os.path.expanduser("~"), DEFAULT_ROOTS[harness])
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel, mtime_us, length) of all files below a root, contents unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
+def list_files(spark: SparkSession, root: str, hidden: str | None = None) -> DataFrame:
+    """(path, rel, mtime_us, length) of all files below a root, contents unread.
+
+    Listing passes over names that start with a dot; ``hidden`` is a pattern of such files to list too.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.load(root).select("path", "modificationTime", "length")
+    if hidden:
+        try:
+            files = files.unionByName(reader.load(f"{root.rstrip('/')}/{hidden}").select("path", "modificationTime", "length"))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
     clean = F.regexp_replace("path", r"^file:/*", "/")
     base = os.path.abspath(root.removeprefix("file:")).rstrip("/") + "/"
     return files.select("path", F.substring(clean, len(base) + 1, 1 << 20).alias("rel"), F.unix_micros("modificationTime").alias("mtime_us"), "length")
@@ -97,7 +108,7 @@ def scan(spark: SparkSession, root: str, harness: str, since_us: int | None = No
     refs_schema = "harness string, path string, session_id string, cwd string, git_branch string, harness_version string, is_subagent boolean, started_us long, mtime_us long, length long, subagent_paths array<string>"
     if not os.path.isdir(root.removeprefix("file:")) and "://" not in root:
         return Found(spark.createDataFrame([], refs_schema), spark.createDataFrame([(root, "root does not exist")], "path string, reason string"), empty)
-    files = classify(list_files(spark, root), harness)
+    files = classify(list_files(spark, root, "*" + _TRANSCRIPT if harness == "antigravity" else None), harness)
     if harness == "codex":
         files = files.where(in_day_window(F.col("rel"), since_us, until_us))
     agents = files.where("role = 'subagent'").groupBy("stem").agg(F.array_sort(F.collect_list("path")).alias("subagent_paths"))
