@@ -39,7 +39,7 @@ def water_fill(sizes: list[int], weights: list[float], most: float) -> list[floa
                 target[i] = unit * weights[i]
             break
         for i in over:
-            target[i] = most * sizes[i]
+            target[i] = float(most * sizes[i])
             left -= target[i]
         free = [i for i in free if i not in set(over)]
     return target
@@ -142,10 +142,28 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     # The document at the edge is taken if that comes nearer to the rest than leaving it.
     inside = inside.withColumn("repeats", F.coalesce(F.col("passes"), F.lit(0)) + (2 * (F.col("need") - F.col("_end") + F.col("size")) >= F.col("size")).cast("int")).drop("_end")
     rest = out.where(F.col("cut").isNull() | (F.col("_b") != F.col("cut"))).withColumn("repeats", F.coalesce(F.col("passes"), F.lit(0)) + F.coalesce((F.col("_b") < F.col("cut")).cast("int"), F.lit(0)))
-    both = inside.unionByName(rest).withColumn("taken", F.when(F.col("size") > 0, F.col("size") * F.col("repeats")).otherwise(F.lit(0)).cast("long"))
+    both = inside.unionByName(rest)
+    both = _evened(both, scratch, len(plan)).withColumn("taken", F.when(F.col("size") > 0, F.col("size") * F.col("repeats")).otherwise(F.lit(0)).cast("long"))
     return both.drop("_h", "_b", "_n", "cut", "need", "rest", "passes"), {"names": names, "held": held, "targets": targets}
 
 
+def _evened(both: DataFrame, scratch: Scratch, n_patterns: int) -> DataFrame:
+    """One document of each pattern changes sides where that brings the pattern nearer to its rest.
+
+    It is the one whose size is nearest to the gap, found by aggregation; one row for each pattern.
+    """
+    sides = both.where("size > 0 and rest > 0").select("pattern", "_h", "size", "rest", (F.col("repeats") - F.col("passes")).alias("sel"))
+    gaps = sides.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("sel"))).alias("gap"))
+    off = F.abs(F.abs("gap") - F.col("size"))
+    near = sides.join(F.broadcast(gaps) if n_patterns <= 100_000 else gaps, "pattern").where("(gap > 0 and sel = 0) or (gap < 0 and sel = 1)").where(off < F.abs("gap"))
+    flips = near.groupBy("pattern").agg(F.min_by(F.struct(F.col("_h").alias("_fh"), F.col("size").alias("_fs"), (1 - 2 * F.col("sel")).alias("_by")), F.struct(off, F.col("_h"))).alias("f"))
+    flips = scratch.write(flips.select("pattern", "f.*"), "flips")
+    flips = F.broadcast(flips) if n_patterns <= 100_000 else flips
+    out = both.join(flips, "pattern", "left")
+    hit = (F.col("_h") == F.col("_fh")) & (F.col("size") == F.col("_fs"))
+    return out.withColumn("repeats", F.col("repeats") + F.when(hit, F.col("_by")).otherwise(0)).drop("_fh", "_fs", "_by")
+
+
 def _scaled(targets: list[float], total: int) -> list[float]:
     """Overlapping sources count their common tokens twice; targets share each token once."""
     most = sum(targets)
