@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 MARK = "▁"
-#: Words and compatible pairs that a worker remembers before it starts anew.
+#: Words that a worker remembers before it starts anew.
 REMEMBER = 600_000
 
 
@@ -57,6 +57,9 @@ class Pieces:
     longest: int
     chars: frozenset[str]
     cut: re.Pattern
+    rank: dict[str, float] = field(default_factory=dict)
+    tails: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    splits: dict = field(default_factory=dict)
     pairs: dict = field(default_factory=dict)
     alone: dict = field(default_factory=dict)
     words: dict = field(default_factory=dict)
@@ -90,14 +93,19 @@ def load(data: bytes) -> Pieces:
     if min(byte_ids) < 0:
         raise ValueError("the model has no byte fallback")
     chars = frozenset(c for w in ids for c in w)
+    lengths: dict[str, set[int]] = {}
+    for w in ids:
+        if len(w) > 1:
+            lengths.setdefault(w[-2:], set()).add(len(w))
+    tails = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
     cut = re.compile(r" *[^ ]+| +" if "\n" in chars else r" *[^ \n]+| +|\n")
-    return Pieces(kind == 2, score, ids, text, byte_ids, model.normalizer_spec.add_dummy_prefix, unknown, max(map(len, ids)), chars, cut)
+    return Pieces(kind == 2, score, ids, text, byte_ids, model.normalizer_spec.add_dummy_prefix, unknown, max(map(len, ids)), chars, cut, {w: -x for w, x in score.items() if len(w) > 1}, tails)
 
 
-def merge(p: Pieces, word: str) -> list[str]:
-    """The pieces of a word by merging neighbours, best score first, then leftmost."""
+def merge(p: Pieces, word: str, until: int = 1) -> list[str]:
+    """The pieces of a word by merging neighbours, best score first, then leftmost; stops at ``until`` pieces."""
     parts = list(word)
-    while len(parts) > 1:
+    while len(parts) > until:
         best = max(((p.score[m], -i) for i in range(len(parts) - 1) if (m := parts[i] + parts[i + 1]) in p.score), default=None)
         if best is None:
             break
@@ -106,21 +114,44 @@ def merge(p: Pieces, word: str) -> list[str]:
     return parts
 
 
-def _compatible(p: Pieces, left: str, right: str) -> bool:
-    key = (left, right)
-    known = p.pairs.get(key)
+def _split(p: Pieces, piece: str) -> tuple[str, str] | None:
+    """The two parts that a piece's last merge joins; None for a single character."""
+    if len(piece) == 1:
+        return None
+    known = p.splits.get(piece)
     if known is None:
-        if len(p.pairs) > REMEMBER:
-            p.pairs.clear()
-        known = p.pairs[key] = merge(p, left + right) == [left, right]
+        known = p.splits[piece] = tuple(merge(p, piece, 2))
     return known
 
 
-def _reachable(p: Pieces, piece: str) -> bool:
-    known = p.alone.get(piece)
-    if known is None:
-        known = p.alone[piece] = merge(p, piece) == [piece]
-    return known
+def _compatible(p: Pieces, left: str, right: str) -> bool:
+    """Whether merging left + right ends in just these two, which both stand when merged alone.
+
+    Goes back through the merges on both sides of the border, latest first: the two are apart at the end
+    unless some pair across the border was due before a merge on either side took one of it away.
+    """
+    key = (left, right)
+    known = p.pairs.get(key)
+    if known is not None:
+        return known
+    if len(p.pairs) > 1_000_000:
+        p.pairs.clear()
+    rank, due = p.rank, np.inf
+    a, b = left, right
+    while True:
+        m = rank.get(a + b)
+        if m is not None and m < due:
+            break
+        ra, rb = (rank[a] if len(a) > 1 else -1.0), (rank[b] if len(b) > 1 else -1.0)
+        if ra < 0 and rb < 0:
+            p.pairs[key] = True
+            return True
+        if ra > rb:
+            due, a = ra, _split(p, a)[1]
+        else:
+            due, b = rb + 0.5, _split(p, b)[0]  # of equal merges the left one is first
+    p.pairs[key] = False
+    return False
 
 
 def encode_words(p: Pieces, words: list[str]) -> dict[str, list[int]]:
@@ -130,6 +161,7 @@ def encode_words(p: Pieces, words: list[str]) -> dict[str, list[int]]:
     #: For each prefix length: the start of the last piece, and the forward score (unigram models).
     start: list[int] = [0]
     total: list[float] = [0.0]
+    rank, tails, pairs, chars = p.rank, p.tails, p.pairs, p.chars
     worst = min(p.score.values(), default=0.0) - 10.0
     for word in sorted(words):
         shared = 0
@@ -139,14 +171,13 @@ def encode_words(p: Pieces, words: list[str]) -> dict[str, list[int]]:
             shared += 1
         del start[shared + 1 :], total[shared + 1 :]
         for i in range(shared + 1, len(word) + 1):
-            low = max(0, i - p.longest)
-            if word[i - 1] not in p.chars:
+            if word[i - 1] not in chars:
                 start.append(i - 1)
                 total.append(total[i - 1] + worst)
                 continue
             if not p.merges:
                 best, at = -np.inf, i - 1
-                for j in range(low, i):
+                for j in range(max(0, i - p.longest), i):
                     s = p.score.get(word[j:i])
                     if s is not None and total[j] + s > best:
                         best, at = total[j] + s, j
@@ -156,11 +187,26 @@ def encode_words(p: Pieces, words: list[str]) -> dict[str, list[int]]:
                 total.append(best)
                 continue
             at = i - 1
-            for j in range(low, i):
+            for n in tails.get(word[i - 2 : i], ()):  # lengths of pieces with this end, longest first
+                j = i - n
+                if j < 0:
+                    continue
                 piece = word[j:i]
-                if piece in p.score and (i - j == 1 or _reachable(p, piece)) and (j == 0 or word[j - 1] not in p.chars or _compatible(p, word[start[j] : j], piece)):
-                    at = j
-                    break
+                if piece not in rank:
+                    continue
+                alone = p.alone.get(piece)
+                if alone is None:
+                    alone = p.alone[piece] = merge(p, piece) == [piece]
+                if not alone:
+                    continue
+                if j and word[j - 1] in chars:
+                    known = pairs.get((word[start[j] : j], piece))
+                    if known is None:
+                        known = _compatible(p, word[start[j] : j], piece)
+                    if not known:
+                        continue
+                at = j
+                break
             start.append(at)
             total.append(0.0)
         ids, i = [], len(word)
