@@ -42,3 +42,8 @@ def uncovered_files(files: DataFrame, refs: DataFrame, skips: DataFrame, errors:
     """Paths that no reference, subagent list, skip or error accounts for."""
     seen = refs.select("path").unionByName(refs.select(F.explode("subagent_paths").alias("path"))).unionByName(skips.select("path")).unionByName(errors.select("path"))
     return files.select("path").join(seen.distinct(), "path", "left_anti")
+
+
+def first_claims(claims: DataFrame) -> DataFrame:
+    """(path, owner) of files that several probes claim: the first in ``ord`` owns a file."""
+    return claims.groupBy("path").agg(F.min_by("owner", F.struct("ord", "owner")).alias("owner"))

@@ -133,4 +133,5 @@ ORACLES: dict[str, str] = {
     "fetch_compression": "WITH x AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, strlen(regexp_replace(html, '<[^>]*>', '', 'g')) AS c, strlen(html) AS r FROM pages) SELECT host, sum(c)::BIGINT AS content_bytes, sum(r)::BIGINT AS raw_bytes, (sum(c) * 10000 // sum(r))::BIGINT AS per_myriad FROM x GROUP BY host",
     "probe_predicates": f"""WITH {_P}, a AS (SELECT session_key, bool_or(kind = 'assistant_message') AS has_answer FROM e GROUP BY session_key), b AS (SELECT session_key, bool_or(coalesce(tool_kind = 'fetch', false) AND n_results > 0) AS f, count(*) FILTER (WHERE has_call) >= 3 AS t FROM i GROUP BY session_key)
       SELECT session_key, has_answer, coalesce(f, false) AS fetch_answered, coalesce(t, false) AS three_calls FROM a LEFT JOIN b USING (session_key)""",
+    "first_claims": "SELECT user_id::VARCHAR AS path, arg_min(event_type, event_id) AS owner FROM events GROUP BY user_id",
 }

@@ -258,6 +258,12 @@ def interactions_predicates(spark, d):
     return answers.join(rows, "session_key", "left").select("session_key", "has_answer", F.coalesce("fetch_answered", F.lit(False)).alias("fetch_answered"), F.coalesce("three_calls", F.lit(False)).alias("three_calls"))
 
 
+def first_claims(spark, d):
+    """Users as files, event types as the probes that claim them, in order of their first event."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return validate.first_claims(e.select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("owner"), F.col("event_id").alias("ord")))
+
+
 QUERIES: dict[str, Query] = {
     "stats_summary": stats_summary,
     "event_kind_counts": event_kind_counts,
@@ -304,5 +310,6 @@ QUERIES: dict[str, Query] = {
     "harness_rollup": harness_rollup,
     "fetch_compression": fetch_compression,
     "probe_predicates": interactions_predicates,
+    "first_claims": first_claims,
 }
 

@@ -15,7 +15,7 @@ from scribeflow.plans.schema import EVENTS
 from scribeflow.sources import discover
 from scribeflow.sources.detect import detect
 from scribeflow.sources.lines import lines_of, read_lines
-from scribeflow.sources.transcripts import parse
+from scribeflow.sources.transcripts import Options, parse
 from scribeflow.streaming.sessions import activity, follow
 
 
@@ -163,3 +163,22 @@ def test_entry_and_queries(spark):
     assert {q for q in entry.queries() if not q.startswith("op") and q != "pipeline"} <= set(entry.oracle_sql())
     assert os.path.exists(SF)
     assert parse(lines_of(spark, {"a": CODEX}), "codex").errors.count() == 0
+
+
+def test_adapters_and_transforms(spark):
+    from scribeflow.operators.promote import promote_patch_apply, promote_web_search
+    from scribeflow.sources.registry import ADAPTERS, adapter_for, parse_with
+
+    assert list(ADAPTERS) == sorted(ADAPTERS)
+    assert parse_with(lines_of(spark, {"a": CODEX}), "codex", Options(), promote_web_search, promote_patch_apply).events.count() == 16
+    with pytest.raises(ValueError, match="unknown harness"):
+        adapter_for("none")
+
+
+def test_files_are_accounted_for(spark, tmp_path):
+    from scribeflow.operators.validate import uncovered_files
+
+    _tree(tmp_path)
+    for name, harness in (("c", "claude-code"), ("x", "codex")):
+        found = discover.scan(spark, str(tmp_path / name), harness)
+        assert uncovered_files(discover.list_files(spark, str(tmp_path / name)), found.refs, found.skips, found.errors).count() == 0
