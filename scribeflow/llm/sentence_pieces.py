@@ -34,7 +34,7 @@ from .common import map_batches
 
 MARK = "▁"
 #: Words that a worker remembers before it starts anew.
-REMEMBER = 600_000
+REMEMBER = 300_000
 
 
 def default_model() -> str:
@@ -134,7 +134,7 @@ def _compatible(p: Pieces, left: str, right: str) -> bool:
     known = p.pairs.get(key)
     if known is not None:
         return known
-    if len(p.pairs) > 1_000_000:
+    if len(p.pairs) > 400_000:
         p.pairs.clear()
     rank, due = p.rank, np.inf
     a, b = left, right
