@@ -74,13 +74,13 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """Runs ``fn`` over slices of Arrow batches; it yields dicts of columns for ``schema``."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, mb: float = 4.0) -> DataFrame:
+    """Runs ``fn`` over slices of about ``mb`` MB of Arrow batches; it yields dicts of columns for ``schema``."""
     out = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, mb=mb):
                 for columns in fn(piece):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in out],
