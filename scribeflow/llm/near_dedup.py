@@ -203,17 +203,23 @@ def _roots(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def _completion(sets: DataFrame, root: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a prefix shingle and fit in size."""
-    owned = scratch.write(sets.join(root, "cls").select("cls", "root", "n", F.explode("items").alias("item")), "items")
-    spread = owned.groupBy("item", "root").agg(F.count("*").alias("c")).groupBy("item").agg(F.sum("c").alias("freq"), F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"))
-    rank = Window.partitionBy("cls").orderBy("freq", "item")
+    # Classes and components go by numbers here, which are a third as wide as their digests.
+    members = scratch.write(sets.select("cls", "n", "bits").join(root, "cls").withColumn("id", F.monotonically_increasing_id()), "numbered")
+    members = members.join(members.groupBy("root").agg(F.min("id").alias("rid")), "root").select("cls", "id", "rid", "n", "bits")
+    owned = scratch.write(sets.select("cls", "items").join(members, "cls").select("id", "rid", "n", F.explode("items").alias("item")), "items")
+    spread = owned.groupBy("item", "rid").agg(F.count("*").alias("c")).groupBy("item").agg(F.sum("c").alias("freq"), F.count("*").alias("roots"), F.max_by("rid", F.struct("c", "rid")).alias("main"))
+    # Items of one set alone are the rarest; they are counted, not ranked.
+    by = Window.partitionBy("id")
+    alone = F.col("n") - F.count("*").over(by)
+    at = alone + F.row_number().over(by.orderBy("freq", "item"))
     # Sets of n and m items with similarity s share s / (1 + s) * (n + m) >= s * n items.
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    head = owned.join(spread, "item").withColumn("at", F.row_number().over(rank)).where((F.col("at") <= prefix) & (F.col("roots") > 1))
-    head = scratch.write(head.select("item", "cls", "root", "main").join(sets.select("cls", "n", "bits"), "cls"), "heads")
+    head = owned.join(spread.where("freq > 1"), "item").withColumn("at", at).where((F.col("at") <= prefix) & (F.col("roots") > 1))
+    head = scratch.write(head.select("item", "id", "main").join(members, "id"), "heads")
     scratch.drop("items")
     # An item's largest component never meets itself: only rows of the others stand on the left.
-    left = head.where("root <> main").select("item", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = head.select("item", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("bits").alias("xb"), (F.col("root") == F.col("main")).alias("big"))
+    left = head.where("rid <> main").select("item", F.col("cls").alias("a"), F.col("rid").alias("ra"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = head.select("item", F.col("cls").alias("b"), F.col("rid").alias("rb"), F.col("n").alias("nb"), F.col("bits").alias("xb"), (F.col("rid") == F.col("main")).alias("big"))
     return left.join(right, "item").where(f"ra <> rb AND (big OR a < b) AND {may_link(percent)}").select("a", "b").distinct()
 
 
