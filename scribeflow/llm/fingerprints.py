@@ -38,7 +38,7 @@ _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
 
 
 def paragraphs(raw: bytes) -> np.ndarray:
-    """Distinct 64-bit digests of the paragraphs, one for each occurrence."""
+    """Distinct 64-bit digests of the paragraphs, one for each occurrence, in order."""
     if not raw:
         return np.zeros(0, np.uint64)
     a = np.frombuffer(raw, np.uint8)
@@ -49,15 +49,17 @@ def paragraphs(raw: bytes) -> np.ndarray:
         h = (h ^ a[at - k]) * np.uint32(0x01000193)
     cut = at[(((h * np.uint32(2654435761)) >> np.uint32(29)) == 0) | (a[at] == 10)]
     ends = [*(cut + 1).tolist(), len(raw)]
-    out, start, seen = [], 0, {}
+    out, turns, start, seen = [], [], 0, {}
     for end in ends:
         piece = raw[start:end].strip()
         start = end
         if piece:
             n = seen.get(piece, 0)
             seen[piece] = n + 1
-            out.append(xxhash.xxh3_64_intdigest(piece, seed=n))
-    return np.array(out, np.uint64)
+            out.append(xxhash.xxh3_64_intdigest(piece))
+            turns.append(n)
+    # Seeds of the hash itself make short pieces collide; two equal digests could never be peeled.
+    return np.unique(mix(np.array(out, np.uint64) ^ mix(np.array(turns, np.uint64))))
 
 
 def _cells(digests: np.ndarray, m: int) -> np.ndarray:
