@@ -175,6 +175,23 @@ def test_op6_distributions_sum_to_one():
     assert np.allclose(p[:, :-1].sum(1) + p[:, -1] * (lm_scoring.SYMBOLS - len(trie.alphabet)), 1, atol=1e-5)
 
 
+def test_op6_keeps_every_run(spark):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz éя"))
+    texts = ["".join(letters[rng.integers(0, len(letters), 2000)]) for _ in range(110)]
+    assert len(lm_scoring.runs(texts)[0]) > 200_000  # far more than one driver-sized model used to keep
+    docs = spark.createDataFrame([*enumerate(texts), (900, texts[3][:300] + "zzQ" + texts[70][500:800]), (901, "")], "doc_id long, text string")
+    model = lm_scoring.AdaptiveModel()
+    for t in texts:
+        history = [0] * lm_scoring.ORDER
+        for s in [*(b + 1 for b in t.encode()), 0]:
+            model.learn(history, s)
+            history = [*history, s][-lm_scoring.ORDER :]
+    got = {r["doc_id"]: r["score"] for r in rows_of(lm_scoring.score_documents(docs.where("doc_id in (0, 109) or doc_id >= 900"), docs.where("doc_id < 900")))}
+    for r in docs.where("doc_id in (0, 109) or doc_id >= 900").collect():
+        assert got[r["doc_id"]] == pytest.approx(model.score(r["text"], learn=False), rel=1e-5)
+
+
 def test_op7_equals_the_library_and_round_trips(spark, sf):
     import sentencepiece
 
