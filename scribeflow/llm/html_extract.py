@@ -2,8 +2,8 @@
 
 Pass 1 scans each page's containers, scores them by the text of their blocks that is neither link nor
 boilerplate, and votes for the generalised path (tags with classes, digits folded) of the best one. Spark
-adds the votes up by host. Pass 2 extracts again from all containers on the host's winning path, or
-from the page's own best one where the path is not there or holds little of its text.
+adds the votes up by host. Pass 2 extracts again from all containers on the host's winning path where they
+hold nearly all of the page's text that is not boilerplate, else from them and the page's own best one.
 
 Left out are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and
 reader comments, told by tag, role or words of class and id; headings in an article's own header stay.
@@ -59,6 +59,10 @@ _GOOD = frozenset("article post entry story content main articlebody body text".
 _KEEP_CLASS = frozenset("html body main".split())
 
 
+#: The share of a page's text, without boilerplate, that a container must hold for the rest to be left out.
+NEARLY_ALL = 0.9
+
+
 class Page:
     """Containers and text blocks of a page: parallel lists, containers in page order."""
 
@@ -249,9 +253,8 @@ def _own_best(page: Page, weight: list[float]) -> int:
         best = max(below, key=lambda i: (weight[i], -i))
         if weight[best] <= 0:
             return at
-        need = 0.7 if page.good[at] else 0.4 if page.good[best] else 0.55
-        alike = sum(weight[i] for i in below if page.path[i] == page.path[best])
-        if weight[best] < need * weight[at] or alike > 1.4 * weight[best]:
+        # Of a part that sounds like the article nothing is left out, and little of any other.
+        if weight[best] < (weight[at] if page.good[at] else NEARLY_ALL * weight[0]):
             return at
         at = best
 
@@ -265,18 +268,18 @@ def vote(text: str | None) -> tuple[str, float]:
 
 
 def extract(text: str | None, path: str | None = None) -> str:
-    """The main text, from the containers on ``path`` where they hold enough of it."""
+    """The main text, from the containers on ``path`` alone where they hold nearly all of it."""
     page = parse(text or "")
     blocks, weight = _settle(page)
     best = _own_best(page, weight)
     roots = {best}
-    if path is not None and path != page.path[best]:
-        found = [i for i in range(1, len(page.path)) if page.path[i] == path]
-        held = sum((weight[i] for i in found), 0.0)
-        if held > 0 and (held >= 0.25 * weight[best] or path.rpartition(">")[2].partition(".")[0] in ("article", "main")):
-            roots = set(found)
-    elif path is not None:
-        roots = {i for i in range(len(page.path)) if page.path[i] == path}
+    if path is not None:
+        found = {i for i in range(len(page.path)) if page.path[i] == path}
+        article = any(page.good[i] for i in _above(page, best))
+        if not article and sum((weight[i] for i in found), 0.0) >= NEARLY_ALL * weight[0] > 0:
+            roots = found
+        else:
+            roots |= found
     inside = [False] * len(page.parent)
     for i in range(len(inside)):
         inside[i] = i in roots or (i > 0 and inside[page.parent[i]])

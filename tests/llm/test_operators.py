@@ -77,6 +77,30 @@ def test_op2_layouts():
         assert html_extract.extract(page) == want, page
 
 
+def test_op2_keeps_split_articles():
+    long = [f"Paragraph {i} of the story goes on for quite some words here." for i in range(10)]
+    p = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    for left in (3, 4, 6, 7):
+        for name in ("a", "story"):
+            page = f"<body><nav>menu</nav><div class='{name}'>{p(long[:left])}</div><div class='b'>{p(long[left:])}</div><footer>f</footer></body>"
+            assert html_extract.extract(page) == "\n".join(long)
+            for path in (f">body>div.{name}", ">body>div.b", ">body>div.elsewhere"):
+                assert html_extract.extract(page, path) == "\n".join(long), (left, name, path)
+    page = f"<body><div class='main'><section class='body'>{p(long[:3])}</section><section class='more'>{p(long[3:])}</section></div></body>"
+    assert html_extract.extract(page, ">body>div.main>section.body") == "\n".join(long)
+    page = f"<body><article><div class='x'>{p(long[:9])}</div>{p(long[9:])}</article></body>"
+    assert html_extract.extract(page) == html_extract.extract(page, ">body>article>div.x") == "\n".join(long)
+
+
+def test_op2_minority_layouts(spark):
+    long = [f"Paragraph {i} of the story goes on for quite some words here." for i in range(10)]
+    story = "".join(f"<p>{x}</p>" for x in long)
+    pages = [(i, f"https://h.example/{i}", f"<body><article>{story}</article></body>") for i in range(5)]
+    pages.append((9, "https://h.example/9", f"<body><div class='story'>{story}</div><article><p>A card.</p></article></body>"))
+    got = {r["page_id"]: r["text"] for r in rows_of(html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert all(got[i] == "\n".join(long) for i in range(5)) and set(long) <= set(got[9].split("\n"))
+
+
 def test_op3_learns_and_covers_all_rows(spark, sf):
     got = rows_of(quality_classifier.op3_quality_classifier(spark, sf))
     assert len(got) == len(documents())
