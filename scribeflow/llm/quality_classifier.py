@@ -1,10 +1,11 @@
 """Quality classifier: random-indexing word vectors, pooled by document, under a two-layer network.
 
-Random indexing: every feature of a word (the word, its last letters, its shape) owns a sparse random
-vector of +1 and -1, drawn from its hash. The context vector of a word bucket is the sum of the
-random vectors of its neighbours over the whole corpus; sums are integers, so that their order does not
-matter, and the table has a fixed number of buckets. A document is the mean of its words' own and
-context vectors. A network with one hidden layer, trained in numpy on at most ``train_rows`` labelled
+Random indexing: every feature of a word (the whole word, its last letters, its shape) owns a sparse random
+vector of +1 and -1, drawn from its hash. The context vector of a word is the sum of the random vectors of
+its neighbours over the whole corpus; sums are integers, so that their order does not matter, and the
+table has a row for every distinct word, whatever their number. It is joined by shuffle to the distinct words
+of each batch of texts. A document is the mean of its words' own and context vectors.
+A network with one hidden layer, trained in numpy on at most ``train_rows`` labelled
 rows, scores it; a temperature fitted on rows held back from training calibrates the probability.
 
 Labels, lang, source and doc_id are never inputs of a score. Defined results: null and empty texts pool
@@ -14,16 +15,18 @@ score is their rate, smoothed; rows repeated in ``labels`` count once; other col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, mix, slices
+from .common import Scratch, crc_mod, mix, slices
 
-BUCKETS, CONTEXT_BUCKETS = 4096, 2048
+#: Buckets of endings and shapes.
+BUCKETS = 4096
 OWN, CONTEXT = 64, 24
 HIDDEN = 24
 #: Most labelled rows that the network is trained on.
@@ -35,23 +38,26 @@ for _c in range(33, 128):
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-def _index_vectors(buckets: int, dims: int, seed: int) -> np.ndarray:
-    """Sparse random vectors, six entries of +1 or -1 each, the same in every process."""
-    table = np.zeros((buckets, dims), np.int8)
+#: A random number for each byte, an odd factor and its inverse modulo 2^64.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FACTOR = 0xD6E8FEB86659FD93
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
+
+def _index_vectors(owners: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """Sparse random vectors of numbers, six entries of +1 or -1 each, the same in every process."""
+    table = np.zeros((len(owners), dims), np.int8)
     for k in range(6):
-        h = mix(np.arange(buckets, dtype=np.uint64) * np.uint64(8) + np.uint64(k + 1000003 * seed))
-        table[np.arange(buckets), (h % np.uint64(dims)).astype(np.int64)] += np.where(h >> np.uint64(63), 1, -1).astype(np.int8)
+        h = mix(owners * np.uint64(8) + np.uint64(k + 1000003 * seed))
+        table[np.arange(len(owners)), (h % np.uint64(dims)).astype(np.int64)] += np.where(h >> np.uint64(63), 1, -1).astype(np.int8)
     return table
 
 
-_OWN, _NEAR = _index_vectors(BUCKETS, OWN, 1), _index_vectors(CONTEXT_BUCKETS, CONTEXT, 2)
-
+_OWN = _index_vectors(np.arange(BUCKETS, dtype=np.uint64), OWN, 1).astype(np.float32)
 
-def word_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word's identity, ending and shape (3 x words), and the words of each text.
 
-    A word is known by its length, its first four bytes and its last four, so that the work goes by word.
-    """
+def word_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of whole words, buckets of each word's ending and shape (2 x words), and the words of each text."""
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     starts = np.cumsum([0] + [len(r) + 1 for r in raws])
     a = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
@@ -60,92 +66,163 @@ def word_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if len(a) and not space[0]:
         s = np.concatenate(([0], s))
     if not len(s):
-        return np.zeros((3, 0), np.int64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros((2, 0), np.int64), np.zeros(len(texts), np.int64)
     e = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    size = np.minimum(e - s, 255)
+    size = e - s
+    # A polynomial over the word's bytes, from sums over all bytes before its start and its end.
+    powers = np.full(len(a), _FACTOR, np.uint64)
+    powers[0] = 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[a] * np.cumprod(powers), dtype=np.uint64)))
+    powers[1:] = _INVERSE
+    words = mix((sums[e] - sums[s]) * np.cumprod(powers)[s] + size.astype(np.uint64))
     kind = _CLASS[a]
 
     def near(values: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
         return np.where(size >= k, values[np.clip(at, 0, len(a) - 1)], 0).astype(np.uint64)
 
-    last = [near(a, e - k, k) for k in (1, 2, 3, 4)]
-    first = [near(a, s + k - 1, k) for k in (1, 2, 3, 4)]
+    last = [near(a, e - k, k) for k in (1, 2, 3)]
     ending = last[0] | (last[1] << np.uint64(8)) | (last[2] << np.uint64(16)) | np.uint64(1 << 60)
-    word = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k, x in enumerate((*first, *last)):
-        word ^= x << np.uint64(8 * k)
     shape = np.uint64(2 << 60) | np.minimum(size >> 1, 7).astype(np.uint64)
     for k, x in enumerate((near(kind, s, 1), near(kind, s + 1, 2), near(kind, e - 1, 1), near(kind, e - 2, 2), near(kind, e - 3, 3))):
         shape ^= x << np.uint64(8 + 9 * k)
-    h = np.stack([(mix(x) >> np.uint64(52)).astype(np.int64) for x in (word, ending, shape)])
-    return h, np.diff(np.searchsorted(s, starts))
+    h = np.stack([(mix(x) >> np.uint64(52)).astype(np.int64) for x in (ending, shape)])
+    return words, h, np.diff(np.searchsorted(s, starts))
+
+
+def neighbour_sums(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words' hashes, and the sums of the random vectors of each one's neighbours."""
+    words, _, n = word_features(texts)
+    if not len(words):
+        return words, np.zeros((0, CONTEXT), np.int32)
+    known, at, seen = np.unique(words, return_inverse=True, return_counts=True)
+    vectors = _index_vectors(known, CONTEXT, 2)[at]
+    inner = np.ones(len(words), bool)
+    inner[np.cumsum(n[n > 0]) - 1] = False  # a text's last word has none on its right
+    inner = inner[:-1, None]
+    near = np.zeros((len(words), CONTEXT), np.int32)
+    near[:-1] += vectors[1:] * inner
+    near[1:] += vectors[:-1] * inner
+    starts = np.concatenate(([0], np.cumsum(seen)[:-1]))
+    return known, np.add.reduceat(near[np.argsort(at, kind="stable")], starts)
 
 
-def context_keys(f: np.ndarray) -> np.ndarray:
-    """The bucket under which a word's contexts are gathered: its shape and ending."""
-    return (f[2] * 32 + f[1] % 32) % CONTEXT_BUCKETS
+def corpus_contexts(docs: DataFrame) -> DataFrame:
+    """(word, context): the unit context vector of every distinct word of all texts, in steps of 1/127."""
+    names = [f"d{i}" for i in range(CONTEXT)]
+    schema = "word long, " + ", ".join(f"{n} int" for n in names)
+    out = pa.schema([("word", pa.int64()), *((n, pa.int32()) for n in names)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                words, sums = np.concatenate([w for w, _ in held]), np.concatenate([x for _, x in held])
+                held.clear()
+                order = np.argsort(words, kind="stable")
+                words = words[order]
+                starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+                sums = np.add.reduceat(sums[order], starts)
+                for i in range(0, len(starts), 50_000):
+                    part = sums[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(words[starts[i : i + 50_000]].view(np.int64)), *(pa.array(np.ascontiguousarray(part[:, d]), pa.int32()) for d in range(CONTEXT))], schema=out)
 
-def count_neighbours(texts: list[str | None], pairs: np.ndarray, seen: np.ndarray) -> None:
-    """Adds the pairs of neighbouring words to ``pairs`` (flat, left * buckets + right)."""
-    f, n = word_features(texts)
-    if not f.shape[1]:
-        return
-    keys = context_keys(f)
-    inner = np.ones(len(keys), bool)
-    inner[np.cumsum(n[n > 0]) - 1] = False  # a text's last word has none on its right
-    at = np.flatnonzero(inner)
-    np.add.at(pairs, keys[at] * CONTEXT_BUCKETS + keys[np.minimum(at + 1, len(keys) - 1)], 1)
-    seen += np.bincount(keys, minlength=CONTEXT_BUCKETS)
+        for batch in batches:
+            for piece in slices(batch, mb=1.0):
+                words, sums = neighbour_sums(piece.column(0).to_pylist())
+                if len(words):
+                    held.append((words, sums))
+                if sum(len(w) for w, _ in held) > 400_000:
+                    yield from flush()
+        yield from flush()
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(1 + d).to_numpy() for d in range(CONTEXT)], 1).astype(np.float64)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            raw = np.rint(127 * x / np.where(norm > 0, norm, 1)).astype(np.int8).tobytes()
+            vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(x), [None, pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors.cast(pa.binary())], names=["word", "context"])
 
+    sums = docs.select("text").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
+    return Scratch(docs.sparkSession, "contexts").write(sums.mapInArrow(unit, "word long, context binary"), "words")
 
-def corpus_contexts(docs: DataFrame) -> np.ndarray:
-    """Unit context vectors by bucket over all texts: CONTEXT_BUCKETS rows, whatever the corpus."""
-    names = [f"d{i}" for i in range(CONTEXT)]
-    schema = "bucket int, seen long, " + ", ".join(f"{n} long" for n in names)
-    out = pa.schema([("bucket", pa.int32()), ("seen", pa.int64()), *((n, pa.int64()) for n in names)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, seen = np.zeros(CONTEXT_BUCKETS**2, np.int32), np.zeros(CONTEXT_BUCKETS, np.int64)
+def with_contexts(docs: DataFrame, contexts: DataFrame, fn: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema) -> DataFrame:
+    """``fn`` of each batch of rows and the context vectors of its distinct words, in order of their hashes."""
+    sent = pa.schema([("batch", pa.int64()), ("at", pa.int32()), ("word", pa.int64()), ("rows", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for piece in slices(batch):
-                count_neighbours(piece.column(0).to_pylist(), pairs, seen)
-        both = pairs.reshape(CONTEXT_BUCKETS, CONTEXT_BUCKETS).astype(np.float64)
-        near = _NEAR.astype(np.float64)
-        sums = np.rint(both @ near + both.T @ near).astype(np.int64)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at]), *(pa.array(sums[at, d]) for d in range(CONTEXT))], schema=out)
+            for piece in slices(batch, mb=1.0):
+                words = np.unique(word_features(piece.column(piece.schema.get_field_index("text")).to_pylist())[0]).view(np.int64)
+                with pa.BufferOutputStream() as sink:
+                    with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                        writer.write_batch(piece)
+                    raw = sink.getvalue().to_pybytes()
+                # The rows go where chance sends them; no word is joined to them.
+                where = mix(np.array([number], np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array(where), pa.array([raw], pa.binary())], schema=sent)
+                for i in range(0, len(words), 10_000):
+                    part = words[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number), pa.int64()), pa.array(np.arange(i, i + len(part)), pa.int32()), pa.array(part), pa.nulls(len(part), pa.binary())], schema=sent)
+                number += 1
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, found = None, []
+
+        def out() -> pa.RecordBatch:
+            return fn(rows, (np.concatenate(found) if found else np.zeros((0, CONTEXT), np.int8)).astype(np.float32) / 127)
 
-    got = docs.select("text").mapInArrow(run, schema).groupBy("bucket").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in names)).toArrow().to_pandas()
-    table = np.zeros((CONTEXT_BUCKETS, CONTEXT))
-    table[got["bucket"].to_numpy()] = got[names].to_numpy() / got[["seen"]].to_numpy()
-    norm = np.linalg.norm(table, axis=1, keepdims=True)
-    return (table / np.where(norm > 0, norm, 1)).astype(np.float32)
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            lo = 0
+            for start in [*np.flatnonzero(at < 0).tolist(), len(at)]:
+                if start > lo:
+                    found.append(np.frombuffer(b"".join(batch.column("context")[lo:start].to_pylist()), np.int8).reshape(-1, CONTEXT))
+                if start < len(at):
+                    if rows is not None:
+                        yield out()
+                    rows, found = pa.ipc.open_stream(batch.column("rows")[start].as_py()).read_next_batch(), []
+                lo = start + 1
+        if rows is not None:
+            yield out()
+
+    empty = F.lit(bytes(CONTEXT))
+    joined = docs.mapInArrow(send, "batch long, at int, word long, rows binary").join(contexts, "word", "left").select("batch", "at", "rows", F.coalesce("context", empty).alias("context"))
+    return joined.repartition("batch").sortWithinPartitions("batch", "at").mapInArrow(receive, schema)
 
 
 def pool(texts: list[str | None], contexts: np.ndarray) -> np.ndarray:
-    """For each text the mean of its words' own and context vectors, how much it repeats words, and log length."""
-    out = np.zeros((len(texts), OWN + CONTEXT + 4), np.float32)
-    f, n = word_features(texts)
-    ends = np.cumsum(n)
-    keys = context_keys(f)
-    own, near = _OWN.astype(np.float32), contexts.astype(np.float32)
-    for at in range(0, len(texts), 64):
-        m = min(64, len(texts) - at)
-        lo, hi = (ends[at - 1] if at else 0), ends[at + m - 1]
-        doc = np.repeat(np.arange(m), n[at : at + m])
-        count = np.bincount((doc * BUCKETS + f[:, lo:hi]).ravel(), minlength=m * BUCKETS).reshape(m, BUCKETS)
-        out[at : at + m, :OWN] = count.astype(np.float32) @ own
-        words = f[0, lo:hi]
-        alone = np.bincount(doc * BUCKETS + words, minlength=m * BUCKETS).reshape(m, BUCKETS)
-        size = np.maximum(n[at : at + m], 1)
-        same = np.bincount(doc[1:][(words[1:] == words[:-1]) & (doc[1:] == doc[:-1])], minlength=m) if len(words) else np.zeros(m)
+    """For each text the mean of its words' own and context vectors, how much it repeats words, and log length.
+
+    ``contexts``: a row for each distinct word of all the texts, in order of hashes.
+    """
+    m = len(texts)
+    out = np.zeros((m, OWN + CONTEXT + 4), np.float32)
+    words, f, n = word_features(texts)
+    if len(words):
+        doc = np.repeat(np.arange(m), n)
+        known, at = np.unique(words, return_inverse=True)
+        both, count = np.unique(doc * len(known) + at, return_counts=True)
+        of, word = both // len(known), both % len(known)
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        vectors = np.concatenate((_index_vectors(known, OWN, 1).astype(np.float32), contexts), axis=1)
+        for i in range(0, len(starts), 64):
+            lo, hi = starts[i], starts[i + 64] if i + 64 < len(starts) else len(of)
+            out[of[starts[i : i + 64]], :-4] = np.add.reduceat(vectors[word[lo:hi]] * count[lo:hi, None].astype(np.float32), starts[i : i + 64] - lo)
+        ends = np.cumsum(n)
+        for i in range(0, m, 64):
+            k = min(64, m - i)
+            lo, hi = (ends[i - 1] if i else 0), ends[i + k - 1]
+            kinds = np.bincount(((doc[lo:hi] - i) * BUCKETS + f[:, lo:hi]).ravel(), minlength=k * BUCKETS).reshape(k, BUCKETS)
+            out[i : i + k, :OWN] += kinds.astype(np.float32) @ _OWN
+        size = np.maximum(n, 1)
         # The squared length of the sum of the words' own vectors tells how much a text repeats its words.
-        out[at : at + m, -4] = np.log1p((alone * alone).sum(1)) / np.log(2 + size)
-        out[at : at + m, -3] = np.count_nonzero(alone, axis=1) / size**0.8
-        out[at : at + m, -2] = same / size
-        count = np.bincount(doc * CONTEXT_BUCKETS + keys[lo:hi], minlength=m * CONTEXT_BUCKETS).reshape(m, CONTEXT_BUCKETS)
-        out[at : at + m, OWN:-4] = count.astype(np.float32) @ near
+        out[:, -4] = np.log1p(np.bincount(of, weights=count.astype(np.float64) ** 2, minlength=m)) / np.log(2 + size)
+        out[:, -3] = np.bincount(of, minlength=m) / size**0.8
+        out[:, -2] = np.bincount(doc[1:][(words[1:] == words[:-1]) & (doc[1:] == doc[:-1])], minlength=m) / size
     out[:, :-4] /= np.maximum(n, 1)[:, None]
     out[:, -1] = np.log1p(n) / 4
     return out
@@ -199,47 +276,43 @@ def predict(x: np.ndarray, net: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict]:
+def train_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict]:
     """(context vectors, network). ``labels``: doc_id and quality of the rows to learn from."""
     contexts = corpus_contexts(docs)
-    held = docs.sparkSession.sparkContext.broadcast(contexts)  # CONTEXT_BUCKETS x CONTEXT floats
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(train_rows)
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most train_rows rows
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most train_rows rows
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": [x.tobytes() for x in pool(batch.column("text").to_pylist(), held.value)]}
+    def run(batch: pa.RecordBatch, near: np.ndarray) -> pa.RecordBatch:
+        x = [v.tobytes() for v in pool(batch.column("text").to_pylist(), near)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = map_batches(rows, run, "doc_id long, quality int, x binary").toArrow().to_pandas().drop_duplicates("doc_id").sort_values("doc_id")
+    got = with_contexts(rows, contexts, run, "doc_id long, quality int, x binary").toArrow().to_pandas().drop_duplicates("doc_id").sort_values("doc_id")
     if not len(got):
         return contexts, {"rate": 0.5}
     return contexts, train_network(np.stack([np.frombuffer(b, np.float32) for b in got["x"]]), got["quality"].to_numpy())
 
 
-def score_quality(docs: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:
+def score_quality(docs: DataFrame, model: tuple[DataFrame, dict]) -> DataFrame:
     """doc_id and score of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    contexts, net = model
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        contexts, net = held.value
-        x = pool(batch.column("text").to_pylist(), contexts)
-        yield {"doc_id": batch.column("doc_id"), "score": predict(x, net)}
+    def run(batch: pa.RecordBatch, near: np.ndarray) -> pa.RecordBatch:
+        scores = pa.array(predict(pool(batch.column("text").to_pylist(), near), net), pa.float64())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], names=["doc_id", "score"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
+    return with_contexts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), contexts, run, "doc_id long, score double")
 
 
-def keep_scored(docs: DataFrame, model: tuple[np.ndarray, dict], threshold: float = 0.5) -> DataFrame:
+def keep_scored(docs: DataFrame, model: tuple[DataFrame, dict], threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score under the threshold, columns unchanged."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    contexts, net = model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, net = held.value
-        for batch in batches:
-            for piece in slices(batch):
-                x = pool(piece.column(piece.schema.get_field_index("text")).to_pylist(), contexts)
-                yield piece.filter(pa.array(predict(x, net) >= threshold, pa.bool_()))
+    def run(batch: pa.RecordBatch, near: np.ndarray) -> pa.RecordBatch:
+        x = pool(batch.column(batch.schema.get_field_index("text")).to_pylist(), near)
+        return batch.filter(pa.array(predict(x, net) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return with_contexts(docs, contexts, run, docs.schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:

@@ -116,6 +116,32 @@ def test_op3_held_out_accuracy(spark):
     assert right / n > 0.95
 
 
+def test_op3_context_vectors_go_by_whole_word(spark):
+    # Of like length, shape, first and last four letters.
+    pairs = [("interaaaaation", "interbbbbation"), ("\u0438\u0433\u0440\u0430\u043b\u0438", "\u0438\u0433\u0432\u043e\u043b\u0438")]
+    texts = [" ".join([f"l{i}", w, f"r{i}"] * 3) for i, w in enumerate(w for p in pairs for w in p)] + ["", None, "solo"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = sorted({w for t in texts for w in (t or "").split()})
+    ids = {w: int(quality_classifier.word_features([w])[0][0].astype(np.int64)) for w in words}
+    assert len(set(ids.values())) == len(words)
+    index = {w: quality_classifier._index_vectors(np.array([ids[w]], np.int64).view(np.uint64), quality_classifier.CONTEXT, 2)[0].astype(int) for w in words}
+    want = {w: np.zeros(quality_classifier.CONTEXT) for w in words}
+    for t in texts:
+        tokens = (t or "").split()
+        for x, y in zip(tokens, tokens[1:]):
+            want[x] += index[y]
+            want[y] += index[x]
+    got = {r["word"]: np.frombuffer(r["context"], np.int8) for r in quality_classifier.corpus_contexts(docs).collect()}
+    assert set(got) == set(ids.values())
+    for w in words:
+        norm = np.linalg.norm(want[w])
+        assert np.abs(got[ids[w]] - 127 * want[w] / (norm or 1)).max() <= 0.5 + 1e-6
+    for x, y in pairs:
+        assert (got[ids[x]] != got[ids[y]]).any()
+    net = {"mean": 0.0, "std": 1.0, "w": [np.zeros((92, 1)), np.zeros(1), np.zeros(1), np.zeros(1)], "temperature": 1.0}
+    assert quality_classifier.keep_scored(docs, (quality_classifier.corpus_contexts(docs), net)).count() == len(texts)
+
+
 def test_op4_against_sets(spark, sf):
     docs = documents()
     order = sorted((r for r in docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
