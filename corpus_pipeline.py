@@ -30,19 +30,23 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once."""
-    found = near_dedup.near_duplicates(docs)
-    stays = found.where("kept or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("kept_id"))
-    stays = Scratch(spark, "kept").write(stays.groupBy("kept_id").agg(F.count("*").alias("copies")), "ids")
-    known = stays.agg(F.count("*").alias("n"), F.max(F.when(F.col("kept_id").isNotNull(), F.col("copies"))).alias("most")).first()
-    ids = stays.select("kept_id")
+    """Of each group of near duplicates one row stays: that with the smallest id, then text class, then row.
+
+    Texts without words are in no group and stay.
+    """
+    found = near_dedup.near_duplicates(docs, classes_too=True).where("cls is not null")
+    rows = found.groupBy("root", "doc_id", "cls").agg(F.count("*").alias("copies"))
+    pick = F.min_by(F.struct("doc_id", "cls", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "cls"))
+    stays = Scratch(spark, "kept").write(rows.groupBy("root").agg(pick.alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.cls").alias("kept_cls"), F.col("x.copies").alias("copies")), "ids")
+    known = stays.agg(F.count("*").alias("n"), F.max("copies").alias("most")).first()
+    ids = stays.select("kept_id", "kept_cls")
     if known["n"] <= near_dedup.BROADCAST_IDS:
         ids = F.broadcast(ids)
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-    if (known["most"] or 0) > 1:  # ids that repeat keep one row each
-        named = out.where("doc_id is not null").groupBy("doc_id").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
-        out = named.select("row.*").unionByName(out.where("doc_id is null"))
-    return out
+    classed = near_dedup.with_class(docs)
+    out = classed.where("cls is not null").join(ids, (F.col("cls") == F.col("kept_cls")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if (known["most"] or 0) > 1:  # rows alike in id and words keep one
+        out = out.groupBy("doc_id", "cls").agg(F.min("row").alias("row"))
+    return out.select("row.*").unionByName(classed.where("cls is null").select("row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

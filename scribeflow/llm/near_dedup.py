@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
-from .common import Scratch, lower_words, map_batches, mix, shingles
+from .common import Scratch, lower_words, map_batches, mix, shingles, slices
 
 N_BANDS, BAND = 50, 6
 T = N_BANDS * BAND
@@ -160,8 +161,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row for each of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = 75, classes_too: bool = False) -> DataFrame:
+    """One row for each of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    With ``classes_too`` also cls, the row's class of equal texts, and root, the component as a class.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -175,7 +179,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = scratch.write(shared.select("cls", "band", "before"), "shared")
     members = scratch.write(classes.select("cls", "first_id").join(shared.select("cls").distinct(), "cls"), "members")
     if members.isEmpty():
-        return _labelled(rows, classes.select("cls", F.col("cls").alias("root"), "first_id"))
+        return _labelled(rows, classes.select("cls", F.col("cls").alias("root"), "first_id"), classes_too)
     ids = members.select(F.col("first_id").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     picked = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
@@ -194,7 +198,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         upper = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch, "second")
         root = root.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("cls", F.coalesce("top", "root").alias("root"))
     heads = classes.select("cls", "first_id").join(root, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "first_id")
-    return _labelled(rows, heads)
+    return _labelled(rows, heads, classes_too)
+
+
+def with_class(docs: DataFrame) -> DataFrame:
+    """``docs`` as row (a struct), doc_id and cls, which is null for texts without words."""
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = T_.StructType([packed.schema["row"], packed.schema["doc_id"], T_.StructField("cls", T_.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                words = (lower_words(t) for t in piece.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([class_of(w) if w else None for w in words], pa.binary())], names=["row", "doc_id", "cls"])
+
+    return packed.mapInArrow(run, schema)
 
 
 def _roots(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -223,12 +241,12 @@ def _completion(sets: DataFrame, root: DataFrame, scratch: Scratch, percent: int
     return left.join(right, "item").where(f"ra <> rb AND (big OR a < b) AND {may_link(percent)}").select("a", "b").distinct()
 
 
-def _labelled(rows: DataFrame, heads: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, heads: DataFrame, classes_too: bool) -> DataFrame:
     least = heads.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = heads.select("cls", "root").join(least, "root").select("cls", "component_id")
+    of = heads.select("cls", "root").join(least, "root").select("cls", "root", "component_id")
     out = rows.select("doc_id", "cls", "n_shingles").join(of, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), *(["cls", "root"] if classes_too else []))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -357,3 +357,14 @@ def test_pipeline(spark, sf, empty):
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert cp.run(spark, sf).count() == cp.STAGES[-1][1](spark, docs, sf).count() > 0
     assert cp.run(spark, empty).count() == 0
+
+
+def test_pipeline_dedup_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline as cp
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one, "x"), (1, two, "y"), (2, one + " end", "z"), (2, three, "w"), (None, one.upper(), "n"), (None, three + " end", "m")]
+    rows += [(None, "p " * 9, "p"), (None, "p " * 9, "q"), (4, "r " * 9, "b"), (4, "r " * 9, "a"), (None, " ", "e"), (6, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    got = sorted(r["tag"] for r in cp.dedup_stage(spark, docs, "").collect())
+    assert got == sorted("xywpaef")
