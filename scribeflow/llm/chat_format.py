@@ -126,15 +126,15 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.sql("SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text UNION ALL SELECT -7L, 1L, 'assistant', '</s>[INST] ok [/INST]'")
     formatted = format_conversations(conversation_messages(rows.unionByName(probe)))
-    turns = formatted.select(F.col("tree_id").try_cast("long").alias("conv_id"), read_turns(F.col("formatted")).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("loss_spans").cast("long").alias("loss_spans"))
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["begin"] + 1, s["end"] - s["begin"]))), "")
+    turns = formatted.select(F.col("tree_id").try_cast("long").alias("conv_id"), read_turns(F.col("formatted")).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("loss_spans").cast("long").alias("loss_spans"), loss.alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return turns.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
         "loss_spans",
     )

@@ -38,6 +38,15 @@ def test_op1_reads_back_every_turn(spark, sf):
     assert len(got) == len(groups)
 
 
+def test_op1_digests_the_text_under_the_mask(spark, sf, monkeypatch):
+    right = {r["conv_id"]: r["loss_sha256"] for r in rows_of(chat_format.op1_chat_format(spark, sf))}
+    whole = chat_format.format_conversations
+    moved = F.transform("loss_spans", lambda s: F.struct((s["begin"] + 1).alias("begin"), s["end"].alias("end")))
+    monkeypatch.setattr(chat_format, "format_conversations", lambda df: whole(df).withColumn("loss_spans", moved))
+    wrong = {r["conv_id"]: r["loss_sha256"] for r in rows_of(chat_format.op1_chat_format(spark, sf))}
+    assert right[2] != wrong[2]
+
+
 def test_op1_trees_branches_and_cycles(spark):
     rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "good", 5.0), ("t", 3, 1, "assistant", "bad", 1.0), ("t", 4, 2, "user", "more", 1.0), ("t", 5, 99, "user", "stray", 0.0)]
     rows += [("long", i, i - 1 if i else None, "user" if i % 2 == 0 else "assistant", str(i), 0.0) for i in range(130)]
