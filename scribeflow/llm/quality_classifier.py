@@ -2,32 +2,36 @@
 
 Random indexing: every feature of a word (the whole word, its last letters, its shape) owns a sparse random
 vector of +1 and -1, drawn from its hash. The context vector of a word is the sum of the random vectors of
-its neighbours over the whole corpus; sums are integers, so that their order does not matter, and the
-table has a row for every distinct word, whatever their number. It is joined by shuffle to the distinct words
-of each batch of texts. A document is the mean of its words' own and context vectors.
-A network with one hidden layer, trained in numpy on at most ``train_rows`` labelled
+its neighbours over the whole corpus; sums are integers, so that their order does not matter. Context
+vectors are kept by 20 bits of the whole word's hash: words that share a bucket share its sum, in which the
+frequent ones weigh most, and the table's size is fixed. A document is the mean of its words' own and
+context vectors. A network with one hidden layer, trained in numpy on at most ``train_rows`` labelled
 rows, scores it; a temperature fitted on rows held back from training calibrates the probability.
 
 Labels, lang, source and doc_id are never inputs of a score. Defined results: null and empty texts pool
 to the zero vector and get the network's score for it; where labels of only one kind are there, the
-score is their rate, smoothed; rows repeated in ``labels`` count once; other columns are ignored.
+score is their rate, smoothed; of labels repeated for an id the largest counts, of texts the least; other
+columns are ignored, or, in ``keep_scored``, kept as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, mix, slices
+from .common import crc_mod, map_batches, mix, slices, tidy
 
 #: Buckets of endings and shapes.
 BUCKETS = 4096
 OWN, CONTEXT = 64, 24
+#: Context vectors go by this many bits of the whole word's hash: 2^20 rows, 25 MB, are broadcast.
+CONTEXT_BITS = 20
+#: Ranges of buckets that are added up apart.
+PARTS = 512
 HIDDEN = 24
 #: Most labelled rows that the network is trained on.
 TRAIN_ROWS = 8000
@@ -89,116 +93,102 @@ def word_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return words, h, np.diff(np.searchsorted(s, starts))
 
 
+def bucket_of(words: np.ndarray) -> np.ndarray:
+    """The context bucket of each whole word's hash."""
+    return (words >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+
+
 def neighbour_sums(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words' hashes, and the sums of the random vectors of each one's neighbours."""
+    """Distinct buckets of the words, and the sums of the random vectors of their words' neighbours."""
     words, _, n = word_features(texts)
     if not len(words):
-        return words, np.zeros((0, CONTEXT), np.int32)
-    known, at, seen = np.unique(words, return_inverse=True, return_counts=True)
+        return np.zeros(0, np.int64), np.zeros((0, CONTEXT), np.int32)
+    known, at = np.unique(words, return_inverse=True)
     vectors = _index_vectors(known, CONTEXT, 2)[at]
     inner = np.ones(len(words), bool)
     inner[np.cumsum(n[n > 0]) - 1] = False  # a text's last word has none on its right
     inner = inner[:-1, None]
-    near = np.zeros((len(words), CONTEXT), np.int32)
+    near = np.zeros((len(words), CONTEXT), np.int8)  # twice six entries of one at most
     near[:-1] += vectors[1:] * inner
     near[1:] += vectors[:-1] * inner
-    starts = np.concatenate(([0], np.cumsum(seen)[:-1]))
-    return known, np.add.reduceat(near[np.argsort(at, kind="stable")], starts)
+    return _added(bucket_of(words), near)
+
+
+def _added(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(rows[order], starts, dtype=np.int32)
+
 
+def corpus_contexts(docs: DataFrame) -> np.ndarray:
+    """The unit context vector of every bucket, over all texts, in steps of 1/127.
 
-def corpus_contexts(docs: DataFrame) -> DataFrame:
-    """(word, context): the unit context vector of every distinct word of all texts, in steps of 1/127."""
-    names = [f"d{i}" for i in range(CONTEXT)]
-    schema = "word long, " + ", ".join(f"{n} int" for n in names)
-    out = pa.schema([("word", pa.int64()), *((n, pa.int32()) for n in names)])
+    Tasks add up what they read and send it packed, a row for each of ``PARTS`` ranges of buckets; a range is
+    added up as its rows stream by. The table has 2^``CONTEXT_BITS`` rows whatever the corpus.
+    """
+    width = (1 << CONTEXT_BITS) // PARTS
+    sent = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("at", pa.binary()), ("sums", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                words, sums = np.concatenate([w for w, _ in held]), np.concatenate([x for _, x in held])
-                held.clear()
-                order = np.argsort(words, kind="stable")
-                words = words[order]
-                starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-                sums = np.add.reduceat(sums[order], starts)
-                for i in range(0, len(starts), 50_000):
-                    part = sums[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(words[starts[i : i + 50_000]].view(np.int64)), *(pa.array(np.ascontiguousarray(part[:, d]), pa.int32()) for d in range(CONTEXT))], schema=out)
+            if not held:
+                return
+            keys, sums = _added(np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held]))
+            held.clear()
+            edges = np.searchsorted(keys, np.arange(PARTS + 1) * width)
+            rows = []
+            for part in np.flatnonzero(np.diff(edges)).tolist():
+                lo, hi = edges[part], edges[part + 1]
+                # Signs fold into the lowest bit, so that small sums have small bytes; planes of bytes pack well.
+                x = ((sums[lo:hi] << 1) ^ (sums[lo:hi] >> 31)).astype(np.uint32)
+                planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T)
+                at = (keys[lo:hi] - part * width).astype(np.uint16)
+                rows.append((part, int(hi - lo), at.tobytes(), pa.Codec("zstd", 1).compress(planes, asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), sent, strict=True)], schema=sent)
 
         for batch in batches:
             for piece in slices(batch, mb=1.0):
-                words, sums = neighbour_sums(piece.column(0).to_pylist())
-                if len(words):
-                    held.append((words, sums))
-                if sum(len(w) for w, _ in held) > 400_000:
+                keys, sums = neighbour_sums(piece.column(0).to_pylist())
+                if len(keys):
+                    held.append((keys, sums))
+                if sum(len(k) for k, _ in held) > 400_000:
                     yield from flush()
         yield from flush()
 
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.stack([batch.column(1 + d).to_numpy() for d in range(CONTEXT)], 1).astype(np.float64)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            raw = np.rint(127 * x / np.where(norm > 0, norm, 1)).astype(np.int8).tobytes()
-            vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(x), [None, pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors.cast(pa.binary())], names=["word", "context"])
-
-    sums = docs.select("text").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
-    return Scratch(docs.sparkSession, "contexts").write(sums.mapInArrow(unit, "word long, context binary"), "words")
-
-
-def with_contexts(docs: DataFrame, contexts: DataFrame, fn: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema) -> DataFrame:
-    """``fn`` of each batch of rows and the context vectors of its distinct words, in order of their hashes."""
-    sent = pa.schema([("batch", pa.int64()), ("at", pa.int32()), ("word", pa.int64()), ("rows", pa.binary())])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for piece in slices(batch, mb=1.0):
-                words = np.unique(word_features(piece.column(piece.schema.get_field_index("text")).to_pylist())[0]).view(np.int64)
-                with pa.BufferOutputStream() as sink:
-                    with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                        writer.write_batch(piece)
-                    raw = sink.getvalue().to_pybytes()
-                # The rows go where chance sends them; no word is joined to them.
-                where = mix(np.array([number], np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array(where), pa.array([raw], pa.binary())], schema=sent)
-                for i in range(0, len(words), 10_000):
-                    part = words[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number), pa.int64()), pa.array(np.arange(i, i + len(part)), pa.int32()), pa.array(part), pa.nulls(len(part), pa.binary())], schema=sent)
-                number += 1
-
-    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, found = None, []
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, None
 
         def out() -> pa.RecordBatch:
-            return fn(rows, (np.concatenate(found) if found else np.zeros((0, CONTEXT), np.int8)).astype(np.float32) / 127)
+            norm = np.linalg.norm(sums, axis=1, keepdims=True)
+            raw = np.rint(127 * sums / np.where(norm > 0, norm, 1)).astype(np.int8).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([raw], pa.binary())], names=["part", "unit"])
 
         for batch in batches:
-            at = batch.column("at").to_numpy()
-            lo = 0
-            for start in [*np.flatnonzero(at < 0).tolist(), len(at)]:
-                if start > lo:
-                    found.append(np.frombuffer(b"".join(batch.column("context")[lo:start].to_pylist()), np.int8).reshape(-1, CONTEXT))
-                if start < len(at):
-                    if rows is not None:
+            for part, n, at, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if part != now:
+                    if now is not None:
                         yield out()
-                    rows, found = pa.ipc.open_stream(batch.column("rows")[start].as_py()).read_next_batch(), []
-                lo = start + 1
-        if rows is not None:
+                    now, sums = part, np.zeros((width, CONTEXT), np.int64)
+                planes = np.frombuffer(pa.Codec("zstd").decompress(packed, decompressed_size=4 * n * CONTEXT), np.uint8)
+                x = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(n, CONTEXT)
+                sums[np.frombuffer(at, np.uint16)] += (x >> 1).astype(np.int64) ^ -(x & 1).astype(np.int64)
+        if now is not None:
             yield out()
 
-    empty = F.lit(bytes(CONTEXT))
-    joined = docs.mapInArrow(send, "batch long, at int, word long, rows binary").join(contexts, "word", "left").select("batch", "at", "rows", F.coalesce("context", empty).alias("context"))
-    return joined.repartition("batch").sortWithinPartitions("batch", "at").mapInArrow(receive, schema)
+    parts = docs.select("text").mapInArrow(tidy(run), "part int, n int, at binary, sums binary")
+    parts = parts.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(total), "part int, unit binary")
+    table = np.zeros((1 << CONTEXT_BITS, CONTEXT), np.int8)
+    for r in parts.toLocalIterator():  # PARTS rows at most
+        table[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["unit"], np.int8).reshape(width, CONTEXT)
+    return table
 
 
 def pool(texts: list[str | None], contexts: np.ndarray) -> np.ndarray:
-    """For each text the mean of its words' own and context vectors, how much it repeats words, and log length.
-
-    ``contexts``: a row for each distinct word of all the texts, in order of hashes.
-    """
+    """For each text the mean of its words' own and context vectors, how much it repeats words, and log length."""
     m = len(texts)
     out = np.zeros((m, OWN + CONTEXT + 4), np.float32)
     words, f, n = word_features(texts)
@@ -208,7 +198,7 @@ def pool(texts: list[str | None], contexts: np.ndarray) -> np.ndarray:
         both, count = np.unique(doc * len(known) + at, return_counts=True)
         of, word = both // len(known), both % len(known)
         starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        vectors = np.concatenate((_index_vectors(known, OWN, 1).astype(np.float32), contexts), axis=1)
+        vectors = np.concatenate((_index_vectors(known, OWN, 1).astype(np.float32), contexts[bucket_of(known)].astype(np.float32) / 127), axis=1)
         for i in range(0, len(starts), 64):
             lo, hi = starts[i], starts[i + 64] if i + 64 < len(starts) else len(of)
             out[of[starts[i : i + 64]], :-4] = np.add.reduceat(vectors[word[lo:hi]] * count[lo:hi, None].astype(np.float32), starts[i : i + 64] - lo)
@@ -276,43 +266,50 @@ def predict(x: np.ndarray, net: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict]:
+def train_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict]:
     """(context vectors, network). ``labels``: doc_id and quality of the rows to learn from."""
     contexts = corpus_contexts(docs)
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(train_rows)
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most train_rows rows
+    # Of rows that share an id the least text stands for it, whatever the order they come in.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(contexts)
 
-    def run(batch: pa.RecordBatch, near: np.ndarray) -> pa.RecordBatch:
-        x = [v.tobytes() for v in pool(batch.column("text").to_pylist(), near)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        yield {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": [v.tobytes() for v in pool(batch.column("text").to_pylist(), held.value)]}
 
-    got = with_contexts(rows, contexts, run, "doc_id long, quality int, x binary").toArrow().to_pandas().drop_duplicates("doc_id").sort_values("doc_id")
+    got = map_batches(rows, run, "doc_id long, quality int, x binary", mb=1.0).toArrow().to_pandas().sort_values("doc_id")
+    held.destroy()
     if not len(got):
         return contexts, {"rate": 0.5}
     return contexts, train_network(np.stack([np.frombuffer(b, np.float32) for b in got["x"]]), got["quality"].to_numpy())
 
 
-def score_quality(docs: DataFrame, model: tuple[DataFrame, dict]) -> DataFrame:
+def score_quality(docs: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:
     """doc_id and score of every row."""
-    contexts, net = model
+    held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
-    def run(batch: pa.RecordBatch, near: np.ndarray) -> pa.RecordBatch:
-        scores = pa.array(predict(pool(batch.column("text").to_pylist(), near), net), pa.float64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], names=["doc_id", "score"])
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        contexts, net = held.value
+        yield {"doc_id": batch.column("doc_id"), "score": predict(pool(batch.column("text").to_pylist(), contexts), net)}
 
-    return with_contexts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), contexts, run, "doc_id long, score double")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double", mb=1.0)
 
 
-def keep_scored(docs: DataFrame, model: tuple[DataFrame, dict], threshold: float = 0.5) -> DataFrame:
+def keep_scored(docs: DataFrame, model: tuple[np.ndarray, dict], threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score under the threshold, columns unchanged."""
-    contexts, net = model
+    held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    text = docs.columns.index("text")
 
-    def run(batch: pa.RecordBatch, near: np.ndarray) -> pa.RecordBatch:
-        x = pool(batch.column(batch.schema.get_field_index("text")).to_pylist(), near)
-        return batch.filter(pa.array(predict(x, net) >= threshold, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, net = held.value
+        for batch in batches:
+            for piece in slices(batch, mb=1.0):
+                x = pool(piece.column(text).to_pylist(), contexts)
+                yield piece.filter(pa.array(predict(x, net) >= threshold, pa.bool_()))
 
-    return with_contexts(docs, contexts, run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
