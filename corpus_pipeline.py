@@ -51,8 +51,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes them."""
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.array("source").alias("sources"), mixing.n_words(F.col("text")).alias("size"))
-    mixed, _ = mixing.mix_sources(packed)
+    mixed, _ = mixing.mix_sources(docs, F.array("source"), mixing.n_words(F.col("text")))
     return mixed.where("taken > 0").select("row", F.explode(F.sequence(F.lit(1), "repeats"))).select("row.*")
 
 

@@ -10,19 +10,30 @@ Targets: sources in code-point order, null last, weigh ``weights`` in turn and s
 above ``max_repeats`` times its source's tokens stops there and its excess is shared again by weight.
 
 Defined results: a null text has size 0; a document of size 0 takes 0; a null source is a source of its
-own, the last; equal rows are each their own document; the same rows and seed give the same mix.
+own, the last, and so are null memberships; a document of no source takes 0. Documents are rows, not ids:
+null ids, repeated ids and equal rows are each their own. Which documents are taken follows from a hash of
+the whole row (map columns aside), so that the same rows and seed give the same mix in any order and
+layout. Other columns, whatever their names, are carried along in ``row``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
 
 WEIGHTS = (1, 2, 3)
+#: Most membership patterns, and so rows on the driver; more are an error.
+MOST_PATTERNS = 1_000_000
+#: Marks of patterns up to this many are broadcast; beyond it the tables are joined by shuffle.
+BROADCAST_PATTERNS = 100_000
+#: Top bits of a row's hash by which sizes are first added up.
+BUCKET_BITS = 14
+SALTS = 1024
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -41,7 +52,8 @@ def water_fill(sizes: list[int], weights: list[float], most: float) -> list[floa
         for i in over:
             target[i] = float(most * sizes[i])
             left -= target[i]
-        free = [i for i in free if i not in set(over)]
+        gone = set(over)
+        free = [i for i in free if i not in gone]
     return target
 
 
@@ -101,67 +113,132 @@ def min_cost_flow(patterns: list[tuple[frozenset[int], int]], quotas: list[int],
     return {k: room[e ^ 1] for k, e in links.items() if room[e ^ 1] > 0}
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 11) -> tuple[DataFrame, dict]:
-    """``docs`` with ``size`` and ``sources`` (array<string>) gain pattern_size, target, repeats and taken.
+def flow_by_parts(patterns: list[tuple[frozenset[int], int]], quotas: list[int], max_repeats: int) -> dict[tuple[int, int], int]:
+    """``min_cost_flow`` of each connected part of the network on its own, which is the same flow."""
+    head = list(range(len(quotas)))
 
-    The driver holds one row for each pattern and source, never one for each document. The rest of a
-    pattern beyond whole passes goes to its documents in seeded hash order, found in two steps: running
-    sums over 4096 hash buckets, then over the rows of the one bucket where the rest ends.
+    def find(x: int) -> int:
+        while head[x] != x:
+            head[x] = head[head[x]]
+            x = head[x]
+        return x
+
+    for members, _ in patterns:
+        first = next(iter(members), None)
+        for x in members:
+            head[find(x)] = find(first)
+    parts: dict[int, list[int]] = {}
+    for p, (members, size) in enumerate(patterns):
+        if members and size:
+            parts.setdefault(find(next(iter(members))), []).append(p)
+    out: dict[tuple[int, int], int] = {}
+    for rows in parts.values():
+        names = sorted({x for p in rows for x in patterns[p][0]})
+        place = {x: i for i, x in enumerate(names)}
+        flow = min_cost_flow([(frozenset(place[x] for x in patterns[p][0]), patterns[p][1]) for p in rows], [quotas[x] for x in names], max_repeats)
+        out |= {(rows[p], names[x]): v for (p, x), v in flow.items()}
+    return out
+
+
+def mix_sources(docs: DataFrame, sources: Column, size: Column, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 11) -> tuple[DataFrame, dict]:
+    """(row, pattern, size, pattern_size, repeats, taken) of each of ``docs``, and the sources' figures.
+
+    ``sources``: array<string> of a document's sources; ``size``: its tokens. The driver holds a few rows for
+    each pattern, never one for each document. The rest of a pattern beyond whole passes goes to its
+    documents in order of their hashes: all below an edge, and as many copies of the row at the edge as come
+    nearest. One more document changes sides where that comes nearer still.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     # A pattern is the sorted set of sources written as JSON, which keeps null and any character apart.
-    docs = docs.withColumn("pattern", F.to_json(F.array_sort(F.array_distinct("sources")))).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    docs = docs.withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
-    sums = scratch.write(docs.groupBy("pattern", "_b").agg(F.sum("size").alias("s"), F.first("sources").alias("sources")), "sums")
-    patterns = [(r["pattern"], list(r["sources"] or [None]), int(r["s"])) for r in sums.groupBy("pattern").agg(F.sum("s").alias("s"), F.first("sources").alias("sources")).orderBy("pattern").collect()]
-    names = sorted({x for _, m, _ in patterns for x in m}, key=lambda x: (x is None, x or ""))
+    pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string"))))))
+    told = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    base = docs.select(F.struct("*").alias("row"), pattern.alias("pattern"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), *told).alias("h"))
+    # Equal rows are one class, counted before the shuffle.
+    classes = scratch.write(base.groupBy("pattern", "h", "size").agg(F.count("*").alias("n")), "classes")
+    bucket = F.shiftright("h", 64 - BUCKET_BITS)
+    sums = scratch.write(classes.groupBy("pattern", bucket.alias("b")).agg(F.sum(F.col("size") * F.col("n")).alias("s")), "sums")
+    patterns = [(r["pattern"], json.loads(r["pattern"]), int(r["s"])) for r in sums.groupBy("pattern").agg(F.sum("s").alias("s")).limit(MOST_PATTERNS + 1).collect()]
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    patterns.sort(key=lambda x: x[0])
+    held_by: dict[str | None, int] = {}
+    for _, m, s in patterns:
+        for x in m:
+            held_by[x] = held_by.get(x, 0) + s
+    names = sorted(held_by, key=lambda x: (x is None, x or ""))
     place = {x: i for i, x in enumerate(names)}
-    held = [sum(s for _, m, s in patterns if x in m) for x in names]
-    total = sum(s for _, _, s in patterns)
+    held = [held_by[x] for x in names]
+    total = sum(s for _, m, s in patterns if m)
     share = [float(weights[i % len(weights)]) for i in range(len(names))]
     targets = _scaled(water_fill(held, share, max_repeats), total)
-    quotas = [int(round(t)) for t in targets]
-    flow = min_cost_flow([(frozenset(place[x] for x in m), s) for _, m, s in patterns], quotas, max_repeats)
-    plan = []
-    for p, (name, _, size) in enumerate(patterns):
-        sent = sum(v for (q, _), v in flow.items() if q == p)
-        passes = min(max_repeats, sent // size) if size else 0
-        plan.append((name, passes, sent - passes * size if passes < max_repeats else 0, size))
-    table = spark.createDataFrame(plan, "pattern string, passes int, rest long, pattern_size long")
-    run = Window.partitionBy("pattern").orderBy("_b")
-    joined = sums.select("pattern", "_b", "s").withColumn("upto", F.sum("s").over(run)).join(table, "pattern")
-    cut = joined.where((F.col("rest") > 0) & (F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("s") < F.col("rest"))).select("pattern", F.col("_b").alias("cut"), (F.col("rest") - F.col("upto") + F.col("s")).alias("need"))
-    marks = table.join(cut, "pattern", "left")
-    if len(plan) <= 100_000:  # one row for each pattern; the check bounds what is broadcast
-        marks = F.broadcast(marks)
-    out = docs.join(marks, "pattern", "left").withColumn("_n", F.monotonically_increasing_id())
-    inside = out.where(F.col("_b") == F.col("cut"))
-    fine = Window.partitionBy("pattern", "_b").orderBy("_h", "size", "_n").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_end", F.sum("size").over(fine))
-    # The document at the edge is taken if that comes nearer to the rest than leaving it.
-    inside = inside.withColumn("repeats", F.coalesce(F.col("passes"), F.lit(0)) + (2 * (F.col("need") - F.col("_end") + F.col("size")) >= F.col("size")).cast("int")).drop("_end")
-    rest = out.where(F.col("cut").isNull() | (F.col("_b") != F.col("cut"))).withColumn("repeats", F.coalesce(F.col("passes"), F.lit(0)) + F.coalesce((F.col("_b") < F.col("cut")).cast("int"), F.lit(0)))
-    both = inside.unionByName(rest)
-    both = _evened(both, scratch, len(plan)).withColumn("taken", F.when(F.col("size") > 0, F.col("size") * F.col("repeats")).otherwise(F.lit(0)).cast("long"))
-    return both.drop("_h", "_b", "_n", "cut", "need", "rest", "passes"), {"names": names, "held": held, "targets": targets}
-
-
-def _evened(both: DataFrame, scratch: Scratch, n_patterns: int) -> DataFrame:
-    """One document of each pattern changes sides where that brings the pattern nearer to its rest.
-
-    It is the one whose size is nearest to the gap, found by aggregation; one row for each pattern.
+    flow = flow_by_parts([(frozenset(place[x] for x in m), s) for _, m, s in patterns], [int(round(t)) for t in targets], max_repeats)
+    sent = [0] * len(patterns)
+    for (p, _), v in flow.items():
+        sent[p] += v
+    plan = {}
+    for p, (name, _, s) in enumerate(patterns):
+        passes = min(max_repeats, sent[p] // s) if s else 0
+        plan[name] = {"passes": passes, "rest": sent[p] - passes * s if passes < max_repeats else 0, "size": s}
+    broad = F.broadcast if len(plan) <= BROADCAST_PATTERNS else lambda df: df
+    edges = {r["pattern"]: r for r in _edges(classes, sums, bucket, spark.createDataFrame([(k, v["rest"]) for k, v in plan.items() if v["rest"]], "pattern string, rest long"), broad).collect()}
+    for e in edges.values():
+        k = min(e["n"], (2 * e["need"] + e["size"]) // (2 * e["size"]))  # copies nearest to what is needed
+        plan[e["pattern"]] |= {"edge": e["h"], "edge_size": e["size"], "edge_n": e["n"], "edge_take": k, "gap": e["need"] - k * e["size"]}
+    gaps = spark.createDataFrame([(k, v["edge"], v["edge_size"], v["gap"]) for k, v in plan.items() if v.get("gap")], "pattern string, edge long, edge_size long, gap long")
+    for f in _flips(classes, gaps, broad).collect():
+        plan[f["pattern"]] |= {"flip": f["h"], "flip_size": f["size"], "flip_n": f["n"], "flip_by": f["by"]}
+    fields = ("passes", "edge", "edge_size", "edge_n", "edge_take", "flip", "flip_size", "flip_n", "flip_by", "size")
+    marks = spark.createDataFrame([(k, *(v.get(f) for f in fields)) for k, v in plan.items()], "pattern string, passes int, edge long, edge_size long, edge_n long, edge_take long, flip long, flip_size long, flip_n long, flip_by int, pattern_size long")
+    out = base.join(broad(marks), "pattern", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    at_edge = yes((F.col("h") == F.col("edge")) & (F.col("size") == F.col("edge_size")))
+    flips = yes((F.col("h") == F.col("flip")) & (F.col("size") == F.col("flip_size")))
+    below = yes((F.col("h") < F.col("edge")) | (F.col("h") == F.col("edge")) & (F.col("size") < F.col("edge_size")))
+    some = any(v.get("flip_n", 0) > 1 or 0 < v.get("edge_take", 0) < v.get("edge_n", 0) for v in plan.values())
+    out = _ranked(out, (at_edge & (F.col("edge_n") > 1)) | (flips & (F.col("flip_n") > 1))) if some else out.withColumn("rank", F.lit(1).cast("long"))
+    once = F.when(at_edge, (F.col("rank") <= F.col("edge_take")).cast("int")).otherwise(below.cast("int")) + F.when(flips & (F.col("rank") == 1), F.col("flip_by")).otherwise(0)
+    out = out.withColumn("repeats", (F.coalesce("passes", F.lit(0)) + once).cast("int"))
+    out = out.select("row", "pattern", "size", "pattern_size", "repeats", F.coalesce(F.col("size") * F.col("repeats"), F.lit(0)).cast("long").alias("taken"))
+    return out, {"names": names, "held": held, "targets": targets}
+
+
+def _edges(classes: DataFrame, sums: DataFrame, bucket: Column, rests: DataFrame, broad) -> DataFrame:
+    """(pattern, h, size, n, need): the class at which a pattern's rest runs out, and what it is to give.
+
+    Sums by bucket find the bucket, then the classes of that bucket alone are put in order.
     """
-    sides = both.where("size > 0 and rest > 0").select("pattern", "_h", "size", "rest", (F.col("repeats") - F.col("passes")).alias("sel"))
-    gaps = sides.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("sel"))).alias("gap"))
+    upto = F.sum("s").over(Window.partitionBy("pattern").orderBy("b"))
+    cut = sums.join(broad(rests), "pattern").withColumn("upto", upto).where("upto >= rest and upto - s < rest").select("pattern", "b", (F.col("rest") - F.col("upto") + F.col("s")).alias("need"))
+    inside = classes.where("size > 0").withColumn("b", bucket).join(broad(cut), ["pattern", "b"])
+    fine = Window.partitionBy("pattern").orderBy("h", "size")
+    inside = inside.withColumn("upto", F.sum(F.col("size") * F.col("n")).over(fine)).withColumn("before", F.col("upto") - F.col("size") * F.col("n"))
+    return inside.where("before < need and upto >= need").select("pattern", "h", "size", "n", (F.col("need") - F.col("before")).alias("need"))
+
+
+def _flips(classes: DataFrame, gaps: DataFrame, broad) -> DataFrame:
+    """(pattern, h, size, n, by): the class of which one copy changes sides, its size being nearest to the gap."""
+    near = classes.where("size > 0").join(broad(gaps), "pattern")
     off = F.abs(F.abs("gap") - F.col("size"))
-    near = sides.join(F.broadcast(gaps) if n_patterns <= 100_000 else gaps, "pattern").where("(gap > 0 and sel = 0) or (gap < 0 and sel = 1)").where(off < F.abs("gap"))
-    flips = near.groupBy("pattern").agg(F.min_by(F.struct(F.col("_h").alias("_fh"), F.col("size").alias("_fs"), (1 - 2 * F.col("sel")).alias("_by")), F.struct(off, F.col("_h"))).alias("f"))
-    flips = scratch.write(flips.select("pattern", "f.*"), "flips")
-    flips = F.broadcast(flips) if n_patterns <= 100_000 else flips
-    out = both.join(flips, "pattern", "left")
-    hit = (F.col("_h") == F.col("_fh")) & (F.col("size") == F.col("_fs"))
-    return out.withColumn("repeats", F.col("repeats") + F.when(hit, F.col("_by")).otherwise(0)).drop("_fh", "_fs", "_by")
+    below = (F.col("h") < F.col("edge")) | (F.col("h") == F.col("edge")) & (F.col("size") < F.col("edge_size"))
+    near = near.where(~((F.col("h") == F.col("edge")) & (F.col("size") == F.col("edge_size")))).where(((F.col("gap") > 0) & ~below) | ((F.col("gap") < 0) & below)).where(off < F.abs("gap"))
+    found = near.groupBy("pattern").agg(F.min_by(F.struct("h", "size", "n", F.signum("gap").cast("int").alias("by")), F.struct(off, F.col("h"), F.col("size"))).alias("f"))
+    return found.select("pattern", "f.*")
+
+
+def _ranked(out: DataFrame, shared: Column) -> DataFrame:
+    """Adds rank, from 1: the place of a row among its copies where ``shared``, else 1.
+
+    Copies, of which one class may have very many, are numbered within salts, and salts by their counts.
+    """
+    out = out.withColumn("shared", shared)
+    some = out.where("shared").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
+    key = ("pattern", "h", "size")
+    counts = some.groupBy(*key, "salt").agg(F.count("*").alias("c"))
+    before = counts.withColumn("before", F.sum("c").over(Window.partitionBy(*key).orderBy("salt")) - F.col("c")).drop("c")
+    own = F.row_number().over(Window.partitionBy(*key, "salt").orderBy("salt"))
+    some = some.withColumn("own", own).join(before, [*key, "salt"]).withColumn("rank", F.col("before") + F.col("own")).drop("salt", "own", "before")
+    return some.unionByName(out.where("not shared").withColumn("rank", F.lit(1).cast("long")))
 
 
 def _scaled(targets: list[float], total: int) -> list[float]:
@@ -176,9 +253,9 @@ def n_words(text):
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array(F.col("source")).alias("sources"), F.col("source").alias("src"), n_words(F.col("text")).alias("size"))
-    mixed, known = mix_sources(Scratch(spark, "sizes").write(docs, "docs"))
-    rows = [(x, h, t) for x, h, t in zip(known["names"], known["held"], known["targets"], strict=True)]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("size"))
+    mixed, known = mix_sources(Scratch(spark, "sizes").write(docs, "docs"), F.array("source"), F.col("size"))
+    rows = list(zip(known["names"], known["held"], known["targets"], strict=True))
     table = spark.createDataFrame(rows, "s string, source_size long, target double")
-    table = F.broadcast(table) if len(rows) <= 100_000 else table
-    return mixed.join(table, F.col("src").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken", F.col("repeats").cast("int").alias("repeats"))
+    table = F.broadcast(table) if len(rows) <= BROADCAST_PATTERNS else table
+    return mixed.join(table, F.col("row.source").eqNullSafe(F.col("s"))).select("row.doc_id", "size", "source_size", "target", "taken", "repeats")

@@ -331,6 +331,56 @@ def test_op9_mix(spark, sf):
     assert Counter({r["source_size"]: 1 for r in got}).keys() == set(size.values())
 
 
+def _mix_check(rows):
+    by = defaultdict(list)
+    for r in rows:
+        by[r["source"]].append(r)
+    for own in by.values():
+        assert {r["source_size"] for r in own} == {sum(r["size"] for r in own)}
+        taken, target = sum(r["taken"] for r in own), own[0]["target"]
+        sizes = [r["size"] for r in own if r["size"]]
+        assert abs(taken - target) <= (min(max(sizes), max(1, sum(sizes) // 4)) / 2 if sizes else 0) + 1, (own[0]["source"], taken, target)
+
+
+def test_op9_meets_targets_with_odd_ids_and_any_layout(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["w"] * int(n)), "en", "abcd"[i % 4]) for i, n in enumerate(rng.integers(0, 300, 400))]
+    rows += [(None, " ".join(["w"] * 100), "en", "e")] * 31 + [(7, " ".join([f"v{i % 3}"] * 50), "en", "f") for i in range(60)]
+    rows += [(7, " ".join(["x"] * 40), "en", None)] * 25 + [(None, None, None, "g"), (None, "", None, "h"), (1, "one", None, "i")]
+    schema = "doc_id long, text string, lang string, source string"
+    found = []
+    for k, parts in enumerate((1, 7)):
+        where = tmp_path / str(k)
+        spark.createDataFrame(rows[:: 1 - 2 * k], schema).repartition(parts).write.parquet(f"{where}/documents.parquet")
+        got = mixing.op9_mixing(spark, str(where))
+        docs = [r.asDict() for r in got.collect()]
+        found.append(Counter(tuple(sorted(r.items(), key=str)) for r in docs))
+        # Sources have sizes of their own here.
+        names = {sum(len((t or "").split()) for _, t, _, s in rows if s == x): x for x in {r[3] for r in rows}}
+        _mix_check([r | {"source": names[r["source_size"]]} for r in docs if r["source_size"]])
+    assert found[0] == found[1] and sum(found[0].values()) == len(rows)
+
+
+def test_op9_overlapping_sources_and_clashing_columns(spark):
+    rows = [(i, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b", "b"], 10, "x", i) for i in range(90)] + [(900, [], 10, "x", 0), (901, None, 10, "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, size long, pattern string, rank long")
+    mixed, known = mixing.mix_sources(docs, F.col("sources"), F.col("size"))
+    got = [r.asDict(recursive=True) for r in mixed.collect()]
+    assert len(got) == len(rows) and known["names"] == ["a", "b", None]
+    taken = {r["row"]["doc_id"]: r["taken"] for r in got}
+    assert taken[900] == 0 and taken[901] == 20  # a null source is one of its own; 30, its limit, is scaled as tokens are shared
+    assert abs(sum(taken.values()) - sum(known["targets"])) <= 10
+    assert {r["row"]["pattern"] for r in got} == {"x"} and [r["row"]["rank"] for r in got if r["row"]["doc_id"] == 5] == [5]
+
+
+def test_op9_flow_by_parts_is_the_whole_flow():
+    patterns = [(frozenset({0}), 10), (frozenset({0, 1}), 12), (frozenset({2}), 9), (frozenset({3, 4}), 20), (frozenset({4}), 5), (frozenset(), 3)]
+    quotas = [15, 20, 11, 30, 12]
+    whole, parts = mixing.min_cost_flow(patterns, quotas, 3), mixing.flow_by_parts(patterns, quotas, 3)
+    for k in range(5):
+        assert sum(v for (_, s), v in whole.items() if s == k) == sum(v for (_, s), v in parts.items() if s == k)
+
+
 def test_op9_water_fill_and_flow():
     assert mixing.water_fill([10, 10, 1000], [1, 2, 3], 3) == [30, 30, 960]
     assert sum(mixing.water_fill([50, 70, 0, 30], [1, 2, 3, 1], 3)) == pytest.approx(150)
