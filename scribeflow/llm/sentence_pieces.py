@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 MARK = "▁"
-#: Words that a worker remembers before it starts anew.
-REMEMBER = 300_000
+#: Bytes of words and pieces, and pairs of pieces, that a task remembers before it starts anew.
+REMEMBER, REMEMBER_PAIRS = 24_000_000, 200_000
 
 
 def default_model() -> str:
@@ -63,6 +63,7 @@ class Pieces:
     pairs: dict = field(default_factory=dict)
     alone: dict = field(default_factory=dict)
     words: dict = field(default_factory=dict)
+    held: int = 0
 
 
 def load(data: bytes) -> Pieces:
@@ -134,7 +135,7 @@ def _compatible(p: Pieces, left: str, right: str) -> bool:
     known = p.pairs.get(key)
     if known is not None:
         return known
-    if len(p.pairs) > 400_000:
+    if len(p.pairs) > REMEMBER_PAIRS:
         p.pairs.clear()
     rank, due = p.rank, np.inf
     a, b = left, right
@@ -223,11 +224,13 @@ def encode_words(p: Pieces, words: list[str]) -> dict[str, list[int]]:
 def encode(p: Pieces, texts: list[str | None]) -> list[np.ndarray]:
     """Piece ids of each text as int32 arrays."""
     cut = [p.cut.findall((" " if p.prefix else "") + t) if t else [] for t in texts]
-    if len(p.words) > REMEMBER:
+    if p.held > REMEMBER:
         p.words.clear()
+        p.held = 0
     fresh = {w for words in cut for w in words if w not in p.words}
     for w, ids in encode_words(p, list(fresh)).items():
         p.words[w] = np.array(ids, np.int32).tobytes()
+        p.held += 200 + 2 * len(w) + 4 * len(ids)
     get = p.words.__getitem__
     return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in cut]
 
@@ -250,6 +253,14 @@ def _loaded(data: bytes) -> Pieces:
     return _LOADED[key]
 
 
+def forget() -> None:
+    """Empties what a task remembered; the vocabularies stay."""
+    for p in _LOADED.values():
+        p.words.clear()
+        p.pairs.clear()
+        p.held = 0
+
+
 def tokenize_documents(docs: DataFrame, model_path: str | None = None, ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (where asked for), ids_sha256 of little-endian int32, text_sha256 of the decoded text, round_trip."""
     with open(model_path or default_model(), "rb") as f:  # read by the driver; executors get the bytes
@@ -274,8 +285,8 @@ def tokenize_documents(docs: DataFrame, model_path: str | None = None, ids: bool
         yield out
 
     schema = "doc_id long, n_tokens long, " + "ids array<int>, " * ids + "ids_sha256 string, text_sha256 string, round_trip boolean"
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, forget=(forget,))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False)
+    return tokenize_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
