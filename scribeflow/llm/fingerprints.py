@@ -13,24 +13,29 @@ The next document by descending id is found without a global sort in one task: d
 ranges of the id, and the first of each range is also sent to the range before it.
 
 Defined results: null texts count as empty; the empty text has no paragraph, and two empty texts have
-likeness 1; rows with the same id follow each other by text; null ids come last; a table of one row has
-itself as its next document; other columns are ignored.
+likeness 1; rows with the same id follow each other by a hash of their text (the upper half, then the
+lower), then by text; null ids come last, in that order too; a table of one row has itself as its next
+document; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import mix
+from .common import mix, tidy
 
 CELLS, HASHES = 32, 3
+#: Bytes of text for each range of ids, and most ranges.
+RANGE_BYTES, MOST_RANGES = 64_000_000, 65_536
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -120,12 +125,34 @@ def peel(count: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.nd
     return join(owners, np.int64), join(digests, np.uint64), join(signs, np.int64), empty
 
 
-def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many digests differ between the sets of each pair, recovered by subtracting and peeling."""
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def tables(sets: list[np.ndarray], m: int) -> Table:
+    """A table of ``m`` cells for each set."""
+    n = len(sets)
+    return build(np.concatenate(sets) if n else np.zeros(0, np.uint64), np.repeat(np.arange(n), [len(s) for s in sets]), n, m)
+
+
+def subtracted(left: Table, right: Table) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of tables how many digests differ, and whether peeling recovered them all."""
+    owner, _, _, empty = peel(left[0] - right[0], left[1] ^ right[1], left[2] ^ right[2])
+    return np.bincount(owner, minlength=len(empty)), empty
+
+
+def differences(left: list[np.ndarray], right: list[np.ndarray], first: tuple[Table, Table] | None = None) -> np.ndarray:
+    """How many digests differ between the sets of each pair, recovered by subtracting and peeling.
+
+    ``first``: the sets' tables of the first level, where they are there already.
+    """
     n = len(left)
     out = np.zeros(n, np.int64)
     todo = np.arange(n)
     level = 0
+    if first and n:
+        found, empty = subtracted(*first)
+        out[empty] = found[empty]
+        todo, level = todo[~empty], 1
     while len(todo):
         m = size_for(level)
         # Tables much too small for even the difference in size can't be peeled, so they are skipped.
@@ -135,13 +162,7 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         step = max(1, 300_000 // m)
         for at in range(0, len(now), step):
             part = now[at : at + step]
-            tables = []
-            for side in (left, right):
-                sizes = [len(side[i]) for i in part]
-                tables.append(build(np.concatenate([side[i] for i in part]), np.repeat(np.arange(len(part)), sizes), len(part), m))
-            (c1, k1, h1), (c2, k2, h2) = tables
-            owner, _, _, empty = peel(c1 - c2, k1 ^ k2, h1 ^ h2)
-            found = np.bincount(owner, minlength=len(part))
+            found, empty = subtracted(tables([left[i] for i in part], m), tables([right[i] for i in part], m))
             out[part[empty]] = found[empty]
             failed.append(part[~empty])
         todo = np.concatenate([later, *failed]) if failed else later
@@ -149,20 +170,34 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def likeness(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+def likeness(left: list[np.ndarray], right: list[np.ndarray], first: tuple[Table, Table] | None = None) -> np.ndarray:
     """Shared digests over all digests of each pair; 1 where both have none."""
     both = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64)
-    d = differences(left, right)
+    d = differences(left, right, first)
     return np.where(both == 0, 1.0, (both - d) / np.maximum(both + d, 1))
 
 
-def fingerprints(sets: list[np.ndarray]) -> list[str]:
-    """Each set's table of the first level as text: paragraphs, then count, key and check of every cell."""
-    n, m = len(sets), size_for(0)
-    count, keys, checks = build(np.concatenate(sets) if n else np.zeros(0, np.uint64), np.repeat(np.arange(n), [len(s) for s in sets]), n, m)
-    table = np.zeros((n, m), [("c", ">u2"), ("k", ">u8"), ("h", ">u4")])
-    table["c"], table["k"], table["h"] = np.minimum(count, 65535), keys, checks >> np.uint64(32)
-    return [f"{len(s):08x}" + row.tobytes().hex() for s, row in zip(sets, table, strict=True)]
+_CELL = np.dtype([("c", ">u4"), ("k", ">u8"), ("h", ">u8")])
+
+
+def fingerprints(table: Table, sizes: list[int]) -> list[str]:
+    """Tables of the first level as text: paragraphs, then count, key and check of every cell, all exact."""
+    cells = np.zeros(table[0].shape, _CELL)
+    cells["c"], cells["k"], cells["h"] = table
+    return [f"{n:08x}" + row.tobytes().hex() for n, row in zip(sizes, cells, strict=True)]
+
+
+def read_fingerprint(text: str) -> tuple[int, Table]:
+    """How many paragraphs a fingerprint has, and its table."""
+    cells = np.frombuffer(bytes.fromhex(text[8:]), _CELL)
+    return int(text[:8], 16), (cells["c"].astype(np.int64)[None], cells["k"].astype(np.uint64)[None], cells["h"].astype(np.uint64)[None])
+
+
+def near(left: str, right: str) -> float | None:
+    """Likeness of two texts from their fingerprints alone; None where the texts differ in too much for them."""
+    (n, one), (m, two) = read_fingerprint(left), read_fingerprint(right)
+    found, empty = subtracted(one, two)
+    return None if not empty[0] else 1.0 if not n + m else float((n + m - found[0]) / (n + m + found[0]))
 
 
 def edited(text: str, follow: str) -> str:
@@ -181,15 +216,17 @@ def _compare(ids: list, texts: list[str], follow: str) -> pa.RecordBatch:
     changed = [raw(edited(t, f)) for t, f in zip(texts, after, strict=True)]
     own = [paragraphs(raw(t)) for t in [*texts, follow]]
     other = [paragraphs(c) for c in changed]
+    mine, its = tables(own, size_for(0)), tables(other, size_for(0))
+    head = tuple(x[:-1] for x in mine)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()),
             pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(c).hexdigest() for c in changed]),
-            pa.array(fingerprints(own[:-1])),
-            pa.array(fingerprints(other)),
-            pa.array(likeness(own[:-1], other)),
-            pa.array(likeness(own[:-1], own[1:])),
+            pa.array(fingerprints(head, [len(x) for x in own[:-1]])),
+            pa.array(fingerprints(its, [len(x) for x in other])),
+            pa.array(likeness(own[:-1], other, (head, its))),
+            pa.array(likeness(own[:-1], own[1:], (head, tuple(x[1:] for x in mine)))),
         ],
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
@@ -219,37 +256,67 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(t)
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, doc_id, text, borrowed): ranges of descending ids, each ending with its follower.
+def _count_above(points: list[int], value: Column) -> Column:
+    """How many of the falling ``points`` are above ``value``, by halving."""
+    if not points:
+        return F.lit(0)
+    held = F.lit(np.array(points, np.int64).tolist())
+    steps = F.lit([1 << k for k in range(len(points).bit_length() - 1, -1, -1)])
+    more = lambda n, k: (n + k <= len(points)) & (F.get(held, n + k - 1) > value)
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when(more(n, k), n + k).otherwise(n))
+
+
+def with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """(part, tie, doc_id, text, borrowed): ranges of descending ids, each ending with its follower; how many.
 
-    Only ``parts`` - 1 split points and each range's first id reach the driver. Ids are split by their
-    frequencies, read from the id column alone.
+    Split points are quantiles of the id column alone. An id that several of them fall on is split further by
+    the hash of its texts, and so are null ids, which come last. The driver gets the split points and each
+    range's first place.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    known = docs.agg(F.count("doc_id").alias("ids"), F.count("*").alias("rows")).first()
+    for_null = min(parts, -(-(known["rows"] - known["ids"]) * parts // max(1, known["rows"])))
     spread = docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
-    cuts = sorted({int(c) for c in spread}, reverse=True)
-    points = F.lit(np.array(cuts, np.int64).tolist()) if cuts else F.array().cast("array<bigint>")
-    # Range 0 has the largest ids; null ids are in the last one.
-    part = F.coalesce(F.aggregate(points, F.lit(0), lambda n, c: n + (F.col("doc_id") < c).cast("int")), F.lit(len(cuts)))
+    often = Counter(int(c) for c in spread)
+    # Ranges in falling order: (first id of the range, its parts by hash); range 0 has the largest ids.
+    cuts = sorted(often, reverse=True)
+    heavy = {c: often[c] for c in cuts if often[c] > 1}
+    # Above cut i come i ranges and what the heavy ids among the cuts before it add.
+    own = F.col("doc_id")
+    start = _count_above(cuts, own)
+    points = [c for c in cuts for _ in range(often[c] - 1)]
+    part = start + _count_above(points, own)
+    share = lambda n: F.floor(F.shiftrightunsigned("tie", 32) * n / F.lit(1 << 32)).cast("int")
+    if heavy:
+        ids, sizes = list(heavy), list(heavy.values())
+        at = F.array_position(F.lit(ids), own)
+        part = part + F.coalesce(F.when(at > 0, share(F.get(F.lit(sizes), (at - 1).cast("int")))), F.lit(0))
+    last = len(spread) + 1
+    part = F.when(own.isNull(), F.lit(last) + share(F.lit(max(1, for_null)))).otherwise(part).cast("int")
     placed = docs.withColumn("part", part)
-    tops = placed.groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()
+    n = last + max(1, for_null)
+    order = F.struct(F.bitwise_not(own), F.shiftrightunsigned("tie", 32), F.shiftleft("tie", 32))
+    tops = placed.groupBy("part").agg(F.min(order).alias("top")).orderBy("part").collect()
     if not tops:
-        return placed.withColumn("borrowed", F.lit(False))
+        return placed.withColumn("borrowed", F.lit(False)), n
     before = {r["part"]: tops[i - 1]["part"] for i, r in enumerate(tops)}
-    heads = spark.createDataFrame([(r["part"], r["top"], before[r["part"]]) for r in tops], "part int, top long, to int")
-    # A head is one document, the first by text among equal ids; the heads' texts are one a range.
-    heads = placed.join(F.broadcast(heads), "part").where(F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = heads.groupBy("part", "to").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("text").isNotNull().alias("some"), "text")).alias("t"))
-    heads = heads.select("doc_id", F.col("t.text").alias("text"), F.col("to").alias("part"), F.lit(True).alias("borrowed"))
-    return placed.withColumn("borrowed", F.lit(False)).unionByName(heads)
+    heads = spark.createDataFrame([(r["part"], tuple(r["top"]), before[r["part"]]) for r in tops], StructType([StructField("part", IntegerType()), StructField("top", placed.select(order.alias("o")).schema["o"].dataType), StructField("to", IntegerType())]))
+    # A head is one document, the first by text among those of the first place; heads are one a range.
+    heads = placed.join(F.broadcast(heads), "part").where(order.eqNullSafe(F.col("top")))
+    heads = heads.groupBy("part", "to").agg(F.min("doc_id").alias("doc_id"), F.min("tie").alias("tie"), F.min(F.struct(F.col("text").isNotNull().alias("some"), "text")).alias("t"))
+    heads = heads.select("doc_id", F.col("t.text").alias("text"), "tie", F.col("to").alias("part"), F.lit(True).alias("borrowed"))
+    return placed.withColumn("borrowed", F.lit(False)).unionByName(heads), n
 
 
 def compare_versions(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited version, and their likeness; see the module."""
-    parts = max(8, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = with_next(docs, parts).repartition(parts, "part").sortWithinPartitions("part", "borrowed", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
-    return rows.mapInArrow(_walk, _SCHEMA)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = max(8, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows, n = with_next(docs, min(MOST_RANGES, max(least, size // RANGE_BYTES)))
+    rows = rows.repartitionById(n, F.col("part"))  # range i goes to task i
+    rows = rows.sortWithinPartitions("part", "borrowed", F.col("doc_id").desc_nulls_last(), F.shiftrightunsigned("tie", 32), F.shiftleft("tie", 32), F.col("text").asc_nulls_first())
+    return rows.mapInArrow(tidy(_walk), _SCHEMA)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

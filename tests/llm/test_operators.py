@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from scribeflow.llm import chat_format, fingerprints, html_extract, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, registry, sentence_pieces, sharding
@@ -155,7 +156,8 @@ def test_op3_context_vectors_go_by_whole_word(spark):
 
 def test_op4_against_sets(spark, sf):
     docs = documents()
-    order = sorted((r for r in docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+    tie = lambda t: xxhash.xxh64_intdigest((t or "").encode(), seed=42)
+    order = sorted((r for r in docs), key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1]) >> 32, (tie(r[1]) & 0xFFFFFFFF) ^ 0x80000000, r[1] is not None, r[1] or ""))
     texts = [(r[0], r[1] or "") for r in order]
     want = Counter()
     for i, (d, t) in enumerate(texts):
@@ -172,6 +174,36 @@ def test_op4_against_sets(spark, sf):
         if r["doc_id"] in (105, 106):
             by["empty"].add(r["fingerprint"])
     assert len(by["empty"]) == 1
+    peeled = 0
+    for r in got:
+        found = fingerprints.near(r["fingerprint"], r["edited_fingerprint"])
+        if found is not None:
+            assert found == pytest.approx(r["near_edited"])
+            peeled += found < 1
+    assert peeled > 3
+
+
+def test_op4_heavy_ids_are_split(spark):
+    rows = [(5, f"text {i} of the heavy id\nline {i % 3}") for i in range(300)] + [(None, f"no id {i}") for i in range(200)] + [(i, f"doc {i}") for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed, n = fingerprints.with_next(docs, 10)
+    sizes = Counter(r["part"] for r in placed.where("not borrowed").select("part").collect())
+    assert max(sizes.values()) < 150 and sum(sizes.values()) == len(rows) and max(sizes) < n
+    tie = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1]) >> 32, (tie(r[1]) & 0xFFFFFFFF) ^ 0x80000000, r[1]))
+    want = Counter()
+    for i, (d, t) in enumerate(order):
+        follow = order[(i + 1) % len(order)][1]
+        want[d, len(t), hashlib.sha256(fingerprints.edited(t, follow).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows_of(fingerprints.compare_versions(docs))) == want
+
+
+def test_op4_counts_past_two_bytes():
+    a = np.arange(1, 400_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    b = np.concatenate((a[5:], np.array([3, 4], np.uint64)))
+    m = fingerprints.size_for(0)
+    one, two = (fingerprints.fingerprints(fingerprints.tables([x], m), [len(x)])[0] for x in (a, b))
+    assert fingerprints.near(one, two) == pytest.approx((len(a) - 5) / (len(a) + 2))
 
 
 def test_op4_peels_after_growing():
