@@ -8,10 +8,12 @@ The positions of the texts to score are sent to the shards, and sums by text com
 
 Prediction: the longest known context of the bytes before predicts the next symbol. Escape
 probability is estimated as in method D (half a count from each distinct symbol), and symbols that a longer
-context has ruled out are excluded from the shorter ones, down to a uniform order -1.
+context has ruled out are excluded from the shorter ones, down to a uniform order -1. Counts follow update
+exclusion: a context of two to four symbols counts a symbol once for each longer context that it was new in,
+so that it tells what to expect after an escape; pairs and single symbols count all occurrences.
 As the counts don't change while scoring, every context's escape is worked out once, and a distinct run of a
 batch costs a look-up or a few. ``AdaptiveModel`` is the same model updated while it reads, for a text on its
-own; ``Trie`` is the same model in dense tables, for small counts in one process.
+own.
 
 A text ends with an end symbol, so that the score of the empty text is the end's at the start.
 
@@ -67,114 +69,6 @@ def positions(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
 
 
-def runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of ORDER + 1 symbols, packed oldest first, and how often each occurs."""
-    a, sizes = encode(texts)
-    at = positions(sizes)
-    wide = a.astype(np.uint64)
-    code = np.zeros(len(at), np.uint64)
-    for k in range(ORDER, -1, -1):
-        code = (code << _WIDTH) | wide[at - k]
-    return np.unique(code, return_counts=True)
-
-
-class Trie:
-    """Contexts as rows of two dense tables: the step to a longer context, and log10 probabilities."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """``tables[k]``: packed runs of k + 1 symbols (k before the predicted one) and their counts."""
-        mask = lambda k: np.uint64((1 << (9 * k)) - 1)
-        used = np.zeros(SYMBOLS, bool)
-        used[END] = True
-        for codes, _ in tables[:1]:
-            used[(codes & mask(1)).astype(np.int64)] = True
-        self.alphabet = np.flatnonzero(used)
-        small = np.full(SYMBOLS, len(self.alphabet), np.int64)
-        small[self.alphabet] = np.arange(len(self.alphabet))
-        self.small = small.astype(np.int32)  # symbols never seen share the last column
-        n = len(self.alphabet) + 1
-        unseen = SYMBOLS - len(self.alphabet)
-        rows, steps = [], []
-        last_ctx = np.zeros(0, np.uint64)
-        last_counts = last_escaped = last_out = None
-        first_row = 0
-        offsets = []
-        for k, (codes, counts) in enumerate(tables):
-            ctx, where = np.unique(codes >> _WIDTH, return_inverse=True)
-            if not len(ctx):
-                break
-            c = np.zeros((len(ctx), n), np.float32)
-            c[where, small[(codes & mask(1)).astype(np.int64)]] = counts
-            escaped, logp, out = np.empty_like(c), np.empty_like(c), np.empty((len(ctx), 1))
-            if k:
-                # How often a context occurs at all; less its kept runs, that is what was left out.
-                before, times = tables[k - 1]
-                i = np.minimum(np.searchsorted(before, ctx), len(before) - 1)
-                occurs = np.where(before[i] == ctx, times[i], 0)
-                above = np.searchsorted(last_ctx, ctx & mask(k - 1))
-            for at in range(0, len(ctx), 4096):  # a few rows at once, as the driver's memory is small
-                part = slice(at, at + 4096)
-                counted = c[part]
-                seen = counted > 0
-                d, kept = seen.sum(1, keepdims=True), counted.sum(1, keepdims=True, dtype=np.float64)
-                if k == 0:
-                    whole = kept
-                    rest = np.full((1, n), 1.0)
-                    rest[:, -1] = unseen
-                    rest[seen] = 0
-                    total = rest.sum(1, keepdims=True)
-                    rest = rest / np.where(total > 0, total, 1)
-                else:
-                    up = above[part]
-                    whole = np.maximum(kept, occurs[part][:, None])
-                    pc = np.where(seen, 0, np.maximum(last_counts[up] - np.float32(DISCOUNT), 0))
-                    fresh = last_out[up] + DISCOUNT * ((last_counts[up] > 0).sum(1, keepdims=True) - d)
-                    total = pc.sum(1, keepdims=True) + fresh
-                    # Where the shorter context has no symbol of its own to add, it is passed through.
-                    some = np.where(total > 0, total, 1)
-                    rest = np.where(seen, 0, np.where(pc > 0, pc / some, np.where(total > 0, fresh / some, 1) * last_escaped[up]))
-                left = rest.sum(1, keepdims=True)
-                escape = np.where(left <= 0, 0, (whole - kept + DISCOUNT * d) / whole)
-                rest = rest / np.where(left > 0, left, 1)
-                p = np.where(seen, np.where(left <= 0, counted / kept, (counted - DISCOUNT) / whole), escape * rest)
-                # The column of unseen symbols stands for each of them, not for their sum.
-                p[:, -1] /= max(unseen, 1)
-                escaped[part], logp[part], out[part] = rest, np.log10(np.maximum(p, 1e-300)), whole - kept
-            rows.append(logp)
-            step = np.zeros((len(ctx), n), np.int32)
-            if k:
-                # The oldest symbol of a context leads from the context without it.
-                parent = offsets[k - 1] + np.searchsorted(last_ctx, ctx & mask(k - 1))
-                old = small[(ctx >> np.uint64(9 * (k - 1))).astype(np.int64)]
-                steps[-1][parent - offsets[k - 1], old] = first_row + np.arange(len(ctx))
-            if k < len(tables) - 1:  # nothing is longer than the longest
-                steps.append(step)
-            offsets.append(first_row)
-            first_row += len(ctx)
-            last_ctx, last_counts, last_escaped, last_out = ctx, c, escaped, out
-        if rows:
-            self.steps, self.logp = np.concatenate(steps), np.concatenate(rows)
-        else:
-            self.steps = np.zeros((1, n), np.int32)
-            self.logp = np.full((1, n), -math.log10(SYMBOLS), np.float32)
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        a, sizes = encode(texts)
-        at = positions(sizes)
-        s = self.small[a]
-        width = self.steps.shape[1]
-        step = self.steps.ravel()
-        node = np.zeros(len(at), np.int32)
-        go = np.ones(len(at), bool)
-        for k in range(1, ORDER + 1):
-            to = step[node.astype(np.int64) * width + s[at - k]]
-            go &= to > 0
-            node = np.where(go, to, node)
-        each = self.logp.ravel()[node.astype(np.int64) * width + s[at]].astype(np.float64)
-        return np.add.reduceat(each, np.concatenate(([0], np.cumsum(sizes)[:-1]))) if len(sizes) else np.zeros(0)
-
-
 class AdaptiveModel:
     """The same prediction with counts that grow as a text is read; for single texts and as a check."""
 
@@ -199,9 +93,14 @@ class AdaptiveModel:
             ruled |= set(left)
         return math.log10(p / (SYMBOLS - len(ruled)))
 
-    def learn(self, history: list[int], symbol: int, times: int = 1) -> None:
-        for k in range(min(self.order, len(history)) + 1):
-            self.counts.setdefault(tuple(history[len(history) - k :]), Counter())[symbol] += times
+    def learn(self, history: list[int], symbol: int) -> None:
+        new = True
+        for k in range(min(self.order, len(history)), -1, -1):
+            c = self.counts.setdefault(tuple(history[len(history) - k :]), Counter())
+            was_new = symbol not in c
+            if new or k <= 1:
+                c[symbol] += 1
+            new = new and was_new
 
     def score(self, text: str | None, learn: bool = True) -> float:
         history, total = [END] * self.order, 0.0
@@ -308,7 +207,7 @@ class Shard:
             up = ((codes >> np.uint64(18)) << _WIDTH) | (codes & nine)  # the run without its oldest symbol
             where = None
             if k > 2:
-                more, sums, where = added(up, counts)
+                more, sums, where = added(up, np.ones(len(up)))
             ctx = codes >> _WIDTH
             new = np.ones(len(ctx), bool)
             new[1:] = ctx[1:] != ctx[:-1]

@@ -257,22 +257,21 @@ def test_op6_base_and_model(spark, sf):
 
 def test_op6_distributions_sum_to_one():
     texts = ["abracadabra", "abra cad", "", "bra\nbra", "é"] * 3
-    codes, counts = lm_scoring.runs(texts)
-    tables = []
-    for k in range(lm_scoring.ORDER + 1):
-        u, w = np.unique(codes & np.uint64((1 << (9 * (k + 1))) - 1), return_inverse=True)
-        q = np.bincount(w, weights=counts)
-        tables.append((u[q >= 4], q[q >= 4]))
-    trie = lm_scoring.Trie(tables)
-    p = 10.0 ** trie.logp.astype(float)
-    assert np.allclose(p[:, :-1].sum(1) + p[:, -1] * (lm_scoring.SYMBOLS - len(trie.alphabet)), 1, atol=1e-5)
+    codes, counts = np.unique(lm_scoring.packed(texts)[0], return_counts=True)
+    a, sizes = lm_scoring.encode(texts)
+    at = lm_scoring.positions(sizes)
+    roots = lm_scoring.Roots(np.bincount((a[at - 1].astype(np.int64) << 9) | a[at], minlength=1 << 18))
+    shard = lm_scoring.Shard(roots, codes, counts.astype(float))
+    every = np.arange(lm_scoring.SYMBOLS, dtype=np.uint64)
+    for context in (*np.unique(codes >> np.uint64(9))[::3], lm_scoring.packed(["zzzzabr"])[0][-1] >> np.uint64(9)):
+        assert (10.0 ** shard.log10_of((context << np.uint64(9)) | every)).sum() == pytest.approx(1)
 
 
 def test_op6_keeps_every_run(spark):
     rng = np.random.default_rng(5)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz éя"))
     texts = ["".join(letters[rng.integers(0, len(letters), 2000)]) for _ in range(110)]
-    assert len(lm_scoring.runs(texts)[0]) > 200_000  # far more than one driver-sized model used to keep
+    assert len(np.unique(lm_scoring.packed(texts)[0])) > 200_000  # far more than one driver-sized model used to keep
     docs = spark.createDataFrame([*enumerate(texts), (900, texts[3][:300] + "zzQ" + texts[70][500:800]), (901, "")], "doc_id long, text string")
     model = lm_scoring.AdaptiveModel()
     for t in texts:
