@@ -17,7 +17,8 @@
 
 Defined results: null texts and texts without words have no shingles, link with nothing and stay; under
 five words the whole sequence is the one shingle; repeated ids keep one row each and share a component;
-rows with a null id take part, and the smallest id skips them; an empty table gives an empty result.
+rows with a null id take part, and the smallest id skips them; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -189,8 +190,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, classes_too: bool = Fals
     side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"))
     near = chains.join(side("a"), "a").join(side("b"), "b").where(may_link(percent)).select("a", "b")
     links = scratch.write(verified(scratch.write(near, "near"), sets, percent), "links")
+    scratch.drop("near", "shared")
     root = _roots(members, components(links, scratch, "first"))
     more = scratch.write(verified(scratch.write(_completion(sets, root, scratch, percent), "late"), sets, percent), "more")
+    scratch.drop("sets", "late", "heads", "numbered")
     if not more.isEmpty():
         # Components of components: only their roots are linked further.
         of = root.select("cls", "root")

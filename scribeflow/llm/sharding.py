@@ -6,8 +6,12 @@ and a versioned map says which shard holds each slot. Version 0 deals slots roun
 edits single entries, moving slots from the fullest to the emptiest shard while that evens out
 bytes, and raises the version. The law is ``bytes``: shard sizes are near equal.
 
+Groups (equal texts) are not kept together: a text with many copies would make its shard the fullest, so a
+slot follows from id and text, and only rows equal in both share one.
+
 Defined results: a null text has no bytes and the crc32 of the empty text; a null id hashes as an id of
-its own; equal rows share a slot and are numbered one after the other; an empty table gives no rows.
+its own; equal rows share a slot and are numbered one after the other; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +107,17 @@ class SlotMap:
         text = json.dumps({"version": self.version, "n_shards": self.n_shards, "shards": self.shards, "edits": self.edits})
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/version={self.version}")
 
+    @classmethod
+    def latest(cls, spark: SparkSession, path: str) -> SlotMap | None:
+        """The map of the highest version under ``path``; None where there is none yet."""
+        try:
+            found = spark.read.text(path).agg(F.max("version")).first()[0]
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        return cls.load(spark, path, found)
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int) -> SlotMap:
         x = json.loads(spark.read.text(f"{path}/version={version}").first()[0])
@@ -112,9 +128,12 @@ def slot_of(n_slots: int):
     return F.pmod(F.xxhash64(F.col("doc_id"), F.col("text_crc32"), F.lit(20)), F.lit(n_slots)).cast("int")
 
 
-def shard_records(records: DataFrame, n_shards: int, n_slots: int = N_SLOTS, slot_map: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
+def shard_records(records: DataFrame, n_shards: int, n_slots: int = N_SLOTS, map_path: str | None = None) -> tuple[DataFrame, SlotMap]:
     """(rows with virtual_slot, shard and slot, the map). ``records``: doc_id, size, text_crc32.
 
+    ``map_path``: where the versions of the map are kept; the latest one there is edited, and the result is
+    saved beside it. Without a path, or with none there, slots start round robin.
+
     ``slot`` is a row's place in its shard, gapless from 0: places of a virtual slot follow those of the
     shard's lower virtual slots, and within one they follow the id. Equal rows are counted before the
     shuffle and dealt out again after it, so that a much repeated row is no hot key.
@@ -127,10 +146,15 @@ def shard_records(records: DataFrame, n_shards: int, n_slots: int = N_SLOTS, slo
     weights, counts = [0] * n_slots, [0] * n_slots
     for r in stats:
         weights[r["virtual_slot"]], counts[r["virtual_slot"]] = r["bytes"], r["rows"]
-    first = slot_map or SlotMap.round_robin(n_slots, n_shards)
+    kept = map_path or f"{scratch.path}/map"
+    first = SlotMap.latest(spark, kept)
+    if first is None:
+        first = SlotMap.round_robin(n_slots, n_shards)
+        first.save(spark, kept)
+    if (len(first.shards), first.n_shards) != (n_slots, n_shards):
+        raise ValueError("the saved map has other numbers of slots or shards")
     chosen = first.rebalance(weights)
-    first.save(spark, f"{scratch.path}/map")
-    chosen.save(spark, f"{scratch.path}/map")
+    chosen.save(spark, kept)
     offset, filled = [], [0] * chosen.n_shards
     for slot, shard in enumerate(chosen.shards):
         offset.append(filled[shard])

@@ -237,6 +237,27 @@ def test_op5_balance_growth_and_versions(spark, tmp_path):
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == even
 
 
+def test_op5_map_versions_follow_each_other(spark, tmp_path):
+    records = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 50 + 8).alias("size"), F.lit(0).cast("long").alias("text_crc32"))
+    where = str(tmp_path / "slots")
+    rows, one = sharding.shard_records(records, 6, 512, where)
+    loads = [r["b"] for r in rows.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(loads) == 6 and (max(loads) - min(loads)) / (sum(loads) / 6) < 0.01
+    more, two = sharding.shard_records(records.union(records.where("doc_id % 9 = 0")), 6, 512, where)
+    assert (one.version, two.version) == (1, 2) and two.edits[: len(one.edits)] == one.edits
+    assert sum(a != b for a, b in zip(one.shards, two.shards)) < 256  # edited, not dealt anew
+    assert sharding.SlotMap.latest(spark, where) == two and more.count() == 4445
+    with pytest.raises(ValueError):
+        sharding.shard_records(records, 7, 512, where)
+
+
+def test_op5_query_is_even(spark):
+    d = "/root/testdata/sf0.01"
+    loads = [r["b"] for r in sharding.op5_sharding(spark, d).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    longest = spark.read.parquet(f"{d}/documents.parquet").agg(F.max(F.octet_length("text"))).first()[0]
+    assert len(loads) == 24 and max(loads) - min(loads) <= max(longest + 8, 0.02 * sum(loads) / 24)
+
+
 def test_op6_base_and_model(spark, sf):
     docs = documents()
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
