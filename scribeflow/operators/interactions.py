@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN_TOOL = "(unknown)"
@@ -42,8 +42,10 @@ def tool_interactions(events: DataFrame) -> DataFrame:
     return grouped.select("session_key", F.col("start_seq").alias("seq"), "tool_call_id", "has_call", "name", "call_kind", "call_ts_us", "results")
 
 
-def tool_names(results: DataFrame) -> DataFrame:
-    """Fills each result's tool name from the latest earlier call of its id."""
-    pairs = paired(results).where("kind = 'tool_result'").select("session_key", "seq", F.col("call_name").alias("_name"))
-    joined = results.join(pairs, ["session_key", "seq"], "left")
-    return joined.withColumn("tool_result", F.when(F.col("tool_result").isNotNull(), F.col("tool_result").withField("tool_name", F.col("_name")))).drop("_name")
+def tool_names(events: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Gives each result the name of the latest earlier call of its id; results with ``keep`` stay as they are."""
+    before = Window.partitionBy("session_key", "_ident").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    called = F.last(F.when(F.col("tool_call").isNotNull(), F.coalesce("tool_call.name", F.lit(""))), ignorenulls=True).over(before)
+    rows = events.withColumn("_ident", F.coalesce("tool_call.tool_call_id", "tool_result.tool_call_id")).withColumn("_name", F.nullif(called, F.lit("")))
+    as_is = F.col("tool_result").isNull() if keep is None else F.col("tool_result").isNull() | keep
+    return rows.withColumn("tool_result", F.when(as_is, F.col("tool_result")).otherwise(F.col("tool_result").withField("tool_name", F.col("_name")))).drop("_ident", "_name")

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 KEY = "session_key"
 
 
-def fold_islands(rows: DataFrame, ident: str, order: str) -> DataFrame:
-    """Adds ``island``: runs of rows with the same ``ident``, counted from 1."""
-    by = Window.partitionBy(KEY).orderBy(order)
+def fold_islands(rows: DataFrame, ident: str, order: str, among: Column | None = None) -> DataFrame:
+    """Adds ``island``: runs of rows with the same ``ident``, counted from 1, and ``opens_island``.
+
+    ``among``: the rows that count; the others neither extend nor end a run and have no island.
+    """
+    rows = rows.withColumn("_among", F.coalesce(among, F.lit(False)) if among is not None else F.lit(True))
+    by = Window.partitionBy(KEY, "_among").orderBy(order)
     changed = (~F.col(ident).eqNullSafe(F.lag(ident).over(by))) | (F.row_number().over(by) == 1)
-    return rows.withColumn("island", F.sum(changed.cast("int")).over(by))
+    rows = rows.withColumn("opens_island", F.col("_among") & changed)
+    return rows.withColumn("island", F.when(F.col("_among"), F.sum(F.col("opens_island").cast("int")).over(by))).drop("_among")
 
 
 def resumed_folds(islands: DataFrame, ident: str, order: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import LAST_VALIDATED, truncate_block, truncate_json, version_newer
+from ..operators.interactions import tool_names
 from ..operators.sequence import carry_forward, closing_lines, fifo_match, fold_islands
 from ..plans.schema import ASSISTANT, EVENTS, META, PAYLOADS, USAGE
 from . import decode
@@ -147,12 +148,12 @@ def _maybe(condition: Column, placed: Column) -> Column:
 
 
 def parse(lines: DataFrame, harness: str, options: Options = Options()) -> Parsed:
-    """Events, skips and errors of transcripts in one format. ``lines``: session_key, line, text.
+    """Events, skips and errors of transcripts in one format. ``lines``: session_key, line, text, or ``decoded`` ones.
 
     A transcript with an error has no events; its first error is reported. Without ``permissive`` a record
     that can't be read is an error; a message resumed after its fold closed always is.
     """
-    rows = decoded(lines, harness).repartition("session_key")
+    rows = (lines if "items" in lines.columns else decoded(lines, harness)).repartition("session_key")
     by = Window.partitionBy("session_key")
     rows = carry_forward(rows, "version", "line", "version_so_far")
     raw = F.array("text") if options.keep_raw else F.lit(None).cast("array<string>")
@@ -204,11 +205,9 @@ def parse(lines: DataFrame, harness: str, options: Options = Options()) -> Parse
             extra = F.concat(extra, _maybe(F.col("opens"), _placed(anchor, F.coalesce("close_line", F.lit(_END)), 0, F.lit(1), F.col("line"), F.col("line"), raw)))
         else:
             folds = F.col("fold").isNotNull()
-            rows = rows.withColumn("_mid", F.when(folds, F.col("fold.message_id"))).withColumn("_fold", folds)
             # Only rows of assistant messages open, extend or close a fold.
-            fold_by = Window.partitionBy("session_key", "_fold").orderBy("line")
-            rows = rows.withColumn("_new", folds & F.coalesce(F.lag("_mid").over(fold_by) != F.col("_mid"), F.lit(True)))
-            rows = rows.withColumn("_island", F.when(folds, F.sum(F.col("_new").cast("int")).over(by.orderBy("line"))))
+            rows = fold_islands(rows.withColumn("_mid", F.when(folds, F.col("fold.message_id"))), "_mid", "line", folds)
+            rows = rows.withColumnsRenamed({"island": "_island", "opens_island": "_new"})
             whole = Window.partitionBy("session_key", "_island").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             later = by.orderBy("line").rowsBetween(1, Window.unboundedFollowing)
             value = F.struct(
@@ -235,10 +234,7 @@ def parse(lines: DataFrame, harness: str, options: Options = Options()) -> Parse
     seq = Window.partitionBy("session_key").orderBy("p.major", "p.minor", "p.sub")
     events = events.select("session_key", (F.row_number().over(seq) - 1).cast("long").alias("seq"), *(F.col(f"p.e.{c}").alias(c) for c in ("kind", "ts_us", "id", "parent_id", "message_id")), "p.line", "p.end_line", "p.raw", *(F.col(f"p.e.{c}").alias(c) for c in PAYLOADS), F.col("p.e.own_name").alias("_own"))
     if harness != "antigravity":
-        before = Window.partitionBy("session_key", "_ident").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        ident = F.coalesce("tool_call.tool_call_id", "tool_result.tool_call_id")
-        named = events.withColumn("_ident", ident).withColumn("_name", F.last(F.when(F.col("tool_call").isNotNull(), F.coalesce("tool_call.name", F.lit(""))), ignorenulls=True).over(before))
-        events = named.withColumn("tool_result", F.when(F.col("tool_result").isNull() | F.coalesce("_own", F.lit(False)), F.col("tool_result")).otherwise(F.col("tool_result").withField("tool_name", F.nullif("_name", F.lit("")))))
+        events = tool_names(events, F.coalesce("_own", F.lit(False)))
     if options.max_payload_bytes > 0:
         n = options.max_payload_bytes
         cut = F.col("tool_result").withField("content", F.transform("tool_result.content", lambda b: truncate_block(b, n))).withField("enrichment", truncate_json(F.col("tool_result.enrichment"), n))
@@ -247,9 +243,16 @@ def parse(lines: DataFrame, harness: str, options: Options = Options()) -> Parse
 
 
 def parse_one(lines: DataFrame, harness: str, options: Options = Options()) -> Parsed:
-    """The same for a single transcript: its error is raised."""
-    found = parse(lines, harness, options)
+    """The same for a single transcript: its error is raised.
+
+    The decoded lines are kept, so that looking for errors and reading events decode once; ``extra["decoded"]``
+    is theirs to unpersist.
+    """
+    rows = decoded(lines, harness).persist()
+    found = parse(rows, harness, options)
     worst = found.errors.orderBy("line").first()
     if worst is not None:
+        rows.unpersist()
         raise TranscriptError(harness, worst["version"], worst["line"], worst["reason"], worst["newer"])
+    found.extra["decoded"] = rows
     return found
