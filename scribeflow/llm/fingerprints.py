@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import mix, tidy
+from .common import mapped, mix
 
 CELLS, HASHES = 32, 3
 #: Bytes of text for each range of ids, and most ranges.
@@ -316,7 +316,7 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     rows, n = with_next(docs, min(MOST_RANGES, max(least, size // RANGE_BYTES)))
     rows = rows.repartitionById(n, F.col("part"))  # range i goes to task i
     rows = rows.sortWithinPartitions("part", "borrowed", F.col("doc_id").desc_nulls_last(), F.shiftrightunsigned("tie", 32), F.shiftleft("tie", 32), F.col("text").asc_nulls_first())
-    return rows.mapInArrow(tidy(_walk), _SCHEMA)
+    return mapped(rows, _walk, _SCHEMA)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

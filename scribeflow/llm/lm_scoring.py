@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, map_batches
+from .common import Scratch, crc_mod, mapped
 from .common import slices as pieces_of
 
 ORDER = 5
@@ -297,7 +297,7 @@ def count_corpus(train: DataFrame, scratch: Scratch) -> tuple[np.ndarray, DataFr
         at = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(pairs[at])], schema=schema)
 
-    both = train.select("text").mapInArrow(run, "pair long, token binary, count long").groupBy("pair", "token").agg(F.sum("count").alias("count"))
+    both = mapped(train.select("text"), run, "pair long, token binary, count long").groupBy("pair", "token").agg(F.sum("count").alias("count"))
     both = scratch.write(both, "counts")
     got = both.where("token is null").select("pair", "count").toArrow()  # at most SYMBOLS squared
     pairs = np.zeros(1 << 18, np.int64)
@@ -335,7 +335,7 @@ def send_counts(train: DataFrame, held) -> DataFrame:
                     yield from out()
         yield from out()
 
-    return train.select("text").mapInArrow(run, _SENT_DDL)
+    return mapped(train.select("text"), run, _SENT_DDL)
 
 
 def send_texts(docs: DataFrame, held, bottom: int, ends: int) -> DataFrame:
@@ -376,7 +376,7 @@ def send_texts(docs: DataFrame, held, bottom: int, ends: int) -> DataFrame:
                 yield _sent(rows)
                 number += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SENT_DDL)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _SENT_DDL)
 
 
 def answer(sent: DataFrame, held) -> DataFrame:
@@ -418,7 +418,7 @@ def answer(sent: DataFrame, held) -> DataFrame:
                 sums = np.bincount((keys & np.uint64(1023)).astype(np.int64), weights=each, minlength=texts)
                 yield _sent([(shard, _SUMS, batch, n, texts, sums.astype(np.float32).tobytes(), None)])
 
-    return sent.mapInArrow(run, _SENT_DDL)
+    return mapped(sent, run, _SENT_DDL)
 
 
 def gather(answers: DataFrame) -> DataFrame:
@@ -444,7 +444,7 @@ def gather(answers: DataFrame) -> DataFrame:
         if texts is not None:
             yield out()
 
-    return answers.mapInArrow(run, ddl)
+    return mapped(answers, run, ddl)
 
 
 def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:

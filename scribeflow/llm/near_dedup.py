@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from .common import Scratch, lower_words, map_batches, mix, shingles, slices
+from .common import Scratch, lower_words, map_batches, mapped, mix, shingles, slices
 
 N_BANDS, BAND = 50, 6
 T = N_BANDS * BAND
@@ -215,7 +215,7 @@ def with_class(docs: DataFrame) -> DataFrame:
                 words = (lower_words(t) for t in piece.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([class_of(w) if w else None for w in words], pa.binary())], names=["row", "doc_id", "cls"])
 
-    return packed.mapInArrow(run, schema)
+    return mapped(packed, run, schema)
 
 
 def _roots(members: DataFrame, found: DataFrame) -> DataFrame:

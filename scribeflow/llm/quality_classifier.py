@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, mix, slices, tidy
+from .common import crc_mod, map_batches, mapped, mix, slices
 
 #: Buckets of endings and shapes.
 BUCKETS = 4096
@@ -179,8 +179,8 @@ def corpus_contexts(docs: DataFrame) -> np.ndarray:
         if now is not None:
             yield out()
 
-    parts = docs.select("text").mapInArrow(tidy(run), "part int, n int, at binary, sums binary")
-    parts = parts.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(total), "part int, unit binary")
+    parts = mapped(docs.select("text"), run, "part int, n int, at binary, sums binary")
+    parts = mapped(parts.repartition("part").sortWithinPartitions("part"), total, "part int, unit binary")
     table = np.zeros((1 << CONTEXT_BITS, CONTEXT), np.int8)
     for r in parts.toLocalIterator():  # PARTS rows at most
         table[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["unit"], np.int8).reshape(width, CONTEXT)
@@ -309,7 +309,7 @@ def keep_scored(docs: DataFrame, model: tuple[np.ndarray, dict], threshold: floa
                 x = pool(piece.column(text).to_pylist(), contexts)
                 yield piece.filter(pa.array(predict(x, net) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, map_batches, mix, tidy, windows5, word_hashes
+from .common import _STEP, map_batches, mapped, mix, windows5, word_hashes
 
 #: Entries of the tables of words, of pairs of words and of runs of characters, as powers of two.
 WORD_BITS, PAIR_BITS, RUN_BITS = 17, 17, 18
@@ -227,7 +227,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
                 keep.append(not fails_base(c[0], c[4]) and (held.value is None or judge(text, held.value) >= threshold))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), schema)
+    return mapped(docs, run, schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
