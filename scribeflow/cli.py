@@ -5,15 +5,20 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import TextIO
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import acp, drift, promote, sinks
+from .functions.columns import LAST_VALIDATED
+from .operators import acp, baselines, drift, promote, sinks
 from .sources import discover
 from .sources.detect import REGISTRY, detect
 from .sources.lines import lines_of, read_lines
-from .sources.transcripts import Options, TranscriptError, parse_one
+from .sources.transcripts import Options, parse_one
 
 
 def session() -> SparkSession:
@@ -37,13 +42,30 @@ def _harness(lines: DataFrame, wanted: str | None) -> str:
     return wanted or found["harness"]
 
 
-def _write(rows: DataFrame, out: str | None) -> None:
-    text = "".join(r["value"] + "\n" for r in rows.toLocalIterator())
+@contextmanager
+def _sink(out: str | None) -> Iterator[TextIO]:
     if out:
         with open(out, "w", encoding="utf-8") as f:
-            f.write(text)
+            yield f
     else:
-        sys.stdout.write(text)
+        yield sys.stdout
+
+
+def _write(rows: DataFrame, out: str | None) -> None:
+    """One value after another, never all of them at once."""
+    with _sink(out) as f:
+        for r in rows.toLocalIterator():
+            f.write(r["value"] + "\n")
+
+
+def _write_array(rows: DataFrame, out: str | None = None) -> None:
+    """The values as one JSON array."""
+    with _sink(out) as f:
+        sep = "[\n"
+        for r in rows.toLocalIterator():
+            f.write(sep + json.dumps(json.loads(r["value"]), indent=2))
+            sep = ",\n"
+        f.write("[]\n" if sep[0] == "[" else "\n]\n")
 
 
 def _detect(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -97,33 +119,36 @@ def _sessions(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.format == "paths":
         _write(sinks.ref_paths(match), None)
     else:
-        rows = [json.loads(r[0]) for r in match.orderBy("path").select(F.to_json(F.struct("*"))).collect()]
-        print(json.dumps(rows, indent=2) if a.format == "json" else "\n".join(map(json.dumps, rows)))
-    n = {r["filter_reason"]: r["count"] for r in refs.groupBy("filter_reason").count().collect()}
+        rows = match.orderBy("path").select(F.to_json(F.struct("*")).alias("value"))
+        (_write_array if a.format == "json" else _write)(rows, None)
+    n = discover.summary(refs).first()
     errors = found.errors.collect()
     for e in errors:
         print(f"{e['path']}: {e['reason']}", file=sys.stderr)
-    no_cwd = f" ({n['no recorded cwd']} without recorded cwd)" if n.get("no recorded cwd") else ""
-    print(f"{n.get(None, 0)} sessions, {sum(v for k, v in n.items() if k)} filtered out{no_cwd}, {found.skips.count()} skipped files, {len(errors)} errors", file=sys.stderr)
+    no_cwd = f" ({n['no_cwd']} without recorded cwd)" if n["no_cwd"] else ""
+    print(f"{n['matched']} sessions, {n['filtered']} filtered out{no_cwd}, {found.skips.count()} skipped files, {len(errors)} errors", file=sys.stderr)
     return 1 if errors else 0
 
 
 def _drift(spark: SparkSession, a: argparse.Namespace) -> int:
     lines = read_lines(spark, *a.paths)
     if a.verb == "baseline":
-        _write(sinks.baseline_json(drift.vocabulary(lines, a.harness), a.version), a.output)
+        if not a.harness:
+            raise ValueError("drift baseline needs --harness")
+        own = detect(lines).where(F.col("harness") == a.harness).select("session_key")
+        words = drift.vocabulary(lines.join(own, "session_key", "left_semi"), a.harness)
+        if words.isEmpty():
+            raise ValueError(f"none of the files is a {a.harness} transcript")
+        _write(sinks.baseline_json(words, a.version or LAST_VALIDATED[a.harness]), a.output)
         return 0
-    with open(a.baseline, encoding="utf-8") as f:
-        base = sinks.read_baseline(f.read(), spark)
-    try:
-        parse_one(lines, a.harness)
-    except TranscriptError as e:
-        print(f"  drift: {e}")
-        return drift.EXIT_CODES["drift"]
-    found = drift.drift(base.where(F.col("harness") == a.harness), drift.vocabulary(lines, a.harness))
-    for r in drift.report_lines(found).collect():
-        print(r["line"])
-    return drift.EXIT_CODES["drift" if found.where("finding <> 'unexercised'").count() else "clean"]
+    base = baselines.shipped(spark)
+    if a.baseline:
+        with open(a.baseline, encoding="utf-8") as f:
+            own_base = sinks.read_baseline(f.read(), spark)
+        base = base.join(own_base.select("harness").distinct(), "harness", "left_anti").unionByName(own_base)
+    outcomes, report = drift.scan(lines, base)
+    _write(report.orderBy("session_key", "rank", "line").select(F.col("line").alias("value")), a.output)
+    return drift.EXIT_CODES[drift.worst([r["category"] for r in outcomes.select("category").distinct().collect()])]
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -156,18 +181,16 @@ def main(argv: list[str] | None = None) -> int:
     p = verb("drift", _drift)
     p.add_argument("verb", choices=("scan", "baseline"))
     p.add_argument("paths", nargs="+")
-    p.add_argument("--harness", required=True, choices=REGISTRY)
-    p.add_argument("--baseline")
+    p.add_argument("--harness", choices=REGISTRY)
+    p.add_argument("--baseline", help="a baseline file to use instead of the library's own")
     p.add_argument("--version", default="")
     p.add_argument("-o", "--output")
     a = top.parse_args(argv)
-    if a.command == "drift" and a.verb == "scan" and not a.baseline:
-        top.error("drift scan needs --baseline")
     try:
         return a.run(session(), a)
-    except (ValueError, OSError) as e:
+    except (ValueError, OSError, AnalysisException) as e:
         print(f"scribeflow: {e}", file=sys.stderr)
-        return 1
+        return drift.EXIT_CODES["exec-error"] if a.command == "drift" else 1
 
 
 if __name__ == "__main__":

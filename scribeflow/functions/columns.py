@@ -100,6 +100,23 @@ def safe_session_id(text: Column) -> Column:
     return F.coalesce((text != "") & ~text.rlike(_UNSAFE_ID), F.lit(False))
 
 
+def tail(text: Column, n: int) -> Column:
+    """The last ``n`` bytes of a text, as text."""
+    raw = text.cast("binary")
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.substring(raw, -n, n).cast("string"))
+
+
+def clean_path(path: Column) -> Column:
+    """A path without doubled, trailing or ``.`` segments."""
+    one = F.regexp_replace(F.regexp_replace(path, r"/(\./)+", "/"), "/+", "/")
+    return F.regexp_replace(F.regexp_replace(one, r"/\.$", "/"), "(.)/$", "$1")
+
+
+def foreign_cwd(cwd: Column, workdir: Column) -> Column:
+    """Whether a recorded working directory is there and is not ``workdir``."""
+    return F.coalesce((cwd != "") & (clean_path(cwd) != clean_path(workdir)), F.lit(False))
+
+
 def overlaps_window(start_us: Column, mtime_us: Column, since_us: int | None, until_us: int | None) -> Column:
     """Whether a session's activity meets a window, both ends inclusive; an mtime may precede the start."""
     ok = F.lit(True)

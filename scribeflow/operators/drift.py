@@ -1,10 +1,16 @@
-"""Vocabulary of record types, keys and discriminator values, and its drift from a baseline."""
+"""Vocabulary of record types, keys and discriminator values, its drift from a baseline, and the scan of files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import LAST_VALIDATED, version_newer
+from ..plans.scratch import written
+from ..sources.detect import REGISTRY, detect
+from ..sources.transcripts import decoded, parse
+from .validate import uncovered_lines
+
 #: Fixed values: (record type, path) pairs whose string values are part of the vocabulary; ``*`` is any type.
 DISCRIMINATORS = {
     "antigravity": [("*", "source"), ("*", "tool_calls[].name")],
@@ -12,76 +18,133 @@ DISCRIMINATORS = {
     "codex": [("event_msg", "payload.type"), ("response_item", "payload.type"), ("response_item", "payload.name")],
 }
 UNTYPED = "(untyped)"
-#: Severity order; the exit code of each.
-SEVERITY = {"clean": 0, "inconclusive": 1, "exec-error": 2, "drift": 3}
-EXIT_CODES = {"clean": 0, "inconclusive": 3, "exec-error": 1, "drift": 2}
+#: Severity order, the worst last, and the exit code of each category.
+SEVERITY = ("clean", "inconclusive", "exec-error", "drift")
+EXIT_CODES = {"clean": 0, "drift": 1, "inconclusive": 2, "exec-error": 3}
+
+
+def _strings(values: Column) -> Column:
+    """The strings among variants."""
+    return F.transform(F.filter(values, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False))), lambda x: F.try_variant_get(x, "$", "string"))
 
 
-def _typed(lines: DataFrame) -> DataFrame:
-    v = F.try_parse_json("text")
-    kind = F.when(F.schema_of_variant(F.try_variant_get(v, "$.type", "variant")) == "STRING", F.get_json_object("text", "$.type"))
-    return lines.select("text", F.coalesce(F.nullif(kind, F.lit("")), F.lit(UNTYPED)).alias("record_type"))
+def _fields(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def vocabulary(lines: DataFrame, harness: str) -> DataFrame:
-    """Distinct (harness, record_type, facet, path, value) of ``lines`` (text).
+def reached(v: Column, path: str) -> Column:
+    """The strings that a dotted path reaches in a variant, as an array; ``[]`` walks an array."""
+    now = F.array(v)
+    for segment in path.split("."):
+        key = segment.removesuffix("[]")
+        now = F.transform(now, lambda x: F.try_variant_get(x, f"$.{key}", "variant"))  # noqa: B023
+        if segment.endswith("[]"):
+            now = F.flatten(F.transform(now, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))))
+    return _strings(now)
+
+
+def vocabulary(lines: DataFrame, harness: str, *by: str) -> DataFrame:
+    """Distinct (``by``, harness, record_type, facet, path, value) of ``lines`` (text and ``by``).
 
     Facet ``type`` has one row for each record type, ``key`` its keys two levels deep, ``value`` the
-    discriminator values. Each line is reduced on its own and ``distinct`` combines before the shuffle.
+    discriminator values. A line is parsed once; ``distinct`` combines before the shuffle.
     """
-    rows = _typed(lines)
-    keys = rows.select("record_type", "text", F.explode(F.json_object_keys("text")).alias("k"))
-    sub = F.json_object_keys(F.element_at(F.from_json("text", "map<string,string>"), F.col("k")))
-    both = keys.select("record_type", F.explode(F.concat(F.array("k"), F.coalesce(F.transform(sub, lambda s: F.concat(F.col("k"), F.lit("."), s)), F.array().cast("array<string>")))).alias("value"))
-    out = rows.select("record_type", F.lit("type").alias("facet"), F.lit("").alias("path"), F.lit("").alias("value")).distinct()
-    out = out.unionByName(both.select("record_type", F.lit("key").alias("facet"), F.lit("").alias("path"), "value").distinct())
-    for kind, path in DISCRIMINATORS[harness]:
-        some = rows if kind == "*" else rows.where(F.col("record_type") == kind)
-        out = out.unionByName(path_values(some, path).select("record_type", F.lit("value").alias("facet"), F.lit(path).alias("path"), "value").distinct())
-    mcp = (F.col("facet") == "value") & (F.col("path") == "message.content[].name") & F.col("value").startswith("mcp__")
-    return out.select(F.lit(harness).alias("harness"), "record_type", "facet", "path", F.when(mcp, "mcp__*").otherwise(F.col("value")).alias("value")).distinct()
+    rows = lines.select(*by, F.try_parse_json("text").alias("v")).withColumn("m", _fields(F.col("v")))
+    kind = F.coalesce(F.nullif(F.get(_strings(F.array(F.try_variant_get("v", "$.type", "variant"))), F.lit(0)), F.lit("")), F.lit(UNTYPED))
+    rows = rows.withColumn("record_type", kind)
+    entry = lambda facet, path, value: F.struct(F.lit(facet).alias("facet"), F.lit(path).alias("path"), value.alias("value"))
+    inner = F.flatten(F.transform(F.map_entries("m"), lambda e: F.concat(F.array(e["key"]), F.coalesce(F.transform(F.map_keys(_fields(e["value"])), lambda s: F.concat(e["key"], F.lit("."), s)), F.array().cast("array<string>")))))
+    parts = [F.array(entry("type", "", F.lit(""))), F.transform(F.coalesce(inner, F.array().cast("array<string>")), lambda k: entry("key", "", k))]
+    for of, path in DISCRIMINATORS[harness]:
+        found = reached(F.col("v"), path)
+        if path == "message.content[].name":  # tools that servers bring are one name
+            found = F.transform(found, lambda x: F.when(x.startswith("mcp__"), "mcp__*").otherwise(x))
+        found = found if of == "*" else F.when(F.col("record_type") == of, found)
+        parts.append(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: entry("value", path, x)))  # noqa: B023
+    out = rows.select(*by, "record_type", F.explode(F.array_distinct(F.concat(*parts))).alias("e"))
+    return out.select(*by, F.lit(harness).alias("harness"), "record_type", "e.facet", "e.path", "e.value").distinct()
 
 
 def path_values(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` with ``value``: the strings that a dotted path reaches; ``[]`` walks an array."""
-    now = rows.withColumn("_v", F.try_parse_json("text"))
-    for segment in path.split("."):
-        key = segment.removesuffix("[]")
-        now = now.withColumn("_v", F.try_variant_get("_v", f"$.{key}", "variant"))
-        if segment.endswith("[]"):
-            now = now.withColumn("_v", F.explode(F.try_variant_get("_v", "$", "array<variant>")))
-    return now.where(F.schema_of_variant("_v") == "STRING").withColumn("value", F.try_variant_get("_v", "$", "string")).drop("_v")
+    return rows.withColumn("value", F.explode(reached(F.try_parse_json("text"), path)))
 
 
-def drift(baseline: DataFrame, observed: DataFrame) -> DataFrame:
-    """(harness, finding, record_type, path, value): what is new, and baseline types never seen.
+def drift(baseline: DataFrame, observed: DataFrame, *by: str) -> DataFrame:
+    """(``by``, harness, finding, record_type, path, value): what is new, and baseline types never seen.
 
     New keys and values count only for known record types. Vocabularies are small: distinct names only.
     """
     on = ["harness", "record_type"]
-    known = baseline.where("facet = 'type'").select(*on)
-    new_types = observed.where("facet = 'type'").join(known, on, "left_anti")
+    known = baseline.where("facet = 'type'").select(*on).distinct()
+    types = observed.where("facet = 'type'")
+    new_types = types.join(known, on, "left_anti")
     inner = observed.join(known, on, "left_semi").join(baseline.select(*on, "facet", "path", "value"), [*on, "facet", "path", "value"], "left_anti")
-    unseen = baseline.where("facet = 'type'").join(observed.where("facet = 'type'").select(*on), on, "left_anti")
+    wanted = types.select(*by, "harness").distinct().join(known, "harness") if by else known
+    unseen = wanted.join(types.select(*by, *on), [*by, *on], "left_anti").withColumns({"path": F.lit(""), "value": F.lit("")})
     name = F.when(F.col("facet") == "key", "new_key").otherwise("new_value")
-    pick = lambda df, f: df.select("harness", f.alias("finding"), "record_type", "path", "value")
+    pick = lambda df, f: df.select(*by, "harness", f.alias("finding"), "record_type", "path", "value")
     return pick(new_types, F.lit("new_record_type")).unionByName(pick(inner.where("facet <> 'type'"), name)).unionByName(pick(unseen, F.lit("unexercised")))
 
 
-def report_lines(findings: DataFrame) -> DataFrame:
-    """The findings as sorted report text."""
-    order = F.when(F.col("finding") == "new_record_type", 0).when(F.col("finding") == "new_key", 1).when(F.col("finding") == "new_value", 2).otherwise(3)
-    text = (
-        F.when(F.col("finding") == "new_record_type", F.format_string('  drift: new record type "%s"', "record_type"))
-        .when(F.col("finding") == "new_key", F.format_string('  drift: record type "%s" has new key "%s"', "record_type", "value"))
-        .when(F.col("finding") == "new_value", F.format_string('  drift: record type "%s" has new %s value "%s"', "record_type", "path", "value"))
+def finding_text() -> Column:
+    return (
+        F.when(F.col("finding") == "new_record_type", F.format_string("  drift: the baseline lacks record type %s", "record_type"))
+        .when(F.col("finding") == "new_key", F.format_string("  drift: key %s is new in record type %s", "value", "record_type"))
+        .when(F.col("finding") == "new_value", F.format_string("  drift: %s is new at %s of record type %s", "value", "path", "record_type"))
+        .otherwise(F.format_string("  info: record type %s does not occur", "record_type"))
     )
-    drifted = findings.where("finding <> 'unexercised'").select(order.alias("rank"), "record_type", "path", "value", text.alias("line"))
-    names = findings.where("finding = 'unexercised'").groupBy().agg(F.array_sort(F.collect_set("record_type")).alias("names")).where(F.size("names") > 0)
-    info = names.select(F.lit(3).alias("rank"), F.lit("").alias("record_type"), F.lit("").alias("path"), F.lit("").alias("value"), F.concat(F.lit("  info: baseline record types not exercised: ["), F.array_join("names", " "), F.lit("]")).alias("line"))
-    return drifted.unionByName(info).orderBy("rank", "record_type", "path", "value").select("line")
+
+
+def _rank() -> Column:
+    return F.when(F.col("finding") == "new_record_type", 10).when(F.col("finding") == "new_key", 11).when(F.col("finding") == "new_value", 12).otherwise(20)
+
+
+def report_lines(findings: DataFrame) -> DataFrame:
+    """The findings as report text, sorted by kind and by byte order."""
+    return findings.select(_rank().alias("rank"), "record_type", "path", "value", finding_text().alias("line")).orderBy("rank", "record_type", "path", "value").select("line")
+
+
+def scan(lines: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Checks transcripts of any mixture of formats: (outcomes, report).
+
+    ``lines``: session_key, line, text of all files. Outcomes have a row for each file: session_key, harness, category.
+    Report: session_key, rank, line, in order of rank and line within a file. A file's format is detected;
+    it is read strictly, every line has to be accounted for, and its vocabulary is held against the baseline.
+    A failure of one file leaves the others alone.
+    """
+    found = written(detect(lines).select("session_key", "harness"), "detected")
+    note = lambda df, rank, text: df.select("session_key", F.lit(rank).alias("rank"), text.alias("line"))
+    lost = found.where("harness is null")
+    report = note(lost, 0, F.concat("session_key", F.lit(": no known format")))
+    bad = lost.select("session_key", F.lit("exec-error").alias("category"))
+    report = report.unionByName(note(found.where("harness is not null"), 0, F.concat_ws(": ", "session_key", "harness")))
+    for h in REGISTRY:
+        own = lines.join(found.where(F.col("harness") == h).select("session_key"), "session_key", "left_semi")
+        read = parse(decoded(own, h).persist(), h)
+        errors = written(read.errors, "errors")
+        report = report.unionByName(note(errors, 1, F.format_string("  drift: line %d: %s", "line", "reason")))
+        missed = uncovered_lines(own.join(errors.select("session_key"), "session_key", "left_anti"), read.events, read.skips)
+        missed = written(missed.groupBy("session_key").agg(F.count("*").alias("n")), "missed")
+        report = report.unionByName(note(missed, 2, F.format_string("  drift: %d lines are not accounted for", "n")))
+        version = F.col("meta.harness_version")
+        newer = read.events.where("kind = 'session_meta'").where(F.coalesce(version_newer(version, F.lit(LAST_VALIDATED[h])), F.lit(False)))
+        report = report.unionByName(note(newer, 3, F.format_string(f"  note: version %s was not validated; the newest that was is {LAST_VALIDATED[h]}", version)))
+        findings = written(drift(baseline.where(F.col("harness") == h), written(vocabulary(own, h, "session_key"), "words"), "session_key"), "findings")
+        report = report.unionByName(findings.select("session_key", _rank().alias("rank"), finding_text().alias("line")))
+        for part in (errors, missed, findings.where("finding <> 'unexercised'")):
+            bad = bad.unionByName(part.select("session_key", F.lit("drift").alias("category")))
+    worst_of = F.max(severity(F.col("category")))
+    outcomes = found.join(bad.groupBy("session_key").agg(worst_of.alias("s")), "session_key", "left")
+    outcomes = outcomes.select("session_key", "harness", F.get(F.array(*map(F.lit, SEVERITY)), F.coalesce("s", F.lit(0))).alias("category"))
+    report = report.unionByName(note(outcomes.where("category = 'clean'"), 30, F.lit("  clean: as the baseline has it")))
+    return outcomes, report
+
+
+def severity(category: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, SEVERITY)), category).cast("int") - 1
 
 
 def worst(categories: list[str]) -> str:
     """The most severe category; severity, not exit code, decides."""
-    return max(categories, key=SEVERITY.__getitem__, default="clean")
+    return max(categories, key=SEVERITY.index, default="clean")

@@ -24,7 +24,8 @@ def events_jsonl(events: DataFrame) -> DataFrame:
 def sessions_json(events: DataFrame, pretty: bool = True) -> DataFrame:
     """(session_key, value): each session as one document; a session is one output value."""
     rows = events.select("session_key", "seq", F.struct(*_event()).alias("e"))
-    grouped = rows.groupBy("session_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "e"))), lambda x: x["e"]).alias("events"))
+    by_seq = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
+    grouped = rows.groupBy("session_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "e")), by_seq), lambda x: x["e"]).alias("events"))
     total = stats.session_counts(events).select("session_key", F.when(F.col("input_tokens").isNotNull(), F.struct("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")).alias("totals"))
     doc = F.struct(F.lit(SCHEMA_VERSION).alias("schema"), F.get("events", F.lit(0))["session_meta"].alias("meta"), F.col("totals"), F.col("events"))
     return grouped.join(total, "session_key").select("session_key", F.to_json(doc, {"pretty": str(pretty).lower()}).alias("value"))

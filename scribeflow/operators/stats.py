@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import blocks_text, millis_between
+from ..functions.columns import blocks_text, content_bytes, millis_between
 from .interactions import UNKNOWN_TOOL, tool_interactions
 
 
@@ -123,3 +123,10 @@ def side_by_side(stats: DataFrame) -> DataFrame:
         F.sum(prompt_tokens(F.col("harness"), F.col("input_tokens"), F.col("cache_read_input_tokens"), F.col("cache_creation_input_tokens"))).alias("prompt_tokens"),
         F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"),
     )
+
+
+def fetch_compression(events: DataFrame) -> DataFrame:
+    """(session_key, fetches, content_bytes, raw_bytes, per_myriad): what fetch results kept of what was fetched."""
+    got = events.where("tool_result.fetch is not null").select("session_key", content_bytes(F.col("tool_result.content")).alias("kept"), F.coalesce("tool_result.fetch.raw_bytes", F.lit(0)).alias("raw"))
+    out = got.groupBy("session_key").agg(F.count("*").alias("fetches"), F.sum("kept").alias("content_bytes"), F.sum("raw").alias("raw_bytes"))
+    return out.withColumn("per_myriad", F.floor(F.try_divide(F.col("content_bytes") * 10000, F.col("raw_bytes"))).cast("long"))

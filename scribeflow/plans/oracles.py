@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .native_sql import WITH
+from . import native_queries
 
 _E = """
 e AS (
@@ -136,7 +136,5 @@ ORACLES: dict[str, str] = {
     "probe_predicates": f"""WITH {_P}, a AS (SELECT session_key, bool_or(kind = 'assistant_message') AS has_answer FROM e GROUP BY session_key), b AS (SELECT session_key, bool_or(coalesce(tool_kind = 'fetch', false) AND n_results > 0) AS f, count(*) FILTER (WHERE has_call) >= 3 AS t FROM i GROUP BY session_key)
       SELECT session_key, has_answer, coalesce(f, false) AS fetch_answered, coalesce(t, false) AS three_calls FROM a LEFT JOIN b USING (session_key)""",
     "first_claims": "SELECT user_id::VARCHAR AS path, arg_min(event_type, event_id) AS owner FROM events GROUP BY user_id",
-    "parse_events_claude": f"WITH {WITH['claude-code']} SELECT * FROM flat",
-    "parse_events_codex": f"WITH {WITH['codex']} SELECT * FROM flat",
-    "parse_events_antigravity": f"WITH {WITH['antigravity']} SELECT * FROM flat",
+    **native_queries.ORACLES,
 }

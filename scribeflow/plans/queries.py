@@ -12,7 +12,7 @@ from ..operators import acp, drift, interactions, promote, sequence, stats, vali
 from ..sources import detect
 from ..sources.transcripts import parse
 from .bridge import conversation_sessions, event_sessions, native_lines, shaped, text_blocks
-from .native import flat, parsed, rich_lines
+from . import native_queries
 from .schema import SYSTEM
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,11 +265,6 @@ def first_claims(spark, d):
     return validate.first_claims(e.select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("owner"), F.col("event_id").alias("ord")))
 
 
-def _native(harness: str) -> Query:
-    """Every event of every kind of record, with all that its payload says."""
-    return lambda spark, d: flat(parsed(spark, d, harness).events)
-
-
 QUERIES: dict[str, Query] = {
     "stats_summary": stats_summary,
     "event_kind_counts": event_kind_counts,
@@ -317,8 +312,6 @@ QUERIES: dict[str, Query] = {
     "fetch_compression": fetch_compression,
     "probe_predicates": interactions_predicates,
     "first_claims": first_claims,
-    "parse_events_claude": _native("claude-code"),
-    "parse_events_codex": _native("codex"),
-    "parse_events_antigravity": _native("antigravity"),
+    **native_queries.QUERIES,
 }
 

@@ -11,10 +11,10 @@ from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import overlaps_window, safe_session_id
+from ..functions.columns import clean_path, overlaps_window, safe_session_id
 from .detect import REGISTRY
 from .lines import read_lines
 from .transcripts import decoded
@@ -95,15 +95,53 @@ def in_day_window(rel: Column, since_us: int | None, until_us: int | None) -> Co
     return ~F.coalesce(out, F.lit(False))
 
 
+#: Lines of a transcript that are decoded to find out whose it is, before more are.
+HEAD_LINES = 32
+
+
 def identities(lines: DataFrame, harness: str) -> DataFrame:
-    """(session_key, meta, started_us, problem): the first record that can be an event, by transcript."""
-    rows = decoded(lines, harness).where("skip is null")
-    order = F.struct(F.coalesce("step", F.lit(2**62)), F.col("line")) if harness == "antigravity" else F.struct(F.lit(0).cast("long"), F.col("line"))
-    return rows.groupBy("session_key").agg(*(F.min_by(c, order).alias(n) for c, n in (("meta", "meta"), ("ts_us", "started_us"), ("problem", "problem"))))
+    """(session_key, meta, started_us, problem): the first record that can be an event, by transcript.
+
+    The first lines are decoded alone; the rest only of transcripts that have no event there. Steps may come in
+    any order, so that all of a stepwise transcript's lines are looked at.
+    """
+    if harness == "antigravity":
+        return _first_events(decoded(lines, harness), F.struct(F.coalesce("step", F.lit(2**62)), F.col("line")))
+    head = _first_events(decoded(lines.where(F.col("line") <= HEAD_LINES), harness), F.col("line"))
+    late = lines.where(F.col("line") > HEAD_LINES).join(head.select("session_key"), "session_key", "left_anti")
+    return head.unionByName(_first_events(decoded(late, harness), F.col("line")))
 
 
-def scan(spark: SparkSession, root: str, harness: str, since_us: int | None = None, until_us: int | None = None) -> Found:
-    """Sessions of one agent tool under a root; files outside the window are not opened."""
+def _first_events(rows: DataFrame, order: Column) -> DataFrame:
+    return rows.where("skip is null").groupBy("session_key").agg(*(F.min_by(c, order).alias(n) for c, n in (("meta", "meta"), ("ts_us", "started_us"), ("problem", "problem"))))
+
+
+def references(files: DataFrame) -> DataFrame:
+    """(stem, path, mtime_us, length, subagent_paths) of classified files: sessions with their subagents' paths.
+
+    A session directory without its transcript leaves its subagents to stand for themselves.
+    """
+    none = F.array().cast("array<string>")
+    agents = files.where("role = 'subagent'")
+    lists = agents.groupBy("stem").agg(F.array_sort(F.collect_list("path")).alias("subagent_paths"))
+    mains = files.where("role = 'main'").select("stem", "path", "mtime_us", "length")
+    lone = agents.join(mains.select("stem"), "stem", "left_anti").select("stem", "path", "mtime_us", "length", none.alias("subagent_paths"))
+    return mains.join(lists, "stem", "left").withColumn("subagent_paths", F.coalesce("subagent_paths", none)).unionByName(lone)
+
+
+def oldest_first(refs: DataFrame) -> DataFrame:
+    """Adds ``age_ord`` from 0: the oldest file first, equal times in order of their paths."""
+    return refs.withColumn("age_ord", (F.row_number().over(Window.partitionBy("harness").orderBy("mtime_us", "path")) - 1).cast("long"))
+
+
+def named(path: Column, harness: str, session_id: str) -> Column:
+    """Whether a transcript's path is that of a session id."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return {"claude-code": name == f"{session_id}.jsonl", "codex": name.endswith(f"-{session_id}.jsonl"), "antigravity": path.contains(f"/{session_id}{_TRANSCRIPT}")}[harness]
+
+
+def scan(spark: SparkSession, root: str, harness: str, since_us: int | None = None, until_us: int | None = None, only: Column | None = None) -> Found:
+    """Sessions of one agent tool under a root; files outside the window, or not ``only``, are not opened."""
     empty = spark.createDataFrame([], "path string, reason string")
     refs_schema = "harness string, path string, session_id string, cwd string, git_branch string, harness_version string, is_subagent boolean, started_us long, mtime_us long, length long, subagent_paths array<string>"
     if not os.path.isdir(root.removeprefix("file:")) and "://" not in root:
@@ -111,11 +149,8 @@ def scan(spark: SparkSession, root: str, harness: str, since_us: int | None = No
     files = classify(list_files(spark, root, "*" + _TRANSCRIPT if harness == "antigravity" else None), harness)
     if harness == "codex":
         files = files.where(in_day_window(F.col("rel"), since_us, until_us))
-    agents = files.where("role = 'subagent'").groupBy("stem").agg(F.array_sort(F.collect_list("path")).alias("subagent_paths"))
-    mains = files.where("role = 'main'").select("stem", "path", "mtime_us", "length").join(agents, "stem", "full_outer")
-    # A session directory without its transcript leaves its subagents to stand for themselves.
-    lone = files.where("role = 'subagent'").join(files.where("role = 'main'").select("stem"), "stem", "left_anti").select("stem", "path", "mtime_us", "length", F.array().cast("array<string>").alias("subagent_paths"))
-    refs = mains.where("path is not null").withColumn("subagent_paths", F.coalesce("subagent_paths", F.array().cast("array<string>"))).unionByName(lone)
+    refs = references(files)
+    refs = refs if only is None else refs.where(only)
     # An old file can't have been active since; one that is new may still have started long ago.
     refs = refs.where(F.col("mtime_us") >= since_us) if since_us is not None else refs
     names = [r["path"] for r in refs.select("path").toLocalIterator()]  # paths to open: the listing, not the contents
@@ -147,22 +182,21 @@ def locate(spark: SparkSession, root: str, harness: str, session_id: str) -> Dat
     """The one session of an id: none and several are errors, and its own id must agree."""
     if not spark.range(1).select(safe_session_id(F.lit(session_id))).first()[0]:
         raise ValueError(f"invalid session id {session_id!r}")
-    found = scan(spark, root, harness)
-    name = F.element_at(F.split("path", "/"), -1)
-    by_name = {"claude-code": name == f"{session_id}.jsonl", "codex": name.endswith(f"-{session_id}.jsonl"), "antigravity": F.col("session_id") == session_id}[harness]
-    rows = found.refs.where(by_name).limit(3).collect()
+    # The name decides which files are opened at all; what they say of themselves must agree.
+    refs = scan(spark, root, harness, only=named(F.col("path"), harness, session_id)).refs
+    rows = refs.limit(3).collect()
     if not rows:
         raise FileNotFoundError(f"{harness}: no transcript for session {session_id!r} under {root}")
     if len(rows) > 1:
         raise ValueError(f"{harness}: session {session_id!r} is ambiguous: {len(rows)} transcripts")
     if rows[0]["session_id"] != session_id:
         raise ValueError(f"{harness}: transcript {rows[0]['path']} says it is session {rows[0]['session_id']!r}")
-    return found.refs.where(by_name)
+    return refs
 
 
 def filtered(refs: DataFrame, session_id: str | None, cwd: str | None) -> DataFrame:
     """Adds ``filter_reason``: NULL for a match, else the first filter that a session fails."""
-    clean = F.regexp_replace(F.regexp_replace("cwd", "/+", "/"), "(.)/$", "$1")
+    clean = clean_path(F.col("cwd"))
     no_cwd = F.coalesce("cwd", F.lit("")) == ""
     want = os.path.normpath(cwd) if cwd else None
     reason = F.lit(None).cast("string")
@@ -173,6 +207,12 @@ def filtered(refs: DataFrame, session_id: str | None, cwd: str | None) -> DataFr
     return refs.withColumn("filter_reason", reason)
 
 
+def summary(refs: DataFrame) -> DataFrame:
+    """One row: sessions that match, that filters leave out, and among those the ones without a cwd."""
+    reason = F.col("filter_reason")
+    return refs.agg(F.count_if(reason.isNull()).alias("matched"), F.count_if(reason.isNotNull()).alias("filtered"), F.count_if(reason == "no recorded cwd").alias("no_cwd"))
+
+
 def parse_when(text: str, until: bool = False) -> int:
     """Microseconds of an RFC 3339 time or a local date; the end of a date is 24 hours later."""
     try:
@@ -187,4 +227,4 @@ def parse_when(text: str, until: bool = False) -> int:
         raise ValueError(f"cannot read {text!r} as a time: want RFC 3339 or YYYY-MM-DD") from None
 
 
-__all__ = ["Found", "classify", "filtered", "identities", "locate", "parse_when", "scan", "scan_all"]
+__all__ = ["Found", "classify", "filtered", "identities", "locate", "oldest_first", "parse_when", "references", "scan", "scan_all", "summary"]
