@@ -105,14 +105,14 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | T.StructType, *forget: Callable[[], None]) -> DataFrame:
-    """``mapInArrow`` in batches of about 4 MB, so that long texts don't fill the workers' memory; see ``tidy``."""
+    """``mapInArrow`` in batches of about 2 MB, so that long texts don't fill the workers' memory; see ``tidy``."""
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES, "67108864b") == "67108864b":
-        conf.set(BATCH_BYTES, "4m")
+        conf.set(BATCH_BYTES, "2m")
     return df.mapInArrow(tidy(run, *forget), schema)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, mb: float = 4.0, forget: tuple[Callable[[], None], ...] = ()) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, mb: float = 2.0, forget: tuple[Callable[[], None], ...] = ()) -> DataFrame:
     """Runs ``fn`` over slices of about ``mb`` MB of Arrow batches; it yields dicts of columns for ``schema``. ``forget``: called at a task's end."""
     out = to_arrow_schema(T.StructType.fromDDL(schema))
 

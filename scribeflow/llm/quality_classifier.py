@@ -3,7 +3,7 @@
 Random indexing: every feature of a word (the whole word, its last letters, its shape) owns a sparse random
 vector of +1 and -1, drawn from its hash. The context vector of a word is the sum of the random vectors of
 its neighbours over the whole corpus; sums are integers, so that their order does not matter. Context
-vectors are kept by 20 bits of the whole word's hash: words that share a bucket share its sum, in which the
+vectors are kept by 18 bits of the whole word's hash: words that share a bucket share its sum, in which the
 frequent ones weigh most, and the table's size is fixed. A document is the mean of its words' own and
 context vectors. A network with one hidden layer, trained in numpy on at most ``train_rows`` labelled
 rows, scores it; a temperature fitted on rows held back from training calibrates the probability.
@@ -28,10 +28,10 @@ from .common import crc_mod, map_batches, mapped, mix, slices
 #: Buckets of endings and shapes.
 BUCKETS = 4096
 OWN, CONTEXT = 64, 24
-#: Context vectors go by this many bits of the whole word's hash: 2^20 rows, 25 MB, are broadcast.
-CONTEXT_BITS = 20
+#: Context vectors go by this many bits of the whole word's hash: 2^18 rows, 6 MB, are broadcast.
+CONTEXT_BITS = 18
 #: Ranges of buckets that are added up apart.
-PARTS = 512
+PARTS = 256
 HIDDEN = 24
 #: Most labelled rows that the network is trained on.
 TRAIN_ROWS = 8000
@@ -151,11 +151,11 @@ def corpus_contexts(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), sent, strict=True)], schema=sent)
 
         for batch in batches:
-            for piece in slices(batch, mb=1.0):
+            for piece in slices(batch, mb=0.5):
                 keys, sums = neighbour_sums(piece.column(0).to_pylist())
                 if len(keys):
                     held.append((keys, sums))
-                if sum(len(k) for k, _ in held) > 400_000:
+                if sum(len(k) for k, _ in held) > 120_000:
                     yield from flush()
         yield from flush()
 
@@ -279,7 +279,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": [v.tobytes() for v in pool(batch.column("text").to_pylist(), held.value)]}
 
-    got = map_batches(rows, run, "doc_id long, quality int, x binary", mb=1.0).toArrow().to_pandas().sort_values("doc_id")
+    got = map_batches(rows, run, "doc_id long, quality int, x binary", mb=0.5).toArrow().to_pandas().sort_values("doc_id")
     held.destroy()
     if not len(got):
         return contexts, {"rate": 0.5}
@@ -294,7 +294,7 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:
         contexts, net = held.value
         yield {"doc_id": batch.column("doc_id"), "score": predict(pool(batch.column("text").to_pylist(), contexts), net)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double", mb=1.0)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double", mb=0.5)
 
 
 def keep_scored(docs: DataFrame, model: tuple[np.ndarray, dict], threshold: float = 0.5) -> DataFrame:
@@ -305,7 +305,7 @@ def keep_scored(docs: DataFrame, model: tuple[np.ndarray, dict], threshold: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, net = held.value
         for batch in batches:
-            for piece in slices(batch, mb=1.0):
+            for piece in slices(batch, mb=0.5):
                 x = pool(piece.column(text).to_pylist(), contexts)
                 yield piece.filter(pa.array(predict(x, net) >= threshold, pa.bool_()))
 

@@ -34,7 +34,7 @@ from .common import map_batches
 
 MARK = "▁"
 #: Bytes of words and pieces, and pairs of pieces, that a task remembers before it starts anew.
-REMEMBER, REMEMBER_PAIRS = 24_000_000, 200_000
+REMEMBER, REMEMBER_PAIRS = 16_000_000, 100_000
 
 
 def default_model() -> str:
