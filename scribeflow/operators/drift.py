@@ -129,7 +129,8 @@ def scan(lines: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
         report = report.unionByName(note(missed, 2, F.format_string("  drift: %d lines are not accounted for", "n")))
         version = F.col("meta.harness_version")
         newer = read.events.where("kind = 'session_meta'").where(F.coalesce(version_newer(version, F.lit(LAST_VALIDATED[h])), F.lit(False)))
-        report = report.unionByName(note(newer, 3, F.format_string(f"  note: version %s was not validated; the newest that was is {LAST_VALIDATED[h]}", version)))
+        newer = newer.select("session_key", version.alias("version")).unionByName(errors.where("newer").select("session_key", "version"))
+        report = report.unionByName(note(newer, 3, F.format_string(f"  note: version %s was not validated; the newest that was is {LAST_VALIDATED[h]}", "version")))
         findings = written(drift(baseline.where(F.col("harness") == h), written(vocabulary(own, h, "session_key"), "words"), "session_key"), "findings")
         report = report.unionByName(findings.select("session_key", _rank().alias("rank"), finding_text().alias("line")))
         for part in (errors, missed, findings.where("finding <> 'unexercised'")):

@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from conftest import SF
@@ -16,7 +17,7 @@ from scribeflow.sources import discover
 from scribeflow.sources.detect import detect
 from scribeflow.sources.lines import lines_of, read_lines
 from scribeflow.sources.transcripts import Options, parse
-from scribeflow.streaming.sessions import activity, follow
+from scribeflow.streaming.sessions import activity, catch_up, current, follow
 
 
 def test_every_leaf_names_its_vocabulary():
@@ -54,7 +55,7 @@ def test_versions_times_and_windows(spark):
 
 def test_detection(spark):
     found = {r["session_key"]: (r["harness"], r["confidence"]) for r in detect(lines_of(spark, {"a": CLAUDE, "b": CODEX, "c": ANTIGRAVITY, "d": "hello\n", "e": '{"type":"summary"}\n', "f": '{"parentUuid":"x","sessionId":"y'})).collect()}
-    assert found == {"a": ("claude-code", "certain"), "b": ("codex", "certain"), "c": ("antigravity", "certain"), "d": (None, "no-match"), "e": ("claude-code", "possible"), "f": ("claude-code", "possible")}
+    assert found == {"a": ("claude-code", "possible"), "b": ("codex", "certain"), "c": ("antigravity", "certain"), "d": (None, "no-match"), "e": ("claude-code", "possible"), "f": ("claude-code", "possible")}
 
 
 def _pool(rows):
@@ -107,12 +108,13 @@ def test_drift(spark):
     seen = drift.vocabulary(lines_of(spark, {"a": jsonl({"type": "event_msg", "payload": {"type": "novel", "z": 1}}, {"type": "brand_new"}, {"x": 1})}), "codex")
     found = {(r.finding, r.record_type, r.value) for r in drift.drift(base, seen).collect()}
     assert {("new_record_type", "brand_new", ""), ("new_record_type", "(untyped)", ""), ("new_value", "event_msg", "novel"), ("new_key", "event_msg", "payload.z"), ("unexercised", "response_item", "")} <= found
-    assert drift.worst(["clean", "exec-error", "drift"]) == "drift"
-    assert drift.report_lines(drift.drift(base, seen)).first()["line"].startswith("  drift: new record type")
+    assert drift.worst(["clean", "exec-error", "drift"]) == "drift" and drift.worst(["inconclusive", "exec-error"]) == "exec-error"
+    assert drift.EXIT_CODES == {"clean": 0, "drift": 1, "inconclusive": 2, "exec-error": 3}
+    assert drift.report_lines(drift.drift(base, seen)).first()["line"].startswith("  drift: the baseline lacks record type")
 
 
 def _tree(root):
-    for path, text in {"c/-tmp-exp/s-1.jsonl": CLAUDE, "c/-tmp-exp/s-1/subagents/agent-a1.jsonl": CLAUDE, "c/-tmp-exp2/s-2/subagents/agent-b.jsonl": CLAUDE, "c/-tmp-exp/notes.txt": "x", "c/stray.txt": "x", "x/2026/01/02/rollout-1-c-1.jsonl": CODEX, "x/2026/01/02/other.txt": "x", "g/conv/.system_generated/logs/transcript_full.jsonl": ANTIGRAVITY, "g/conv/side.txt": "x", "g/none/a.txt": "x"}.items():
+    for path, text in {"c/-srv-one/count-1.jsonl": CLAUDE, "c/-srv-one/count-1/subagents/agent-a1.jsonl": CLAUDE, "c/-srv-two/lost/subagents/agent-b.jsonl": CLAUDE, "c/-srv-one/notes.txt": "x", "c/stray.txt": "x", "x/2026/03/04/rollout-1-sum-9.jsonl": CODEX, "x/2026/03/04/other.txt": "x", "g/conv/.system_generated/logs/transcript_full.jsonl": ANTIGRAVITY, "g/conv/side.txt": "x", "g/none/a.txt": "x"}.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(text)
 
@@ -121,15 +123,15 @@ def test_discovery(spark, tmp_path):
     _tree(tmp_path)
     c = discover.scan(spark, str(tmp_path / "c"), "claude-code")
     refs = sorted((r.path.rsplit("/", 1)[-1], r.session_id, len(r.subagent_paths)) for r in c.refs.collect())
-    assert refs == [("agent-b.jsonl", "s-1", 0), ("s-1.jsonl", "s-1", 1)]
+    assert refs == [("agent-b.jsonl", "count-1", 0), ("count-1.jsonl", "count-1", 1)]
     assert sorted(r.reason for r in c.skips.collect()) == ["not a project directory", "not a session transcript"]
     x = discover.scan(spark, str(tmp_path / "x"), "codex")
-    assert [r.session_id for r in x.refs.collect()] == ["c-1"] and x.errors.count() == 0
+    assert [r.session_id for r in x.refs.collect()] == ["sum-9"] and x.errors.count() == 0
     assert discover.scan(spark, str(tmp_path / "x"), "codex", until_us=discover.parse_when("2025-06-01")).refs.count() == 0
     g = discover.scan(spark, str(tmp_path / "g"), "antigravity")
     assert [r.session_id for r in g.refs.collect()] == ["conv"]
     assert sorted(r.reason for r in g.skips.collect()) == ["conversation directory without transcript", "conversation sidecar"]
-    assert discover.locate(spark, str(tmp_path / "c"), "claude-code", "s-1").count() == 1
+    assert discover.locate(spark, str(tmp_path / "c"), "claude-code", "count-1").count() == 1
     with pytest.raises(FileNotFoundError):
         discover.locate(spark, str(tmp_path / "x"), "codex", "zz")
     assert discover.scan(spark, str(tmp_path / "none"), "codex").skips.first()["reason"] == "root does not exist"
@@ -141,19 +143,62 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["detect", str(path)]) == 0 and "codex (certain)" in capsys.readouterr().out
     assert cli.main(["convert", str(path), "--format", "jsonl", "--promote", "codex:patch-apply"]) == 0
     out = capsys.readouterr()
-    assert [json.loads(x)["kind"] for x in out.out.splitlines()][:2] == ["session_meta", "system"] and "16 events, 2 skipped records" in out.err
-    assert cli.main(["stats", str(path)]) == 0 and json.loads(capsys.readouterr().out)["tool_calls"] == 1
+    assert [json.loads(x)["kind"] for x in out.out.splitlines()][:2] == ["session_meta", "system"] and "19 events, 2 skipped records" in out.err
+    assert cli.main(["stats", str(path)]) == 0 and json.loads(capsys.readouterr().out)["tool_calls"] == 2
+    assert cli.main(["convert", str(path)]) == 0 and len(json.loads(capsys.readouterr().out)["events"]) == 18
+    assert cli.main(["convert", str(path), "--format", "acp"]) == 0 and '"sessionUpdate":"tool_call"' in capsys.readouterr().out
     assert cli.main(["convert", str(path), "--promote", "nope"]) == 1 and "unknown promotion" in capsys.readouterr().err
 
 
-def test_streaming(spark, tmp_path):
+def test_drift_command(spark, tmp_path, capsys):
+    good, odd, none = (tmp_path / f"{n}.jsonl" for n in ("good", "odd", "none"))
+    good.write_text(jsonl(*[json.loads(x) for x in CODEX.splitlines() if '"text":"hm"' not in x and '"chunk"' not in x and "image_url" not in x]))
+    odd.write_text(jsonl({"timestamp": "2026-03-04T11:00:00Z", "type": "session_meta", "payload": {"id": "i", "cli_version": "9.9.9"}}, {"timestamp": "2026-03-04T11:00:01Z", "type": "invented", "payload": {}}))
+    none.write_text("nothing known\n")
+    base = tmp_path / "base.json"
+    assert cli.main(["drift", "baseline", str(good), "--harness", "codex", "-o", str(base)]) == 0
+    assert cli.main(["drift", "scan", str(good), "--baseline", str(base)]) == 0 and "clean" in capsys.readouterr().out
+    assert cli.main(["drift", "scan", str(none)]) == 3 and "no known format" in capsys.readouterr().out
+    assert cli.main(["drift", "scan", str(good), str(odd), str(none), "--baseline", str(base)]) == 1
+    out = capsys.readouterr().out
+    assert "lacks record type invented" in out and "version 9.9.9 was not validated" in out and "no known format" in out and out.count("  clean") == 1
+    assert cli.main(["drift", "baseline", str(none), "--harness", "codex"]) == 3
+    assert cli.main(["drift", "scan", str(tmp_path / "gone.jsonl")]) == 3
+
+
+def test_one_exchange_of_identities_and_heads(spark):
+    lines = lines_of(spark, {"a": jsonl(*[{"type": "mode"}] * 40) + CLAUDE, "b": CLAUDE})
+    found = {r["session_key"]: (r["meta"]["session_id"], r["problem"]) for r in discover.identities(lines, "claude-code").collect()}
+    assert found == {"a": ("count-1", None), "b": ("count-1", None)}
+
+
+def test_following_files_that_grow(spark, tmp_path):
+    root, sink = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    (root / "a.jsonl").write_text(CODEX)
+    assert catch_up(spark, str(root), "codex", sink).count() == 1 and current(spark, sink).count() == 18
+    assert catch_up(spark, str(root), "codex", sink).count() == 0 and current(spark, sink).count() == 18
+    with open(root / "a.jsonl", "a") as f:
+        f.write(jsonl({"timestamp": "2026-03-04T11:00:40Z", "type": "event_msg", "payload": {"type": "task_complete"}}))
+    (root / "b.jsonl").write_text(CODEX)
+    assert catch_up(spark, str(root), "codex", sink).count() == 2
+    events = current(spark, sink)
+    assert events.count() == 19 + 18 and activity(events).agg(F.sum("events")).first()[0] == 37
+
+
+def test_following_by_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.jsonl").write_text(CODEX)
-    follow(spark, str(tmp_path / "in"), "codex", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    (tmp_path / "in/b.jsonl").write_text(CODEX)
-    follow(spark, str(tmp_path / "in"), "codex", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    events = spark.read.parquet(str(tmp_path / "out"))
-    assert events.count() == 30 and activity(events).agg(F.sum("events")).first()[0] == 30
+    sink, seen = str(tmp_path / "out"), []
+    query = follow(spark, str(tmp_path / "in"), "codex", sink, str(tmp_path / "ck"), after=lambda fresh, n: seen.append(fresh.count()), every="1 second")
+    try:
+        for _ in range(120):
+            if seen:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert seen[0] == 1 and current(spark, sink).count() == 18
 
 
 def test_entry_and_queries(spark):
@@ -170,7 +215,7 @@ def test_adapters_and_transforms(spark):
     from scribeflow.sources.registry import ADAPTERS, adapter_for, parse_with
 
     assert list(ADAPTERS) == sorted(ADAPTERS)
-    assert parse_with(lines_of(spark, {"a": CODEX}), "codex", Options(), promote_web_search, promote_patch_apply).events.count() == 16
+    assert parse_with(lines_of(spark, {"a": CODEX}), "codex", Options(), promote_web_search, promote_patch_apply).events.count() == 19
     with pytest.raises(ValueError, match="unknown harness"):
         adapter_for("none")
 
