@@ -2,7 +2,8 @@
 
 Pass 1 scans each page's containers, scores them by the text of their blocks that is neither link nor
 boilerplate, and votes for the generalised path (tags with classes, digits folded) of the best one. Spark
-adds the votes up by host. Pass 2 extracts again from all containers on the host's winning path where they
+adds the votes up by host, a page's vote weighing as much as its text, up to ``MOST_VOTE`` characters, so that one
+very long page does not speak for its host. Pass 2 extracts again from all containers on the host's winning path where they
 hold nearly all of the page's text that is not boilerplate, else from them and the page's own best one.
 
 Left out are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and
@@ -59,6 +60,8 @@ _GOOD = frozenset("article post entry story content main articlebody body text".
 _KEEP_CLASS = frozenset("html body main".split())
 
 
+#: Most characters that a page's vote for its host's path counts.
+MOST_VOTE = 5000.0
 #: The share of a page's text, without boilerplate, that a container must hold for the rest to be left out.
 NEARLY_ALL = 0.9
 
@@ -264,7 +267,7 @@ def vote(text: str | None) -> tuple[str, float]:
     page = parse(text or "")
     _, weight = _settle(page)
     best = _own_best(page, weight)
-    return page.path[best], min(weight[best], 5000.0)
+    return page.path[best], min(weight[best], MOST_VOTE)
 
 
 def extract(text: str | None, path: str | None = None) -> str:

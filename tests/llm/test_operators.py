@@ -111,6 +111,60 @@ def test_op2_minority_layouts(spark):
     assert all(got[i] == "\n".join(long) for i in range(5)) and set(long) <= set(got[9].split("\n"))
 
 
+def test_op2_generated_sites(spark):
+    """Pages of four templates, each article known block by block."""
+    rng = np.random.default_rng(6)
+    words = np.array("harbour light stone river caf\u00e9 &amp; &lt;b&gt; wind &eacute;t\u00e9 quiet boats, morning. small nets &#8212; carry silver".split())
+    plain = {"&amp;": "&", "&lt;b&gt;": "<b>", "&eacute;t\u00e9": "\u00e9t\u00e9", "&#8212;": "\u2014"}
+    menu = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>About us</a></li></ul></nav>"
+    frames = {
+        "news.example": "<html><head><title>x</title><script>var a = '<p>no</p>';</script></head><body><header>Site name</header>{menu}<main><article>{body}</article></main><aside class='sidebar'>See also</aside><footer>Imprint</footer></body></html>",
+        "blog.example": "<body><div id='top' class='topbar'>Log in</div>{menu}<div class='post-content post-{i}'>{body}<form><input><p>Mail me</p></form></div><div class='comments'><p>first! nice one</p></div><div class='cookie-banner'><p>We use cookies</p></div></body>",
+        "old.example": "<table><tr><td class='menu'>{menu}</td><td class='story'>{body}</td></tr></table><div class='footer'>since 1999</div><style>p {{}}</style>",
+        "wiki.example": "<body>{menu}<section class='main'><div class='text'>{body}</div></section><div class='related'><a href='/x'>Other pages</a></div><!-- <p>hidden</p> --></body>",
+    }
+    pages, want = [], {}
+    for i in range(160):
+        host = list(frames)[i % 4]
+        blocks, texts = [], []
+        for _ in range(int(rng.integers(3, 9))):
+            said = [words[k] for k in rng.integers(0, len(words), int(rng.integers(8, 40)))]
+            tag = ("p", "h2", "blockquote", "p", "li")[int(rng.integers(0, 5))]
+            space = ("  ", "\n", "\t ")[int(rng.integers(0, 3))]
+            body = space.join(f"<em>{w}</em>" if k % 11 == 5 else w for k, w in enumerate(said))
+            blocks.append(f"<{tag}>{body}</{tag}>" if tag != "li" else f"<ul><li>{body}</li></ul>")
+            texts.append(" ".join(plain.get(w, w) for w in said))
+        pages.append((i, f"https://{host}/{i}", frames[host].format(menu=menu, body="".join(blocks), i=i)))
+        want[i] = "\n".join(texts)
+    got = {r["page_id"]: r["text"] for r in rows_of(html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert got == want
+
+
+def test_op3_labels_of_one_kind_and_repeated(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(6)] + [(3, "another text under id 3"), (None, "x")], "doc_id long, text string")
+    one = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "doc_id long, quality int")
+    model = quality_classifier.train_classifier(docs, one)
+    assert model[1] == {"rate": 0.75} and {r["score"] for r in rows_of(quality_classifier.score_quality(docs, model))} == {0.75}
+    assert quality_classifier.train_classifier(docs, one.where("false"))[1] == {"rate": 0.5}
+    both = spark.createDataFrame([(3, 0), (3, 1), (4, 0), (5, 1), (0, 0)], "doc_id long, quality int")
+    a, b = (quality_classifier.train_classifier(d, both)[1] for d in (docs, docs.repartition(5)))
+    assert all((x == y).all() for x, y in zip(a["w"], b["w"]))
+
+
+def test_op3_pooling(spark):
+    text = "one two two \u00e9t\u00e9"
+    contexts = np.zeros((1 << quality_classifier.CONTEXT_BITS, quality_classifier.CONTEXT), np.int8)
+    words = {w: quality_classifier.word_features([w])[0] for w in text.split()}
+    for k, h in enumerate(words.values()):
+        contexts[quality_classifier.bucket_of(h)] = 10 * k + 1
+    x = quality_classifier.pool([None, text], contexts)
+    near = sum((10 * k + 1) / 127 * text.split().count(w) for k, w in enumerate(words)) / 4
+    assert np.allclose(x[1, quality_classifier.OWN : -4], near, atol=1e-5) and not x[0, : quality_classifier.OWN].any()
+    own = sum(quality_classifier._index_vectors(words[w], quality_classifier.OWN, 1)[0].astype(float) for w in text.split())
+    kinds = sum(quality_classifier._OWN[b].astype(float) for w in text.split() for b in quality_classifier.word_features([w])[1][:, 0])
+    assert np.allclose(x[1, : quality_classifier.OWN], (own + kinds) / 4, atol=1e-5)
+
+
 def test_op3_learns_and_covers_all_rows(spark, sf):
     got = rows_of(quality_classifier.op3_quality_classifier(spark, sf))
     assert len(got) == len(documents())
@@ -328,6 +382,30 @@ def test_op7_unigram_walk_is_the_best_path():
         assert sum(p.score[names[i]] for i in ids) == pytest.approx(best[len(w)])
 
 
+def test_op7_unigram_model_of_real_size(spark):
+    """The library's pieces under a unigram score: the walk has to find a path of the library's score."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(sentence_pieces.default_model(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    for i, piece in enumerate(model.pieces):
+        if piece.type == 1:
+            piece.score = -float(np.log(i + 10)) - 0.001 * (i * 7919 % 1000)
+    p = sentence_pieces.load(model.SerializeToString())
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    score = [lib.get_score(i) for i in range(lib.get_piece_size())]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r["text"] and len(r["text"]) < 3000 and "\u2581" not in r["text"]][:120]
+    for t, ids in zip(texts, sentence_pieces.encode(p, texts)):
+        want = lib.encode(t)
+        if any(p.text[i] == b"" or i in p.byte_ids for i in (*want, *ids.tolist())):
+            continue  # characters without a piece cost each their own penalty
+        assert sum(score[i] for i in ids) == pytest.approx(sum(score[i] for i in want), abs=1e-2)
+        assert sentence_pieces.decode(p, ids) == t
+
+
 def _components(texts):
     sets = {k: set(shingles(lower_words(t)).tolist()) for k, t in texts.items()}
     parent = {k: k for k in texts}
@@ -459,6 +537,66 @@ def test_op10_counts(spark, sf):
         assert not any(r["kept"] and r["base_failed"] for r in got[d])
 
 
+def test_op10_features_are_words_pairs_and_runs_of_characters():
+    for text in ("one two one \u0438\u0433\u0440\u0430 42", "a", "", "ab cd", "\u6e2f\u53e3 1999 2000"):
+        fold = "".join("0" if "0" <= c <= "9" else c for c in text)
+        words = text.split()
+        grams = Counter(("w", w) for w in words) + Counter(("p", *p) for p in zip(words, words[1:])) + Counter((k, fold[i : i + k]) for k in (3, 4) for i in range(len(fold) - k + 1))
+        ids, weights = quality_rules.features(quality_rules.Text(text))
+        assert len(ids) == len(grams)
+        want = np.sort(np.log1p(np.array(list(grams.values()), float)))
+        assert np.allclose(np.sort(weights), want / (np.linalg.norm(want) or 1), atol=1e-5)
+
+
+def test_op10_verdict_and_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    model = quality_rules.train_rules(docs, labels.where("doc_id % 4 > 0"))
+    got = rows_of(quality_rules.score_rules(docs, model).join(labels, "doc_id", "left"))
+    for r in got:
+        assert r["kept"] == (not r["base_failed"] and r["probability"] >= quality_rules.THRESHOLD)
+    held = [r for r in got if r["quality"] is not None and r["doc_id"] % 4 == 0 and not r["base_failed"]]
+    assert sum(r["kept"] == (r["quality"] == 1) for r in held) / len(held) > 0.93
+    a, b = (quality_rules.train_rules(x, labels) for x in (docs, docs.repartition(5)))
+    assert (a[0] == b[0]).all() and a[1:] == b[1:]
+
+
+def test_pipeline_against_plain_python(spark, sf):
+    """Given what the two classifiers keep, the rest of the pipeline in plain Python."""
+    import sentencepiece
+
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    kept = cp.dedup_stage(spark, docs, sf)
+    rows = {i: (r["doc_id"], r["text"], r["source"]) for i, r in enumerate(docs.collect())}
+    root, sizes = _components({i: t for i, (_, t, _) in rows.items()})
+    groups = defaultdict(list)
+    for i, (d, t, s) in rows.items():
+        groups[root[i] if sizes[i] else ("alone", i)].append((d is None, d or 0, t))
+    firsts = Counter(min(g)[:2] for g in groups.values())
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == firsts
+    out = spark.createDataFrame(kept.collect(), kept.schema)
+    mixed = [(r["doc_id"], r["text"], r["source"]) for r in cp.mixing_stage(spark, out, sf).collect()]
+    held = Counter()
+    for r in out.collect():
+        held[r["source"]] += len((r["text"] or "").encode().split())
+    names = sorted(held, key=lambda x: (x is None, x or ""))
+    targets = mixing.water_fill([held[x] for x in names], [1.0 + i % 3 for i in range(len(names))], 3)
+    longest = defaultdict(int)
+    for r in out.collect():
+        longest[r["source"]] = max(longest[r["source"]], len((r["text"] or "").encode().split()))
+    for name, target in zip(names, targets):
+        taken = sum(len((t or "").encode().split()) for _, t, s in mixed if s == name)
+        assert abs(taken - target) <= longest[name] / 2 + 1
+    assert max(Counter(mixed).values()) <= 3 and set(mixed) <= {(r["doc_id"], r["text"], r["source"]) for r in out.collect()}
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.default_model())
+    frame = spark.createDataFrame([(d, t) for d, t, _ in mixed], "doc_id long, text string")
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in cp.encoding_stage(spark, frame, sf).collect() )
+    want = Counter((d, tuple(lib.encode(t or ""))) for d, t, _ in mixed if "\u2581" not in (t or ""))
+    assert all(got[k] >= n for k, n in want.items()) and sum(got.values()) == len(mixed)
+
+
 def test_pipeline(spark, sf, empty):
     import corpus_pipeline as cp
 
