@@ -119,7 +119,8 @@ def scan(lines: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
     report = note(lost, 0, F.concat("session_key", F.lit(": no known format")))
     bad = lost.select("session_key", F.lit("exec-error").alias("category"))
     report = report.unionByName(note(found.where("harness is not null"), 0, F.concat_ws(": ", "session_key", "harness")))
-    for h in REGISTRY:
+    occurs = {r["harness"] for r in found.select("harness").distinct().collect()}  # a name for each format at most
+    for h in (h for h in REGISTRY if h in occurs):
         own = lines.join(found.where(F.col("harness") == h).select("session_key"), "session_key", "left_semi")
         read = parse(decoded(own, h).persist(), h)
         errors = written(read.errors, "errors")
