@@ -38,9 +38,10 @@ def _wide(rows: DataFrame, payloads: dict[str, Column], **columns: Column) -> Da
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` by user: sign-ups speak, clicks call tools, views and errors are results, purchases answer."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # Dealt by the key that every operator groups by, so that none of them deals the rows again.
+    order = Window.partitionBy("session_key").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("long")
-    rows = rows.select("event_id", "user_id", "event_type", "value", "props", "ts", k.alias("k")).withColumn("seq", F.row_number().over(order) - 1)
+    rows = rows.select("event_id", F.col("user_id").cast("string").alias("session_key"), "event_type", "value", "props", "ts", k.alias("k")).withColumn("seq", F.row_number().over(order) - 1)
     is_type = lambda t: F.col("event_type") == t
     name = F.concat(F.lit("tool_"), (F.col("k") % 7).cast("string"))
     ident = F.col("k").cast("string")
@@ -52,14 +53,14 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "assistant_message": F.when(is_type("purchase"), shaped(ASSISTANT, model=F.concat(F.lit("m"), (F.col("k") % 3).cast("string")), content=text_blocks(F.concat(F.lit("bought "), ident)), usage=usage)),
     }
     kind = F.when(is_type("signup"), "user_message").when(is_type("click"), "tool_call").when(is_type("purchase"), "assistant_message").otherwise("tool_result")
-    return _wide(rows, payloads, session_key=F.col("user_id").cast("string"), seq=F.col("seq"), kind=kind, ts_us=ntz_micros(F.col("ts")), line=F.col("seq") + 1, end_line=F.col("seq") + 1, id=F.col("event_id").cast("string"))
+    return _wide(rows, payloads, session_key=F.col("session_key"), seq=F.col("seq"), kind=kind, ts_us=ntz_micros(F.col("ts")), line=F.col("seq") + 1, end_line=F.col("seq") + 1, id=F.col("event_id").cast("string"))
 
 
 def conversation_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` by id: users and assistants speak, the rest are system events."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("seq", F.row_number().over(order) - 1)
+    order = Window.partitionBy("session_key").orderBy("turn", "role", "text")
+    rows = rows.select(F.col("conv_id").cast("string").alias("session_key"), "turn", "role", "text").withColumn("seq", F.row_number().over(order) - 1)
     is_role = lambda r: F.coalesce(F.col("role") == r, F.lit(False))
     payloads = {
         "user_message": F.when(is_role("user"), shaped(USER, origin=F.lit("human"), content=text_blocks(F.col("text")))),
@@ -67,7 +68,7 @@ def conversation_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "system": F.when(~is_role("user") & ~is_role("assistant"), shaped(SYSTEM, subtype=F.concat(F.lit("message/"), F.coalesce("role", F.lit(""))), text=F.col("text"))),
     }
     kind = F.when(is_role("user"), "user_message").when(is_role("assistant"), "assistant_message").otherwise("system")
-    return _wide(rows, payloads, session_key=F.col("conv_id").cast("string"), seq=F.col("seq"), kind=kind, line=F.col("seq") + 1, end_line=F.col("seq") + 1)
+    return _wide(rows, payloads, session_key=F.col("session_key"), seq=F.col("seq"), kind=kind, line=F.col("seq") + 1, end_line=F.col("seq") + 1)
 
 
 def _json(**fields: Column) -> Column:
@@ -81,9 +82,9 @@ def _block(kind: str, text: Column) -> Column:
 def native_lines(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
     """``conversations`` written as native records of a format: session_key, line, text."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("text", F.coalesce("text", F.lit("")))
-    key = F.col("conv_id").cast("string")
+    key = F.col("session_key")
+    order = Window.partitionBy(key).orderBy("turn", "role", "text")
+    rows = rows.withColumn("session_key", F.col("conv_id").cast("string")).withColumn("n", F.row_number().over(order)).withColumn("text", F.coalesce("text", F.lit("")))
     at = F.lit("2026-01-01T00:00:00Z")
     role, text = F.col("role"), F.col("text")
     if harness == "codex":
@@ -102,7 +103,7 @@ def native_lines(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
         common = {"step_index": F.col("n"), "created_at": at, "content": text}
         kind = F.when(role == "user", "USER_INPUT").when(role == "assistant", "PLANNER_RESPONSE").otherwise("SYSTEM_MESSAGE")
         parts = F.array(_json(source=F.lit("MODEL"), type=kind, **common))
-    lines = rows.select(key.alias("session_key"), "n", F.posexplode(parts).alias("i", "text"))
+    lines = rows.select(key, "n", F.posexplode(parts).alias("i", "text"))
     number = Window.partitionBy("session_key").orderBy("n", "i")
     return lines.select("session_key", F.row_number().over(number).alias("line"), "text")
 

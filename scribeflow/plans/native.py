@@ -59,8 +59,8 @@ def _say(prefix: str, number: Column) -> Column:
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = e.select(F.col("user_id").cast("string").alias("session_key"), F.row_number().over(order).alias("n"), "k", "props", F.col("event_type").alias("t"))
+    order = Window.partitionBy("session_key").orderBy("ts", "event_id")
+    e = e.withColumn("session_key", F.col("user_id").cast("string")).select("session_key", F.row_number().over(order).alias("n"), "k", "props", F.col("event_type").alias("t"))
     return e.withColumn("r", F.when(F.col("k") % 13 == 5, "skip").when(F.col("k") % 17 == 3, "novel").otherwise(F.col("t")))
 
 

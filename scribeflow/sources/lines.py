@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 MAX_LINE_BYTES = 256 * 1024 * 1024
 SNIFF_BYTES = 64 * 1024
 
-_TRIM = " \t\r\n\v\f"
+BOM = "\ufeff"
+TRIM = " \t\r\n\v\f"
 
 
 def numbered(raw: DataFrame) -> DataFrame:
@@ -20,14 +21,23 @@ def numbered(raw: DataFrame) -> DataFrame:
     order = Window.partitionBy("session_key").orderBy("block", "pos")
     lines = raw.withColumn("line", F.row_number().over(order))
     text = F.when(F.col("line") == 1, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))
-    lines = lines.select("session_key", "line", F.btrim(text, F.lit(_TRIM)).alias("text")).where("text <> ''")
+    lines = lines.select("session_key", "line", F.btrim(text, F.lit(TRIM)).alias("text")).where("text <> ''")
     return lines.withColumn("text", F.when(F.octet_length("text") <= MAX_LINE_BYTES, F.col("text")).otherwise(F.raise_error(F.lit("a line is longer than the limit"))))
 
 
+def raw_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(session_key, block, pos, value): lines of files, directories or patterns where they are read, not yet numbered.
+
+    The path is the session key. ``parse`` takes these too, and numbers them after decoding, which saves
+    dealing the texts once more.
+    """
+    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(list(paths))
+    return raw.select(F.col("_metadata.file_path").alias("session_key"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
+
+
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """Numbered lines of files, directories or patterns; the path is the session key."""
-    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(list(paths))
-    return numbered(raw.select(F.col("_metadata.file_path").alias("session_key"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value"))
+    return numbered(raw_lines(spark, *paths))
 
 
 def lines_of(spark: SparkSession, texts: dict[str, str]) -> DataFrame:

@@ -21,6 +21,7 @@ from ..operators.interactions import tool_names
 from ..operators.sequence import carry_forward, closing_lines, fifo_match, fold_islands
 from ..plans.schema import ASSISTANT, EVENTS, META, PAYLOADS, USAGE
 from . import decode
+from .lines import BOM, MAX_LINE_BYTES, TRIM
 
 _END = 2**62
 _ITEM = T.StructType([f for f in EVENTS.fields if f.name not in ("session_key", "seq", "line", "end_line", "raw")] + [T.StructField("own_name", T.BooleanType())])
@@ -82,18 +83,52 @@ class TranscriptError(ValueError):
         super().__init__(f"{harness}{f' {version}' if version else ''}: line {line}: {reason}{hint}")
 
 
+_RAW = T.StructType([*(f for f in _RECORD.fields if f.name != "line"), T.StructField("block", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("marked", T.StringType())])
+
+
 def decoded(lines: DataFrame, harness: str) -> DataFrame:
-    """One row for each line with what its decoder says."""
-    schema = to_arrow_schema(_RECORD)
+    """One row for each line with what its decoder says.
+
+    Raw lines (block, pos, value) keep their places. As their numbers aren't known yet, a byte-order mark in
+    front is taken off, and ``marked`` is the problem that the line has if it is not the first.
+    """
+    raw = "value" in lines.columns
+    kind = _RAW if raw else _RECORD
+    schema = to_arrow_schema(kind)
     one: Callable[[str, int], dict] = {"claude-code": lambda t, n: decode.claude_code(t), "codex": decode.codex, "antigravity": lambda t, n: decode.antigravity(t)}[harness]
 
+    def place(r: dict) -> dict:
+        value = r.pop("value")
+        text = value.removeprefix(BOM).strip(TRIM)
+        if len(text) > MAX_LINE_BYTES // 4 and len(text.encode("utf-8", "surrogatepass")) > MAX_LINE_BYTES:
+            raise ValueError("a line is longer than the limit")
+        out = one(text, 0) if text else {"items": []}
+        marked = one(value.strip(TRIM), 0)["problem"] if text and value.startswith(BOM) else None
+        return out | r | {"text": text, "marked": marked}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 rows = batch.slice(at, 2000).to_pylist()
-                yield pa.RecordBatch.from_pylist([one(r["text"], r["line"]) | r for r in rows], schema=schema)
+                yield pa.RecordBatch.from_pylist([place(r) if raw else one(r["text"], r["line"]) | r for r in rows], schema=schema)
+
+    return lines.select(*(("session_key", "block", "pos", "value") if raw else ("session_key", "line", "text"))).mapInArrow(run, kind)
+
 
-    return lines.select("session_key", "line", "text").mapInArrow(run, _RECORD)
+def _numbered(rows: DataFrame, harness: str) -> DataFrame:
+    """Decoded raw lines with their numbers; blank ones count and go."""
+    order = Window.partitionBy("session_key").orderBy("block", "pos")
+    rows = rows.withColumn("line", F.row_number().over(order)).where("text <> ''")
+    late = F.col("marked").isNotNull() & (F.col("line") > 1)
+    said = {"items": F.array().cast(T.ArrayType(_ITEM)), "problem": F.col("marked"), "record_type": F.lit(""), "text": F.concat(F.lit(BOM), "text")}
+    keep = ("session_key", "line")
+    rows = rows.select(*(f.name if f.name in keep else F.when(late, said.get(f.name, F.lit(None).cast(f.dataType))).otherwise(F.col(f.name)).alias(f.name) for f in _RECORD.fields))
+    if harness == "codex":  # ids made from a line's number
+        made = "web_search_call:L0"
+        mend = lambda c: F.when(c["tool_call_id"] == made, c.withField("tool_call_id", F.concat(F.lit("web_search_call:L"), F.col("line").cast("string")))).otherwise(c)
+        some = F.exists("items", lambda e: F.coalesce(e["tool_call"]["tool_call_id"] == made, F.lit(False)))
+        rows = rows.withColumn("items", F.when(some, F.transform("items", lambda e: e.withField("tool_call", mend(e["tool_call"])).withField("tool_result", mend(e["tool_result"])))).otherwise(F.col("items")))
+    return rows
 
 
 def _nothing(name: str) -> Column:
@@ -148,12 +183,15 @@ def _maybe(condition: Column, placed: Column) -> Column:
 
 
 def parse(lines: DataFrame, harness: str, options: Options = Options()) -> Parsed:
-    """Events, skips and errors of transcripts in one format. ``lines``: session_key, line, text, or ``decoded`` ones.
+    """Events, skips and errors of transcripts in one format. ``lines``: session_key, line, text, or raw or
+    ``decoded`` ones.
 
     A transcript with an error has no events; its first error is reported. Without ``permissive`` a record
     that can't be read is an error; a message resumed after its fold closed always is.
     """
     rows = (lines if "items" in lines.columns else decoded(lines, harness)).repartition("session_key")
+    if "pos" in rows.columns:
+        rows = _numbered(rows, harness)
     by = Window.partitionBy("session_key")
     rows = carry_forward(rows, "version", "line", "version_so_far")
     raw = F.array("text") if options.keep_raw else F.lit(None).cast("array<string>")

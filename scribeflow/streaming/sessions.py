@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.schema import EVENTS
 from ..sources.discover import list_files
-from ..sources.lines import read_lines
+from ..sources.lines import raw_lines
 from ..sources.transcripts import Options, parse
 
 _FILES = "path string, mtime_us long, length long, pass long"
@@ -51,7 +51,7 @@ def catch_up(spark: SparkSession, root: str, harness: str, sink: str, options: O
     rows = fresh.collect()  # names of changed files, not their contents
     fresh = spark.createDataFrame(rows, files.schema)
     if rows:
-        events = parse(read_lines(spark, *(r["path"] for r in rows)), harness, options).events
+        events = parse(raw_lines(spark, *(r["path"] for r in rows)), harness, options).events
         events.write.mode("overwrite").parquet(f"{sink}/events/pass={number}")
         fresh.withColumn("pass", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{sink}/files/of={number}")
     return fresh

@@ -6,7 +6,7 @@ from fixtures import ANTIGRAVITY, ANTIGRAVITY_KINDS, CLAUDE, CLAUDE_KINDS, CODEX
 from scribeflow.operators.promote import promote_patch_apply
 from scribeflow.operators.stats import fetch_compression, session_counts, session_stats
 from scribeflow.operators.validate import uncovered_lines, violations
-from scribeflow.sources.lines import lines_of
+from scribeflow.sources.lines import lines_of, raw_lines, read_lines
 from scribeflow.sources.transcripts import Options, TranscriptError, parse, parse_one
 
 FORMATS = [("claude-code", CLAUDE, CLAUDE_KINDS), ("codex", CODEX, CODEX_KINDS), ("antigravity", ANTIGRAVITY, ANTIGRAVITY_KINDS)]
@@ -117,6 +117,22 @@ def test_line_ends_and_marks_change_nothing(spark, harness, text):
     assert events_of(spark, "﻿" + text.replace("\n", "\r\n"), harness) == plain
 
 
+@pytest.mark.parametrize("harness,text", [f[:2] for f in FORMATS])
+def test_numbering_after_decoding_is_the_same(spark, tmp_path, harness, text):
+    half = text.splitlines(keepends=True)
+    (tmp_path / "a.jsonl").write_text("\ufeff" + "\r\n\n".join(text.splitlines()) + "\n", newline="")
+    (tmp_path / "b.jsonl").write_text("".join(half[:3]) + "\ufeff" + "".join(half[3:]), newline="")
+    raw, lines = raw_lines(spark, str(tmp_path)), read_lines(spark, str(tmp_path))
+    for options in (Options(), Options(permissive=True, keep_raw=True)):
+        one, two = parse(raw, harness, options), parse(lines, harness, options)
+        for kind in ("events", "skips", "errors"):
+            a, b = (sorted(map(str, getattr(x, kind).collect())) for x in (one, two))
+            assert a == b, kind
+    assert parse(raw, harness).errors.count() == 1
+    plan = parse(raw, harness).events._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(session_key") == 1 and plan.count("Exchange") == 1
+
+
 def test_truncation(spark):
     events = events_of(spark, CLAUDE, "claude-code", max_payload_bytes=6)
     results = {e.tool_result.tool_call_id: e.tool_result for e in events if e.tool_result}
