@@ -11,7 +11,7 @@ from .fingerprints import op4_fingerprints
 from .html_extract import op2_html_extract
 from .lm_scoring import op6_lm_scoring
 from .mixing import op9_mixing
-from .near_dedup import op8_near_dedup
+from .near_dedup import OP8_SQL, op8_near_dedup
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op10_quality_rules
 from .sentence_pieces import op7_sentencepiece
@@ -32,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
+    "op8_near_dedup": OP8_SQL,
 }
