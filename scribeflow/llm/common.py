@@ -72,10 +72,6 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
-
-
 _C = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
