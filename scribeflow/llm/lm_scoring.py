@@ -42,6 +42,8 @@ ORDER = 5
 SHARD_BYTES, LEAST_SHARDS = 128_000_000, 24
 #: Most frequent tokens whose counts go to every task; the others' counts are joined by shuffle.
 HEAD_TOKENS = 50_000
+#: MB of texts whose positions are sorted and sent together; the more, the better they pack.
+PIECE_MB = 4.0
 #: What each distinct symbol of a context gives to escape.
 DISCOUNT = 0.5
 END = 0
@@ -329,9 +331,9 @@ def send_counts(train: DataFrame, held) -> DataFrame:
                 yield _sent([(k, _COUNTED, 0, len(i), 0, squeeze(codes[i], True), squeeze(counts[i].astype(np.uint64), False)) for k, i in by_shard(codes, shard_of, 36)])
 
         for batch in batches:
-            for piece in pieces_of(batch, mb=1.0):
+            for piece in pieces_of(batch, mb=PIECE_MB):
                 kept.append(np.unique(packed(piece.column(0).to_pylist())[0], return_counts=True))
-                if sum(len(c) for c, _ in kept) > 1_000_000:
+                if sum(len(c) for c, _ in kept) > 2_000_000:
                     yield from out()
         yield from out()
 
@@ -346,7 +348,7 @@ def send_texts(docs: DataFrame, held, bottom: int, ends: int) -> DataFrame:
         _, shard_of, top = held.value
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for piece in pieces_of(batch, mb=1.0):
+            for piece in pieces_of(batch, mb=PIECE_MB):
                 texts = piece.column("text").to_pylist()
                 codes, sizes = packed(texts)
                 keys = np.sort((codes << np.uint64(10)) | np.repeat(np.arange(len(texts), dtype=np.uint64), sizes))
