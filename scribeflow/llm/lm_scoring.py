@@ -42,8 +42,8 @@ ORDER = 5
 SHARD_BYTES, LEAST_SHARDS = 128_000_000, 24
 #: Most frequent tokens whose counts go to every task; the others' counts are joined by shuffle.
 HEAD_TOKENS = 50_000
-#: MB of texts whose positions are sorted and sent together; the more, the better they pack.
-PIECE_MB = 4.0
+#: Texts, and MB of them, whose positions are sorted and sent together; the more, the better they pack.
+PIECE_ROWS, PIECE_MB = 1000, 6.0
 #: What each distinct symbol of a context gives to escape.
 DISCOUNT = 0.5
 END = 0
@@ -145,7 +145,7 @@ def squeeze(x: np.ndarray, rising: bool) -> bytes:
     """An array of uint64 by planes of bytes, rising ones by differences."""
     if rising:
         x = np.diff(x, prepend=np.uint64(0))
-    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T), asbytes=True)
+    return pa.Codec("zstd", 3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T), asbytes=True)
 
 
 def swell(raw: bytes, n: int, rising: bool) -> np.ndarray:
@@ -307,6 +307,19 @@ def count_corpus(train: DataFrame, scratch: Scratch) -> tuple[np.ndarray, DataFr
     return pairs, both.where("token is not null").select("token", "count"), int(pairs.sum())
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of up to PIECE_ROWS rows and PIECE_MB."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for piece in pieces_of(batch, PIECE_ROWS, PIECE_MB):
+            if held and (sum(x.num_rows for x in held) + piece.num_rows > PIECE_ROWS or sum(x.nbytes for x in held) + piece.nbytes > PIECE_MB * 1e6):
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+            held.append(piece)
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 _SENT = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("n", pa.int64()), ("texts", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 _SENT_DDL = "shard int, kind int, batch long, n long, texts int, a binary, b binary"
 #: Kinds of rows: runs counted in training, positions of a batch of texts, the batch's other columns, sums by text.
@@ -347,36 +360,35 @@ def send_texts(docs: DataFrame, held, bottom: int, ends: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, shard_of, top = held.value
         number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for piece in pieces_of(batch, mb=PIECE_MB):
-                texts = piece.column("text").to_pylist()
-                codes, sizes = packed(texts)
-                keys = np.sort((codes << np.uint64(10)) | np.repeat(np.arange(len(texts), dtype=np.uint64), sizes))
-                rows = [(k, _ASKED, number, len(i), len(texts), squeeze(keys[i], True), None) for k, i in by_shard(keys, shard_of, 46)]
-                del codes, keys
-                n_tokens, n_known, base, rest, times = [], [], [], [], []
-                for t in texts:
-                    words = tokens(t)
-                    part, seen, tail = 0.0, 0, []
-                    for w, n in Counter(words).items():
-                        c = top.get(w)
-                        if c is None:
-                            tail.append((w, n))
-                        else:
-                            part += n * math.log10((c + 1) / bottom)
-                            seen += n
-                    n_tokens.append(len(words) + 1)
-                    n_known.append(seen + (1 if ends else 0))
-                    base.append(part + math.log10((ends + 1) / bottom))
-                    rest.append([w for w, _ in tail])
-                    times.append([n for _, n in tail])
-                columns = [pa.array(x, f.type) if not isinstance(x, pa.Array) else x for x, f in zip((piece.column("doc_id"), n_tokens, n_known, base, rest, times), out, strict=True)]
-                with pa.BufferOutputStream() as sink:
-                    with pa.ipc.new_stream(sink, out, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                        writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=out))
-                    rows.append((number % (int(shard_of.max()) + 1), _TEXTS, number, 0, len(texts), sink.getvalue().to_pybytes(), None))
-                yield _sent(rows)
-                number += 1
+        for piece in gathered(batches):
+            texts = piece.column("text").to_pylist()
+            codes, sizes = packed(texts)
+            keys = np.sort((codes << np.uint64(10)) | np.repeat(np.arange(len(texts), dtype=np.uint64), sizes))
+            rows = [(k, _ASKED, number, len(i), len(texts), squeeze(keys[i], True), None) for k, i in by_shard(keys, shard_of, 46)]
+            del codes, keys
+            n_tokens, n_known, base, rest, times = [], [], [], [], []
+            for t in texts:
+                words = tokens(t)
+                part, seen, tail = 0.0, 0, []
+                for w, n in Counter(words).items():
+                    c = top.get(w)
+                    if c is None:
+                        tail.append((w, n))
+                    else:
+                        part += n * math.log10((c + 1) / bottom)
+                        seen += n
+                n_tokens.append(len(words) + 1)
+                n_known.append(seen + (1 if ends else 0))
+                base.append(part + math.log10((ends + 1) / bottom))
+                rest.append([w for w, _ in tail])
+                times.append([n for _, n in tail])
+            columns = [pa.array(x, f.type) if not isinstance(x, pa.Array) else x for x, f in zip((piece.column("doc_id"), n_tokens, n_known, base, rest, times), out, strict=True)]
+            with pa.BufferOutputStream() as sink:
+                with pa.ipc.new_stream(sink, out, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=out))
+                rows.append((number % (int(shard_of.max()) + 1), _TEXTS, number, 0, len(texts), sink.getvalue().to_pybytes(), None))
+            yield _sent(rows)
+            number += 1
 
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _SENT_DDL)
 
