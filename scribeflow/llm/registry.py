@@ -16,6 +16,7 @@ from .quality_classifier import op3_quality_classifier
 from .quality_rules import op10_quality_rules
 from .sentence_pieces import op7_sentencepiece
 from .sharding import op5_sharding
+from .token_alignment import op13_token_alignment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
