@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP1_SQL, op1_chat_format
 from .fingerprints import op4_fingerprints
 from .html_extract import op2_html_extract
+from .lexical_search import OP12_SQL, op12_lexical_search
 from .lm_scoring import op6_lm_scoring
 from .mixing import op9_mixing
 from .near_dedup import OP8_SQL, op8_near_dedup
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op12_lexical_search": op12_lexical_search,
     "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op8_near_dedup": OP8_SQL,
+    "op12_lexical_search": OP12_SQL,
 }

@@ -21,7 +21,7 @@ def documents() -> list[tuple]:
     return rows
 
 
-def write(folder, docs, labels=(), pages=(), conversations=()):
+def write(folder, docs, labels=(), pages=(), conversations=(), benchmark=()):
     text, long = pa.string(), pa.int64()
     cols = list(zip(*docs)) if docs else [(), (), (), ()]
     # Columns whose names operators use for themselves.
@@ -33,6 +33,8 @@ def write(folder, docs, labels=(), pages=(), conversations=()):
     pq.write_table(pa.table({"page_id": pa.array(cols[0], long), "url": pa.array(cols[1], text), "html": pa.array(cols[2], text)}), f"{folder}/pages.parquet")
     cols = list(zip(*conversations)) if conversations else [(), (), (), ()]
     pq.write_table(pa.table({"conv_id": pa.array(cols[0], long), "turn": pa.array(cols[1], long), "role": pa.array(cols[2], text), "text": pa.array(cols[3], text), "size": pa.array(list(range(len(cols[0]))), long)}), f"{folder}/conversations.parquet")
+    cols = list(zip(*benchmark)) if benchmark else [(), ()]
+    pq.write_table(pa.table({"item_id": pa.array(cols[0], long), "text": pa.array(cols[1], text), "doc_id": pa.array(list(range(len(cols[0]))), long)}), f"{folder}/benchmark.parquet")
     return str(folder)
 
 
@@ -51,7 +53,7 @@ PAGES = [
 def sf(tmp_path_factory):
     docs = documents()
     labels = [(d[0], int(d[0] % 3 > 0)) for d in docs if d[0] is not None] + [(9999, 1), (None, 1)]
-    return write(tmp_path_factory.mktemp("sf"), docs, labels, PAGES, CONVERSATIONS)
+    return write(tmp_path_factory.mktemp("sf"), docs, labels, PAGES, CONVERSATIONS, [(1, "stone and river"), (1, "stone and river"), (None, None)])
 
 
 @pytest.fixture(scope="session")
