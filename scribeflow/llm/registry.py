@@ -13,6 +13,7 @@ from .lexical_search import OP12_SQL, op12_lexical_search
 from .lm_scoring import op6_lm_scoring
 from .mixing import op9_mixing
 from .near_dedup import OP8_SQL, op8_near_dedup
+from .personal_data import op11_personal_data
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op10_quality_rules
 from .sentence_pieces import op7_sentencepiece
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_personal_data": op11_personal_data,
     "op12_lexical_search": op12_lexical_search,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -37,5 +39,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op8_near_dedup": OP8_SQL,
+    "op11_personal_data": op11_personal_data,
     "op12_lexical_search": OP12_SQL,
 }
