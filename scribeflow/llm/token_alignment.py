@@ -2,13 +2,15 @@
 
 Both tokenizers start a new token at a space that follows a character that isn't white space: the byte-level
 model cuts texts into words before it merges, and no piece of the piece model crosses a space (``load_pair``
-checks both). So the alignment of a text is that of its marked words one after the other, and each distinct
-word is aligned once for the whole corpus:
+checks both). The same holds between a letter and a mark behind it, and around a line feed, as far as no piece
+holds both (``fine_cut``). So the alignment of a text is that of the parts between such cuts, its words, one
+after the other, and each distinct word is aligned once for the whole corpus:
 
-1. Texts are cut into marked words, in blocks of a few MB; a block keeps its distinct words once (Arrow).
+1. Texts are cut into words, in blocks of texts; a block keeps its distinct words once (Arrow).
 2. Each distinct word of the corpus is encoded by both tokenizers (Arrow). All that follows about words is
    relational: ``posexplode`` of the tokens, windowed sums of their lengths, an equi-join on word and end,
-   a running count of the joint ends as group id, and a join on word and group for the links.
+   a running count of the joint ends as group id, and a join on word and group for the links. One exchange
+   by word number serves all of it.
 3. Blocks get their words' links back by a join and say how many documents hold each id pair; counts are
    summed over blocks. Words get the sums of their links' counts, and blocks add them up by document.
 
@@ -29,7 +31,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, mapped
+from .common import Scratch, free_shuffles, give_back, mapped
 
-#: A marked word starts at a space that follows a character that isn't white space.
+#: Both tokenizers cut at a space that follows a character that isn't white space.
 CUT = re.compile(r"(?<=\S)(?= )")
+#: Letters and digits that are so in every version of Unicode.
+LATIN = [chr(c) for lo, hi in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)) for c in range(lo, hi + 1)]
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 32_000_000
+#: Pairs of ids, some 50 bytes each, that may be broadcast.
+BROADCAST_PAIRS = 1_000_000
 #: (document, word) pairs whose links are told apart at once.
 STEP = 200_000
 
@@ -103,6 +110,35 @@ def load_pair(a: bytes, b: bytes) -> Pair:
     return Pair(first, SentencePieceProcessor(model_proto=model.SerializeToString()), a_bytes, b_bytes)
 
 
+def fine_cut(pieces: list[str]) -> str:
+    """A pattern for further cuts that no piece crosses and the byte-level model makes as well.
+
+    A mark after a letter begins a new word there, and so does a line feed after anything but white space, and
+    a letter after such a line feed.
+    """
+    crossed = {p: set() for p in MARKS}
+    for piece in pieces:
+        for left, right in zip(piece, piece[1:]):
+            if right in crossed:
+                crossed[right].add(left)
+    alike: dict[str, str] = {}
+    for mark, left in crossed.items():
+        letters = "".join(c for c in LATIN if c not in left)
+        alike[letters] = alike.get(letters, "") + mark
+    cuts = [f"(?<=[{re.escape(letters)}])(?=[{re.escape(marks)}])" for letters, marks in alike.items() if letters]
+    if not any("\n" in p for p in pieces):
+        cuts += [r"(?<=\S)(?=\n)", rf"(?<=\S\n)(?=[{re.escape(''.join(LATIN))}])"]
+    return "|".join(cuts)
+
+
+def pieces_of(model: bytes) -> list[str]:
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    found = pb.ModelProto()
+    found.ParseFromString(model)
+    return [p.piece for p in found.pieces if p.type in (1, 4)]
+
+
 _LOADED: dict[bytes, Pair] = {}
 
 
@@ -113,38 +149,55 @@ def _loaded(files: tuple[bytes, bytes]) -> Pair:
     return _LOADED[key]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Words(dict):
+    """The numbers of the parts of each space-marked word; parts are numbered as they come up."""
+
+    def __init__(self, fine: re.Pattern) -> None:
+        super().__init__()
+        self.fine, self.parts = fine, defaultdict(count().__next__)
+
+    def __missing__(self, word: str) -> list[int]:
+        parts = [word] if word[1:].isalnum() else self.fine.split(word)
+        found = self[word] = [self.parts[p] for p in parts]
+        return found
+
+
+def _blocks(cut) -> callable:
     """Rows of documents (numbers of their words in order) and of distinct words, by block."""
     schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("ix", pa.list_(pa.int32())), ("nth", pa.int32()), ("word", pa.string())])
-    number = TaskContext.get().partitionId() << 32
-    ids: list = []
-    rows: list[np.ndarray] = []
-    held, size = defaultdict(count().__next__), 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal ids, rows, held, size, number
-        if not ids:
-            return
-        n, w = len(ids), len(held)
-        ends = np.cumsum([0, *map(len, rows)])
-        ix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows), pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(ids, pa.int64()), ix, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=schema)
-        words = list(held)
-        for at in range(0, w, 50_000):
-            part = words[at : at + 50_000]
-            m = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.nulls(m, pa.int64()), pa.nulls(m, schema.field("ix").type), pa.array(np.arange(at, at + m), pa.int32()), pa.array(part, pa.string())], schema=schema)
-        ids, rows, held, size, number = [], [], defaultdict(count().__next__), 0, number + 1
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            if size and size + len(text or "") > BLOCK_CHARS:
-                yield from flush()
-            words = CUT.split(" " + text) if text else []
-            ids.append(doc_id)
-            rows.append(np.fromiter(map(held.__getitem__, words), np.int32, len(words)))
-            size += len(text or "")
-    yield from flush()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fine = re.compile(cut.value)
+        number = TaskContext.get().partitionId() << 32
+        ids: list = []
+        rows: list[np.ndarray] = []
+        held, size = _Words(fine), 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal ids, rows, held, size, number
+            for at in range(0, len(ids), 2000):
+                some = rows[at : at + 2000]
+                n = len(some)
+                ix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]), pa.int32()), pa.array(np.concatenate(some), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(ids[at : at + 2000], pa.int64()), ix, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=schema)
+            words = list(held.parts)
+            for at in range(0, len(words), 50_000):
+                part = words[at : at + 50_000]
+                m = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.nulls(m, pa.int64()), pa.nulls(m, schema.field("ix").type), pa.array(np.arange(at, at + m), pa.int32()), pa.array(part, pa.string())], schema=schema)
+            ids, rows, held, size, number = [], [], _Words(fine), 0, number + 1
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if size and size + len(text or "") > BLOCK_CHARS:
+                    yield from flush()
+                words = CUT.split(" " + text) if text else []
+                ids.append(doc_id)
+                rows.append(np.array(list(chain.from_iterable(map(held.__getitem__, words))), np.int32))
+                size += len(text or "")
+        yield from flush()
+
+    return run
 
 
 def _encoder(files) -> callable:
@@ -218,6 +271,16 @@ def group_texts(grouped: DataFrame) -> DataFrame:
     return one.groupBy("w").agg(text.alias("groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"))
 
 
+def align_words(tokens: DataFrame) -> DataFrame:
+    """w, word, groups (null where the word is bad), n_a, links (pair, n) of rows of ``w, word, bad, a, b``; one exchange by w."""
+    spark = tokens.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    grouped = group_tokens(tokens)
+    links = link_tokens(grouped).groupBy("w").agg(F.collect_list(F.struct("pair", "n")).alias("links"), F.sum("n").alias("n_links"))
+    found = tokens.select("w", "word", "bad").repartition(n, "w").join(group_texts(grouped), "w", "left").join(links, "w", "left")
+    return found.select("w", "word", F.when(~F.col("bad"), F.coalesce("groups", F.lit(""))).alias("groups"), F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "links")
+
+
 def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Values and row ends (from 0) of a list column."""
     col = table.column(name).combine_chunks()
@@ -232,8 +295,9 @@ def _pairs_of_block(docs: pa.Table, words: pa.Table) -> pa.Table:
     flat, ends = _lists(words, "pairs")
     kinds, flat = np.unique(flat, return_inverse=True)
     bad = words.column("bad").to_numpy().astype(bool)
+    del words
     ix, rows = _lists(docs, "ix")
-    n, w, k = docs.num_rows, max(words.num_rows, 1), max(len(kinds), 1)
+    n, w, k = docs.num_rows, max(len(bad), 1), max(len(kinds), 1)
     total = np.zeros(k, np.int64)
     at = 0
     while at < n:
@@ -254,17 +318,21 @@ def _pairs_of_block(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"pair": pa.array(kinds[some[: len(kinds)]], pa.int64()), "n": pa.array(total[some], pa.int64())})
 
 
-SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+#: What a word adds to its documents; the rest is in the text of its groups.
+SUMS = ("n_a", "n_links", "n_best", "count_sum")
 
 
 def _docs_of_block(keep_text: bool) -> callable:
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         words = words.sort_by("nth")
         groups = words.column("groups").to_pylist()
-        bad = words.column("bad").to_numpy().astype(bool)
+        bad = np.array([g is None for g in groups], bool)
         sums = {c: np.asarray(words.column(c), np.int64) for c in SUMS}
+        sums["n_groups"] = np.array([g.count("|") if g else 0 for g in groups], np.int64)
+        sums["n_b"] = np.array([g.count(",") if g else 0 for g in groups], np.int64) + 2 * sums["n_groups"] - sums["n_a"]
+        del words
         ix, rows = _lists(docs, "ix")
-        out: dict[str, list] = {c: [] for c in SUMS}
+        out: dict[str, list] = {c: [] for c in sums}
         digests, texts = [], []
         for i in range(docs.num_rows):
             here = ix[rows[i] : rows[i + 1]]
@@ -272,12 +340,12 @@ def _docs_of_block(keep_text: bool) -> callable:
                 text, here = "", here[:0]
             else:
                 text = ";".join(map(groups.__getitem__, here.tolist()))
-            for c in SUMS:
-                out[c].append(int(sums[c][here].sum()))
+            for c, of_word in sums.items():
+                out[c].append(int(of_word[here].sum()))
             digests.append(hashlib.sha256(text.encode()).hexdigest() if len(here) else "")
             if keep_text:
                 texts.append(text)
-        columns = {"doc_id": docs.column("doc_id"), **{c: pa.array(v, pa.int64()) for c, v in out.items()}, "groups_sha256": pa.array(digests, pa.string())}
+        columns = {"doc_id": docs.column("doc_id"), **{c: pa.array(out[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")}, "groups_sha256": pa.array(digests, pa.string())}
         if keep_text:
             columns["groups"] = pa.array(texts, pa.string())
         give_back()
@@ -295,33 +363,39 @@ def align_documents(docs: DataFrame, files: tuple[str, str] | None = None, group
     spark = docs.sparkSession
     data = tuple(open(f, "rb").read() for f in files or default_pair())  # read by the driver; executors get the bytes
     scratch = Scratch(spark, "align")
-    cut = scratch.write(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _blocks, BLOCKS), "blocks")
+    fine = spark.sparkContext.broadcast(fine_cut(pieces_of(data[1])))
+    cut = scratch.write(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _blocks(fine), BLOCKS), "blocks")
     rows = cut.where("nth is null").select("block", "doc_id", "ix")
     words = scratch.read("blocks", cut.schema).where("nth is not null").select("block", "nth", "word")
     tokens = scratch.write(encode_words(words.select("word").distinct(), data).withColumn("w", F.monotonically_increasing_id()), "tokens")
     before = spark.conf.get(CO_PARTITION, "true")
     spark.conf.set(CO_PARTITION, "false")
     try:
-        grouped = scratch.write(group_tokens(tokens), "grouped")
-        links = scratch.write(link_tokens(grouped), "links")
-        texts = scratch.write(group_texts(grouped), "texts")
+        aligned = scratch.write(align_words(tokens), "aligned")
     finally:
         spark.conf.set(CO_PARTITION, before)
+    scratch.drop("tokens")
+    free_shuffles(spark)
     # The documents that hold each pair, by block and then over all.
-    held = links.groupBy("w").agg(F.collect_list("pair").alias("pairs"))
-    of_word = tokens.select("w", "word", "bad").join(held, "w", "left").select("word", "bad", "pairs")
+    of_word = aligned.select("word", F.isnull("groups").alias("bad"), F.col("links.pair").alias("pairs"))
     by_block = words.join(of_word, "word").select("block", "nth", "bad", "pairs")
     counts = rows.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_pairs_of_block, "pair long, n long")
     counts = scratch.write(counts.groupBy("pair").agg(F.sum("n").alias("docs")), "counts")
-    best = counts.withColumn("a", F.shiftright("pair", 32)).select("pair", "docs", (F.col("docs") == F.max("docs").over(Window.partitionBy("a"))).alias("best"))
+    free_shuffles(spark)
+    most = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("most"))
+    best = scratch.write(counts.withColumn("a", F.shiftright("pair", 32)).join(most, "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "best")
+    if best.count() <= BROADCAST_PAIRS:
+        best = F.broadcast(best)
     # What a word adds to its documents.
-    told = links.join(best, "pair").groupBy("w").agg(F.sum("n").alias("n_links"), F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
-    of_word = tokens.select("w", "word", "bad").join(texts, "w", "left").join(told, "w", "left")
-    of_word = of_word.select("word", "bad", F.coalesce("groups", F.lit("")).alias("groups"), *(F.coalesce(c, F.lit(0)).alias(c) for c in SUMS))
+    told = aligned.select("w", F.explode("links").alias("x")).select("w", "x.pair", "x.n").join(best, "pair")
+    told = told.groupBy("w").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
+    of_word = aligned.select("w", "word", "groups", "n_a", "n_links").join(told, "w", "left")
+    of_word = of_word.select("word", "groups", *(F.coalesce(c, F.lit(0)).alias(c) for c in SUMS))
     by_block = words.join(of_word, "word").drop("word")
     out = rows.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_docs_of_block(groups), RESULT + ", groups string" * groups)
     out = scratch.write(out, "result")
-    scratch.drop("blocks", "tokens", "grouped", "links", "texts", "counts")
+    scratch.drop("blocks", "aligned", "counts", "best")
+    free_shuffles(spark)
     return out
 
 

@@ -135,6 +135,14 @@ def test_op13_groups_within_a_text(spark):
     assert {(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF, r["n"]) for r in token_alignment.link_tokens(grouped).collect()} == {(7, 4, 2), (8, 5, 1), (8, 6, 1), (9, 5, 1), (9, 6, 1)}
 
 
+def test_op13_fine_cuts_follow_the_pieces():
+    import re
+
+    fine = re.compile(token_alignment.fine_cut(["▁the", "n't", "e.", ".,"]))
+    assert fine.split(" ate. a.b,c\nD") == [" ate. a", ".b", ",c", "\n", "D"]
+    assert re.compile(token_alignment.fine_cut(["a\n"])).split("x\ny z,") == ["x\ny z", ","]
+
+
 def test_op13_refuses_other_tokenizers():
     a, b = token_alignment.default_pair()
     with open(a, "rb") as f, open(b, "rb") as g:
