@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import native_queries
+from . import native_queries, stream_queries
 
 _E = """
 e AS (
@@ -137,4 +137,5 @@ ORACLES: dict[str, str] = {
       SELECT session_key, has_answer, coalesce(f, false) AS fetch_answered, coalesce(t, false) AS three_calls FROM a LEFT JOIN b USING (session_key)""",
     "first_claims": "SELECT user_id::VARCHAR AS path, arg_min(event_type, event_id) AS owner FROM events GROUP BY user_id",
     **native_queries.ORACLES,
+    **stream_queries.ORACLES,
 }

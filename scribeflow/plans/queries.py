@@ -12,7 +12,7 @@ from ..operators import acp, drift, interactions, promote, sequence, stats, vali
 from ..sources import detect
 from ..sources.transcripts import parse
 from .bridge import conversation_sessions, event_sessions, native_lines, shaped, text_blocks
-from . import native_queries
+from . import native_queries, stream_queries
 from .schema import SYSTEM
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,5 +313,6 @@ QUERIES: dict[str, Query] = {
     "probe_predicates": interactions_predicates,
     "first_claims": first_claims,
     **native_queries.QUERIES,
+    **stream_queries.QUERIES,
 }
 

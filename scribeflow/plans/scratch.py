@@ -5,14 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` from a new table in the session's checkpoint folder; a temporary one only in single-process local mode."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one only in single-process local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -21,6 +20,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="scribeflow-"))
         root = _LOCAL[0]
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a new table in that folder."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

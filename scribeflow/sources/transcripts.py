@@ -182,6 +182,14 @@ def _maybe(condition: Column, placed: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.array(placed).cast(T.ArrayType(_PLACED))).otherwise(F.array().cast(T.ArrayType(_PLACED)))
 
 
+def cut_payloads(events: DataFrame, most: int) -> DataFrame:
+    """Cuts results' contents that are over ``most`` bytes, where that is set; results that name their own tool stay."""
+    if most <= 0:
+        return events
+    cut = F.col("tool_result").withField("content", F.transform("tool_result.content", lambda b: truncate_block(b, most))).withField("enrichment", truncate_json(F.col("tool_result.enrichment"), most))
+    return events.withColumn("tool_result", F.when(F.col("tool_result").isNull() | F.coalesce("_own", F.lit(False)), F.col("tool_result")).otherwise(cut))
+
+
 def parse(lines: DataFrame, harness: str, options: Options = Options()) -> Parsed:
     """Events, skips and errors of transcripts in one format. ``lines``: session_key, line, text, or raw or
     ``decoded`` ones.
@@ -273,10 +281,7 @@ def parse(lines: DataFrame, harness: str, options: Options = Options()) -> Parse
     events = events.select("session_key", (F.row_number().over(seq) - 1).cast("long").alias("seq"), *(F.col(f"p.e.{c}").alias(c) for c in ("kind", "ts_us", "id", "parent_id", "message_id")), "p.line", "p.end_line", "p.raw", *(F.col(f"p.e.{c}").alias(c) for c in PAYLOADS), F.col("p.e.own_name").alias("_own"))
     if harness != "antigravity":
         events = tool_names(events, F.coalesce("_own", F.lit(False)))
-    if options.max_payload_bytes > 0:
-        n = options.max_payload_bytes
-        cut = F.col("tool_result").withField("content", F.transform("tool_result.content", lambda b: truncate_block(b, n))).withField("enrichment", truncate_json(F.col("tool_result.enrichment"), n))
-        events = events.withColumn("tool_result", F.when(F.col("tool_result").isNull() | F.coalesce("_own", F.lit(False)), F.col("tool_result")).otherwise(cut))
+    events = cut_payloads(events, options.max_payload_bytes)
     return Parsed(events.select(*EVENTS.names), skips, errors, harness)
 
 
