@@ -110,7 +110,9 @@ def _sessions(spark: SparkSession, a: argparse.Namespace) -> int:
     until = discover.parse_when(a.until, until=True) if a.until else None
     if a.root and not a.harness:
         raise ValueError("--root needs --harness")
-    if a.harness:
+    if a.harness and a.session_id:
+        found = discover.located(spark, a.root or discover.default_root(a.harness), a.harness, a.session_id, since, until)
+    elif a.harness:
         found = discover.scan(spark, a.root or discover.default_root(a.harness), a.harness, since, until)
     else:
         found = discover.scan_all(spark, None, since, until)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.schema import KINDS, PAYLOADS
@@ -29,13 +29,35 @@ def violations(events: DataFrame) -> DataFrame:
     return rows.unionByName(again.select("session_key", "seq", F.lit("duplicate session_meta").alias("violation")))
 
 
+def covered_until(spans: DataFrame) -> DataFrame:
+    """(session_key, line, end_line, until) with ``until``: the furthest end of the spans up to each, in order of their starts."""
+    up_to = Window.partitionBy("session_key").orderBy("line", "end_line").rowsBetween(Window.unboundedPreceding, 0)
+    return spans.select("session_key", "line", "end_line", F.max("end_line").over(up_to).alias("until"))
+
+
 def uncovered_lines(lines: DataFrame, events: DataFrame, skips: DataFrame, problems: DataFrame | None = None) -> DataFrame:
-    """(session_key, line) of non-blank lines that no event, skip or problem accounts for."""
-    spans = events.where("line is not null").select("session_key", F.explode(F.sequence("line", F.coalesce("end_line", "line"))).alias("line"))
-    seen = spans.unionByName(skips.select("session_key", "line"))
+    """(session_key, line) of non-blank lines that no event, skip or problem accounts for.
+
+    A range anti join by a sweep: spans and lines go through one window in order, a span before a line of the same number,
+    and a line is covered if a span before it reaches that far. A span is one row, however long.
+    """
+    spans = events.where("line is not null").select("session_key", "line", F.coalesce("end_line", "line").alias("end_line"))
+    single = skips.select("session_key", "line")
     if problems is not None:
-        seen = seen.unionByName(problems.select("session_key", "line"))
-    return lines.select("session_key", "line").join(seen.distinct(), ["session_key", "line"], "left_anti")
+        single = single.unionByName(problems.select("session_key", "line"))
+    spans = spans.unionByName(single.withColumn("end_line", F.col("line")))
+    both = spans.select("session_key", "line", "end_line").unionByName(lines.select("session_key", "line").withColumn("end_line", F.lit(None).cast(spans.schema["end_line"].dataType)))
+    up_to = Window.partitionBy("session_key").orderBy("line", F.col("end_line").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("_until", F.max("end_line").over(up_to)).where(F.col("end_line").isNull())
+    return swept.where(F.col("_until").isNull() | (F.col("_until") < F.col("line"))).select("session_key", "line")
+
+
+def gaps(events: DataFrame, skips: DataFrame) -> DataFrame:
+    """(session_key, first, last): runs of lines between 1 and the last span that nothing covers, a row for each run."""
+    spans = events.where("line is not null").select("session_key", "line", F.coalesce("end_line", "line").alias("end_line")).unionByName(skips.select("session_key", "line", F.col("line").alias("end_line")))
+    reach = covered_until(spans)
+    before = F.coalesce(F.lag("until").over(Window.partitionBy("session_key").orderBy("line", "end_line")), F.lit(0))
+    return reach.withColumn("_before", before).where(F.col("line") > F.col("_before") + 1).select("session_key", (F.col("_before") + 1).cast("int").alias("first"), (F.col("line") - 1).alias("last"))
 
 
 def uncovered_files(files: DataFrame, refs: DataFrame, skips: DataFrame, errors: DataFrame) -> DataFrame:

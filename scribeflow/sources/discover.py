@@ -1,7 +1,7 @@
 """Finding sessions under the roots of the agent tools, by path, identity and time window.
 
-Listing runs as a ``binaryFile`` scan of which only path, time and length are read. Paths are classified
-with regular expressions; identities come from each transcript's first event.
+Listing runs in tasks, a folder each (``listing``). Paths are classified with regular expressions; identities
+come from each transcript's first event, of which only the first bytes of a file are read.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_path, overlaps_window, safe_session_id
+from ..plans.scratch import written
 from .detect import REGISTRY
-from .lines import read_lines
+from .listing import session_files
+from .splits import heads, key_of, numbered_splits
 from .transcripts import decoded
 
 #: Where each agent tool keeps its transcripts, under the home folder.
@@ -74,12 +76,17 @@ def classify(files: DataFrame, harness: str) -> DataFrame:
         main, agent = F.concat(F.lit("/"), rel).rlike(r"^/[^/]+" + _TRANSCRIPT.replace(".", r"\.") + "$"), F.lit(False)
         stem = F.regexp_extract(rel, "^([^/]+)/", 1)
         reason = F.when(~rel.contains("/"), "not a conversation directory").otherwise("conversation sidecar")
+    if "problem" in files.columns:
+        lost = F.when(rel.rlike(r"^[^/]+/[^/]+/subagents$"), "unreadable subagents directory").when(rel.rlike(r"^[^/]+/[^/]+$"), "unreadable session directory").otherwise("unreadable directory")
+        lost = lost if harness == "claude-code" else F.lit("unreadable directory")
+        broken = F.col("problem").isNotNull()
+        main, agent, reason = main & ~broken, agent & ~broken, F.when(broken, lost).otherwise(reason)
     role = F.when(main, "main").when(agent, "subagent")
     out = files.withColumn("role", role).withColumn("stem", stem).withColumn("reason", F.when(role.isNull(), reason))
     if harness == "antigravity":
         have = out.where("role = 'main'").select(F.col("stem").alias("_s")).distinct()
         out = out.join(have, F.col("stem") == F.col("_s"), "left")
-        out = out.withColumn("reason", F.when(F.col("role").isNull() & (F.col("stem") != "") & F.col("_s").isNull(), "conversation directory without transcript").otherwise(F.col("reason"))).drop("_s")
+        out = out.withColumn("reason", F.when(F.col("role").isNull() & (F.col("stem") != "") & F.col("_s").isNull() & ~F.col("reason").startswith("unreadable"), "conversation directory without transcript").otherwise(F.col("reason"))).drop("_s")
     return out
 
 
@@ -112,6 +119,30 @@ def identities(lines: DataFrame, harness: str) -> DataFrame:
     return head.unionByName(_first_events(decoded(late, harness), F.col("line")))
 
 
+#: Bytes of a file that are read first to find its identity; those without an event there are read sixteen times as far, and so on.
+HEAD_BYTES = 64 * 1024
+
+
+def head_identities(spark: SparkSession, files: list[tuple[str, int]], harness: str) -> DataFrame:
+    """``identities`` of (path, size) files from as few bytes as it takes, whatever their sizes.
+
+    Steps may come in any order, so that stepwise transcripts are read whole.
+    """
+    if harness == "antigravity":
+        return identities(numbered_splits(spark, *(p for p, _ in files)), harness)
+    out, most = None, HEAD_BYTES
+    while files:
+        found = written(_first_events(decoded(heads(spark, files, most), harness), F.col("line")), "identities")
+        out = found if out is None else out.unionByName(found)
+        longer = [x for x in files if x[1] > most]
+        if not longer:
+            break
+        keys = spark.createDataFrame([(key_of(p), p, n) for p, n in longer], "session_key string, path string, size long")
+        files = [(r["path"], r["size"]) for r in keys.join(found.select("session_key"), "session_key", "left_anti").collect()]
+        most *= 16
+    return out
+
+
 def _first_events(rows: DataFrame, order: Column) -> DataFrame:
     return rows.where("skip is null").groupBy("session_key").agg(*(F.min_by(c, order).alias(n) for c, n in (("meta", "meta"), ("ts_us", "started_us"), ("problem", "problem"))))
 
@@ -146,20 +177,16 @@ def scan(spark: SparkSession, root: str, harness: str, since_us: int | None = No
     refs_schema = "harness string, path string, session_id string, cwd string, git_branch string, harness_version string, is_subagent boolean, started_us long, mtime_us long, length long, subagent_paths array<string>"
     if not os.path.isdir(root.removeprefix("file:")) and "://" not in root:
         return Found(spark.createDataFrame([], refs_schema), spark.createDataFrame([(root, "root does not exist")], "path string, reason string"), empty)
-    files = classify(list_files(spark, root, "*" + _TRANSCRIPT if harness == "antigravity" else None), harness)
-    if harness == "codex":
-        files = files.where(in_day_window(F.col("rel"), since_us, until_us))
+    files = classify(written(session_files(spark, root, harness == "codex", since_us, until_us), "files"), harness)
     refs = references(files)
+    # Copies keep old times, and old files may be written again: start and time both count, once they are known.
     refs = refs if only is None else refs.where(only)
-    # An old file can't have been active since; one that is new may still have started long ago.
-    refs = refs.where(F.col("mtime_us") >= since_us) if since_us is not None else refs
-    names = [r["path"] for r in refs.select("path").toLocalIterator()]  # paths to open: the listing, not the contents
+    names = [(r["path"], r["length"]) for r in refs.select("path", "length").toLocalIterator()]  # paths to open: the listing, not the contents
     if not names:
         return Found(spark.createDataFrame([], refs_schema), files.where("reason is not null").select("path", "reason"), empty)
-    known = identities(read_lines(spark, *names), harness)
-    key = F.regexp_replace("path", r"^file:/*", "/")
-    known = known.withColumn("_k", F.regexp_replace("session_key", r"^file:/*", "/")).drop("session_key")
-    both = refs.withColumn("_k", key).join(known, "_k", "left")
+    known = head_identities(spark, names, harness).withColumnRenamed("session_key", "_k")
+    keys = spark.createDataFrame([(p, key_of(p)) for p, _ in names], "path string, _k string")
+    both = refs.join(keys, "path").join(known, "_k", "left")
     bad = both.where(F.col("meta").isNull() | F.col("problem").isNotNull())
     ident = F.col("stem") if harness == "antigravity" else F.col("meta.session_id")
     good = both.where(F.col("meta").isNotNull() & F.col("problem").isNull()).select(
@@ -194,6 +221,13 @@ def locate(spark: SparkSession, root: str, harness: str, session_id: str) -> Dat
     return refs
 
 
+def located(spark: SparkSession, root: str, harness: str, session_id: str, since_us: int | None = None, until_us: int | None = None) -> Found:
+    """The session of an id, if it was active within the window; only its own transcript is opened."""
+    refs = locate(spark, root, harness, session_id).where(overlaps_window(F.col("started_us"), F.col("mtime_us"), since_us, until_us))
+    none = spark.createDataFrame([], "path string, reason string")
+    return Found(refs, none, none)
+
+
 def filtered(refs: DataFrame, session_id: str | None, cwd: str | None) -> DataFrame:
     """Adds ``filter_reason``: NULL for a match, else the first filter that a session fails."""
     clean = clean_path(F.col("cwd"))
