@@ -133,12 +133,21 @@ def _sessions(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _drift(spark: SparkSession, a: argparse.Namespace) -> int:
-    lines = read_lines(spark, *a.paths)
+    if a.verb == "scan" and not a.paths:
+        raise ValueError("drift scan needs files")
+    lines = read_lines(spark, *a.paths) if a.paths else None
     if a.verb == "baseline":
         if not a.harness:
             raise ValueError("drift baseline needs --harness")
-        own = detect(lines).where(F.col("harness") == a.harness).select("session_key")
-        words = drift.vocabulary(lines.join(own, "session_key", "left_semi"), a.harness)
+        if lines is None:  # the sessions of the tool itself
+            words = baselines.from_root(spark, a.root or discover.default_root(a.harness), a.harness)
+        else:
+            own = detect(lines).where(F.col("harness") == a.harness).select("session_key")
+            words = baselines.from_lines(lines.join(own, "session_key", "left_semi"), a.harness)
+        if a.baseline:
+            with open(a.baseline, encoding="utf-8") as f:
+                words = baselines.merged(words, sinks.read_baseline(f.read(), spark))
+        words = words.persist()
         if words.isEmpty():
             raise ValueError(f"none of the files is a {a.harness} transcript")
         _write(sinks.baseline_json(words, a.version or LAST_VALIDATED[a.harness]), a.output)
@@ -182,9 +191,10 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument(f"--{name}")
     p = verb("drift", _drift)
     p.add_argument("verb", choices=("scan", "baseline"))
-    p.add_argument("paths", nargs="+")
+    p.add_argument("paths", nargs="*")
     p.add_argument("--harness", choices=REGISTRY)
-    p.add_argument("--baseline", help="a baseline file to use instead of the library's own")
+    p.add_argument("--root", help="where to look for sessions to make a baseline of")
+    p.add_argument("--baseline", help="a baseline file to use instead of the library's own, or to add to")
     p.add_argument("--version", default="")
     p.add_argument("-o", "--output")
     a = top.parse_args(argv)

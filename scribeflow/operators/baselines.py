@@ -1,35 +1,22 @@
-"""The vocabulary that this library's decoders know, as baselines for drift scans."""
+"""Baselines for drift scans: what the decoders know, and vocabularies made from files and merged over runs.
+
+A baseline made from files has a row for each type, key and value with the first and the last version it was seen in.
+Merging is a union that keeps the earliest and the latest version, so that runs over parts of a corpus, or over
+years, add up in any order. The library's own baseline has record types and discriminator values only: keys are
+told from those of files that are known to be good, and a scan judges keys only where its baseline has some.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.columns import LAST_VALIDATED
-from ..sources import decode
-
-_CLAUDE = "type uuid parentUuid timestamp sessionId version cwd gitBranch isSidechain agentId isMeta userType"
-_MESSAGE = "message message.id message.model message.role message.type message.content message.stop_reason message.stop_sequence message.usage"
-_ANTIGRAVITY = "step_index source type status created_at content thinking error error_code tool_calls"
+from ..sources import decode, discover
+from ..sources.splits import numbered_splits
+from ..sources.transcripts import decoded
+from .drift import vocabulary
 
-#: Keys of each record type, one text a type; fixed values of the formats.
-_KEYS: dict[str, dict[str, str]] = {
-    "claude-code": {
-        "user": f"{_CLAUDE} {_MESSAGE} toolUseResult toolUseResult.url toolUseResult.bytes toolUseResult.code toolUseResult.durationMs",
-        "assistant": f"{_CLAUDE} {_MESSAGE} requestId isApiErrorMessage",
-        "system": f"{_CLAUDE} subtype level content",
-        "attachment": f"{_CLAUDE} attachment attachment.type attachment.content",
-        **{k: "type sessionId timestamp" for k in decode.CLAUDE_SKIP},
-    },
-    "codex": {
-        "session_meta": "timestamp type payload payload.id payload.session_id payload.cwd payload.cli_version payload.git payload.originator payload.timestamp",
-        "turn_context": "timestamp type payload payload.model payload.cwd",
-        "event_msg": "timestamp type payload payload.type payload.message payload.info payload.call_id payload.action payload.changes payload.success",
-        "response_item": "timestamp type payload " + " ".join(f"payload.{k}" for k in "type role content summary encrypted_content id call_id name input arguments output status action success".split()),
-        "world_state": "timestamp type payload",
-        "compacted": "timestamp type payload payload.message",
-    },
-    "antigravity": {k: _ANTIGRAVITY for k in (*decode.ANTIGRAVITY_DISPATCH, *decode.ANTIGRAVITY_RESULTS, *decode.ANTIGRAVITY_AMBIGUOUS)},
-}
 _CALLS = ("function_call", "custom_tool_call", "local_shell_call", "web_search_call")
 #: Values of each discriminator: (record type, path) to names.
 _VALUES: dict[str, dict[tuple[str, str], tuple[str, ...]]] = {
@@ -51,15 +38,56 @@ _VALUES: dict[str, dict[tuple[str, str], tuple[str, ...]]] = {
 }
 
 
+#: Record types of each format.
+_TYPES = {
+    "claude-code": ("user", "assistant", "system", "attachment", *decode.CLAUDE_SKIP),
+    "codex": tuple(decode.CODEX_RECORDS),
+    "antigravity": (*decode.ANTIGRAVITY_DISPATCH, *decode.ANTIGRAVITY_RESULTS, *decode.ANTIGRAVITY_AMBIGUOUS),
+}
+ROW = ("harness", "record_type", "facet", "path", "value")
+
+
 def shipped(spark: SparkSession) -> DataFrame:
-    """Vocabulary rows of every format; its versions are those of ``LAST_VALIDATED``."""
+    """Record types and values of every format; its versions are those of ``LAST_VALIDATED``."""
     rows = []
     for harness in LAST_VALIDATED:
-        for kind, keys in _KEYS[harness].items():
-            rows.append((harness, kind, "type", "", ""))
-            rows += [(harness, kind, "key", "", k) for k in keys.split()]
+        rows += [(harness, kind, "type", "", "") for kind in _TYPES[harness]]
         for (kind, path), names in _VALUES[harness].items():
             rows += [(harness, kind, "value", path, n) for n in names]
     return spark.createDataFrame(rows, "harness string, record_type string, facet string, path string, value string")
 
 
+def version_place(version: Column) -> Column:
+    """Dotted versions in order: their numbers, segment by segment; none comes first."""
+    return F.transform(F.split(F.coalesce(version, F.lit("")), r"\."), lambda p: F.coalesce(F.regexp_extract(p, r"^\d+", 0).try_cast("long"), F.lit(-1)))
+
+
+def from_lines(lines: DataFrame, harness: str) -> DataFrame:
+    """The vocabulary of transcripts' lines (session_key, line, text) with first_version and last_version."""
+    rows = decoded(lines, harness)
+    version = F.coalesce("version", "meta.harness_version")
+    versions = rows.where(version.isNotNull()).groupBy("session_key").agg(F.min_by(version, "line").alias("v"))
+    words = vocabulary(lines, harness, "session_key").join(versions, "session_key", "left")
+    return merged(words.select(*ROW, F.col("v").alias("first_version"), F.col("v").alias("last_version")))
+
+
+def merged(*baselines: DataFrame) -> DataFrame:
+    """The union of baselines: every row once, with the earliest and the latest version of all."""
+    out = None
+    for b in baselines:
+        for c in ("first_version", "last_version"):
+            if c not in b.columns:
+                b = b.withColumn(c, F.lit(None).cast("string"))
+        b = b.select(*ROW, "first_version", "last_version")
+        out = b if out is None else out.unionByName(b)
+    first, last = F.col("first_version"), F.col("last_version")
+    return out.groupBy(*ROW).agg(F.min_by(first, F.when(first.isNotNull(), version_place(first))).alias("first_version"), F.max_by(last, F.when(last.isNotNull(), version_place(last))).alias("last_version"))
+
+
+def from_root(spark: SparkSession, root: str, harness: str) -> DataFrame:
+    """The baseline of the sessions that discovery finds below a root, subagents too."""
+    refs = discover.scan(spark, root, harness).refs
+    names = [r["path"] for r in refs.select(F.explode(F.concat(F.array("path"), "subagent_paths")).alias("path")).distinct().toLocalIterator()]
+    if not names:
+        raise ValueError(f"{harness}: no transcripts under {root}")
+    return from_lines(numbered_splits(spark, *names), harness)

@@ -73,7 +73,8 @@ def path_values(rows: DataFrame, path: str) -> DataFrame:
 def drift(baseline: DataFrame, observed: DataFrame, *by: str) -> DataFrame:
     """(``by``, harness, finding, record_type, path, value): what is new, and baseline types never seen.
 
-    New keys and values count only for known record types. Vocabularies are small: distinct names only.
+    New keys and values count only for known record types, keys only where the baseline has keys of the type at all.
+    Vocabularies are small: distinct names only.
     """
     on = ["harness", "record_type"]
     known = baseline.where("facet = 'type'").select(*on).distinct()
@@ -82,6 +83,8 @@ def drift(baseline: DataFrame, observed: DataFrame, *by: str) -> DataFrame:
     inner = observed.join(known, on, "left_semi").join(baseline.select(*on, "facet", "path", "value"), [*on, "facet", "path", "value"], "left_anti")
     wanted = types.select(*by, "harness").distinct().join(known, "harness") if by else known
     unseen = wanted.join(types.select(*by, *on), [*by, *on], "left_anti").withColumns({"path": F.lit(""), "value": F.lit("")})
+    keyed = baseline.where("facet = 'key'").select(*on).distinct()
+    inner = inner.where("facet <> 'key'").unionByName(inner.where("facet = 'key'").join(keyed, on, "left_semi").select(inner.columns))
     name = F.when(F.col("facet") == "key", "new_key").otherwise("new_value")
     pick = lambda df, f: df.select(*by, "harness", f.alias("finding"), "record_type", "path", "value")
     return pick(new_types, F.lit("new_record_type")).unionByName(pick(inner.where("facet <> 'type'"), name)).unionByName(pick(unseen, F.lit("unexercised")))

@@ -136,6 +136,10 @@ ORACLES: dict[str, str] = {
     "probe_predicates": f"""WITH {_P}, a AS (SELECT session_key, bool_or(kind = 'assistant_message') AS has_answer FROM e GROUP BY session_key), b AS (SELECT session_key, bool_or(coalesce(tool_kind = 'fetch', false) AND n_results > 0) AS f, count(*) FILTER (WHERE has_call) >= 3 AS t FROM i GROUP BY session_key)
       SELECT session_key, has_answer, coalesce(f, false) AS fetch_answered, coalesce(t, false) AS three_calls FROM a LEFT JOIN b USING (session_key)""",
     "first_claims": "SELECT user_id::VARCHAR AS path, arg_min(event_type, event_id) AS owner FROM events GROUP BY user_id",
+    "line_gaps": f"""WITH {_E}, s AS (SELECT session_key, seq + 1 AS line, CASE WHEN kind = 'tool_result' THEN seq + 3 ELSE seq + 1 END AS end_line FROM e WHERE seq % 3 <> 1 AND (kind <> 'tool_call' OR seq % 5 = 0)),
+  c AS (SELECT DISTINCT session_key, unnest(range(line, end_line + 1)) AS line FROM s), m AS (SELECT session_key, unnest(range(1, max(end_line) + 1)) AS line FROM s GROUP BY session_key),
+  u AS (SELECT session_key, line, line - row_number() OVER (PARTITION BY session_key ORDER BY line) AS run FROM (SELECT * FROM m EXCEPT SELECT * FROM c))
+  SELECT session_key, min(line) AS first, max(line) AS last FROM u GROUP BY session_key, run""",
     **native_queries.ORACLES,
     **stream_queries.ORACLES,
 }

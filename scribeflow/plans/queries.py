@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import content_bytes, digest, overlaps_window, truncate_block, version_newer
-from ..operators import acp, drift, interactions, promote, sequence, stats, validate
+from ..operators import acp, drift, interactions, probes, promote, sequence, stats, validate
 from ..sources import detect
 from ..sources.transcripts import parse
 from .bridge import conversation_sessions, event_sessions, native_lines, shaped, text_blocks
@@ -254,9 +254,11 @@ def fetch_compression(spark, d):
 def interactions_predicates(spark, d):
     """Probe predicates: an answer is there, a fetch call has a result, three calls at least."""
     e = event_sessions(spark, d)
-    answers = e.groupBy("session_key").agg(F.max(F.col("kind") == "assistant_message").alias("has_answer"))
-    rows = stats.interaction_rows(e).groupBy("session_key").agg(F.coalesce(F.max((F.col("call_kind") == "fetch") & (F.col("n_results") > 0)), F.lit(False)).alias("fetch_answered"), (F.count_if("has_call") >= 3).alias("three_calls"))
-    return answers.join(rows, "session_key", "left").select("session_key", "has_answer", F.coalesce("fetch_answered", F.lit(False)).alias("fetch_answered"), F.coalesce("three_calls", F.lit(False)).alias("three_calls"))
+    lacks = {"has_answer": probes.missing_answer(e), "fetch_answered": probes.missing_tool_kind(e, "fetch"), "three_calls": probes.missing_calls(e, 3)}
+    out = e.select("session_key").distinct()
+    for name, rows in lacks.items():
+        out = out.join(rows.select("session_key", F.lit(False).alias(name)), "session_key", "left")
+    return out.select("session_key", *(F.coalesce(name, F.lit(True)).alias(name) for name in lacks))
 
 
 def first_claims(spark, d):

@@ -7,11 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.transcripts import Options
+from ..operators.validate import gaps
+from ..sources.splits import numbered_splits
+from ..sources.transcripts import Options, parse
 from ..streaming.incremental import follow_log, new_bytes, standing
-from .native import flat, rich_lines
+from .bridge import event_sessions
+from .native import flat, parsed, rich_lines
+from .native_queries import ORACLES as ORACLES_NATIVE
 from .native_sql import WITH
 from .scratch import folder
+from .views import create_views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -38,6 +43,30 @@ def _followed(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
     return flat(by_name(standing(spark, f"{base}/log", harness, options).events))
 
 
+def _split(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
+    """Each user's transcript, numbered by splits of 4 KB."""
+    lines = by_name(numbered_splits(spark, transcript_files(spark, sf_dir, harness), split=4096, suffix=".txt"))
+    return flat(parse(lines, harness, Options(permissive=True)).events)
+
+
+def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL over the views of the event table."""
+    create_views(spark, parsed(spark, sf_dir, "claude-code"), "sql_views_")
+    return spark.sql("SELECT session_key, tool_calls, tool_errors, fetch_raw_bytes, result_bytes FROM sql_views_stats WHERE session_key IN (SELECT session_key FROM sql_views_interactions)")
+
+
+def line_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lines that no event or skip accounts for; results cover three lines, every fifth call one, messages one."""
+    e = event_sessions(spark, sf_dir).where("seq % 3 <> 1")
+    events = e.where("kind <> 'tool_call'").withColumn("end_line", F.when(F.col("kind") == "tool_result", F.col("line") + 2).otherwise(F.col("line")))
+    return gaps(events, e.where("kind = 'tool_call' and seq % 5 = 0").select("session_key", "line")).select("session_key", *(F.col(c).cast("long").alias(c) for c in ("first", "last")))
+
+
+QUERIES["sql_views"], ORACLES["sql_views"] = sql_views, ORACLES_NATIVE["native_tool_totals"]
+QUERIES["line_gaps"] = line_gaps
+for _h, _name in (("claude-code", "claude"), ("codex", "codex")):
+    QUERIES[f"split_events_{_name}"] = lambda spark, d, h=_h: _split(spark, d, h)
+    ORACLES[f"split_events_{_name}"] = f"WITH {WITH[_h]} SELECT * FROM flat"
 for _h, _name in (("claude-code", "claude"), ("codex", "codex"), ("antigravity", "antigravity")):
     QUERIES[f"stream_events_{_name}"] = lambda spark, d, h=_h: _followed(spark, d, h)
     ORACLES[f"stream_events_{_name}"] = f"WITH {WITH[_h]} SELECT * FROM flat"

@@ -162,19 +162,24 @@ def _load(spark: SparkSession, files: list[tuple[str, int]], split: int, **optio
     return reader.load()
 
 
-def files_below(*paths: str) -> list[tuple[str, int]]:
-    """(path, size) of files and of what lies below folders, in order."""
+def files_below(*paths: str, suffix: str = "") -> list[tuple[str, int]]:
+    """(path, size) of files and of what lies below folders, in order; below folders, names with a dot or a line in front are passed over, as by Spark's readers."""
     out: dict[str, int] = {}
     for path in paths:
         fs, local = file_system(path)
         info = fs.get_file_info(local)
-        out |= {path: info.size} if info.is_file else dict(walk(path))
+        if info.is_file:
+            out[path] = info.size
+            continue
+        for found, size in walk(path, suffix):
+            if not any(part[:1] in (".", "_") for part in file_system(found)[1][len(local) :].strip("/").split("/")):
+                out[found] = size
     return sorted(out.items())
 
 
-def numbered_splits(spark: SparkSession, *paths: str, split: int = SPLIT_BYTES) -> DataFrame:
+def numbered_splits(spark: SparkSession, *paths: str, split: int = SPLIT_BYTES, suffix: str = "") -> DataFrame:
     """(session_key, line, text) of the non-blank lines of files and folders; see the module."""
-    files = files_below(*paths)
+    files = files_below(*paths, suffix=suffix)
     large = [x for x in files if x[1] > split]
     feeds: dict[str, list[int]] = {}
     if large:  # a number for each split of a large file comes back
