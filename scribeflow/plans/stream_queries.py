@@ -44,8 +44,8 @@ def _followed(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
-    """Each user's transcript, numbered by splits of 4 KB."""
-    lines = by_name(numbered_splits(spark, transcript_files(spark, sf_dir, harness), split=4096, suffix=".txt"))
+    """Each user's transcript, numbered by splits of 16 KB."""
+    lines = by_name(numbered_splits(spark, transcript_files(spark, sf_dir, harness), split=16_384, suffix=".txt"))
     return flat(parse(lines, harness, Options(permissive=True)).events)
 
 
