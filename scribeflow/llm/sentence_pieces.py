@@ -63,6 +63,7 @@ class Pieces:
     pairs: dict = field(default_factory=dict)
     alone: dict = field(default_factory=dict)
     words: dict = field(default_factory=dict)
+    older: dict = field(default_factory=dict)
     held: int = 0
 
 
@@ -224,11 +225,17 @@ def encode_words(p: Pieces, words: list[str]) -> dict[str, list[int]]:
 def encode(p: Pieces, texts: list[str | None]) -> list[np.ndarray]:
     """Piece ids of each text as int32 arrays."""
     cut = [p.cut.findall((" " if p.prefix else "") + t) if t else [] for t in texts]
-    if p.held > REMEMBER:
-        p.words.clear()
-        p.held = 0
-    fresh = {w for words in cut for w in words if w not in p.words}
-    for w, ids in encode_words(p, list(fresh)).items():
+    if p.held > REMEMBER // 2:  # what hasn't come up since the last turn goes, so that frequent words stay
+        p.older, p.words, p.held = p.words, {}, 0
+    fresh = []
+    for w in {w for words in cut for w in words if w not in p.words}:
+        ids = p.older.get(w)
+        if ids is None:
+            fresh.append(w)
+        else:
+            p.words[w] = ids
+            p.held += 200 + 2 * len(w) + len(ids)
+    for w, ids in encode_words(p, fresh).items():
         p.words[w] = np.array(ids, np.int32).tobytes()
         p.held += 200 + 2 * len(w) + 4 * len(ids)
     get = p.words.__getitem__
@@ -257,6 +264,7 @@ def forget() -> None:
     """Empties what a task remembered; the vocabularies stay."""
     for p in _LOADED.values():
         p.words.clear()
+        p.older.clear()
         p.pairs.clear()
         p.held = 0
 
