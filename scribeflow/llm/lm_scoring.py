@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, mapped
+from .common import Scratch, crc_mod, free_shuffles, mapped
 from .common import slices as pieces_of
 
 ORDER = 5
@@ -430,7 +430,7 @@ def answer(sent: DataFrame, held) -> DataFrame:
                 new[1:] = codes[1:] != codes[:-1]
                 each = model.log10_of(codes[new])[np.cumsum(new) - 1]
                 sums = np.bincount((keys & np.uint64(1023)).astype(np.int64), weights=each, minlength=texts)
-                yield _sent([(shard, _SUMS, batch, n, texts, sums.astype(np.float32).tobytes(), None)])
+                yield _sent([(shard, _SUMS, batch, n, texts, sums.tobytes(), None)])
 
     return mapped(sent, run, _SENT_DDL)
 
@@ -449,7 +449,7 @@ def gather(answers: DataFrame) -> DataFrame:
             for at in range(received.num_rows):
                 kind, a = received.column("kind")[at].as_py(), received.column("a")[at].as_py()
                 if kind == _SUMS:
-                    score += np.frombuffer(a, np.float32)
+                    score += np.frombuffer(a, np.float64)
                     continue
                 if texts is not None:
                     yield out()
@@ -475,11 +475,12 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
     head = {bytes(r["token"]): r["count"] for r in token_counts.orderBy(F.desc("count"), "token").limit(HEAD_TOKENS).collect()}
     held = spark.sparkContext.broadcast((roots, roots.shards(n_shards), head))  # all of bounded size
     del head
-
+    free_shuffles(spark)  # the counts are written
     sent = send_counts(train, held).unionAll(send_texts(docs, held, bottom, ends))
     sent = sent.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "kind", "batch")
     scored = gather(answer(sent, held).repartition("batch").sortWithinPartitions("batch", "kind"))
     scored = scratch.write(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    free_shuffles(spark)
     tail = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("token"), F.col("x.times").alias("times"))
     met = tail.join(token_counts, "token", "left").select("row", "times", F.coalesce("count", F.lit(0)).alias("c"))
     more = met.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(bottom)))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("seen"))
