@@ -39,6 +39,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op8_near_dedup": OP8_SQL,
-    "op11_personal_data": op11_personal_data,
     "op12_lexical_search": OP12_SQL,
 }
