@@ -99,3 +99,9 @@ def test_op12_no_documents(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}), tmp_path / "documents.parquet")
     pq.write_table(pa.table({"item_id": pa.array([1], pa.int64()), "text": pa.array(["stone"], pa.string())}), tmp_path / "benchmark.parquet")
     assert lexical_search.op12_lexical_search(spark, str(tmp_path)).count() == 0
+
+
+def test_sql_is_text():
+    from scribeflow.llm import registry
+
+    assert set(registry.ORACLES) <= set(registry.QUERIES) and all(isinstance(v, str) for v in registry.ORACLES.values())
