@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from fixtures import CLAUDE, jsonl
 
 from scribeflow import cli
@@ -9,6 +10,14 @@ from scribeflow.operators import baselines, drift
 from scribeflow.sources.lines import lines_of
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def categories(spark, texts, base):
     outcomes, _ = drift.scan(lines_of(spark, texts), base)
     return {r.session_key: r.category for r in outcomes.collect()}
