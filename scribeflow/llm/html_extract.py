@@ -1,17 +1,23 @@
 """Main text of web pages by consensus host paths.
 
-Pass 1 scans each page's containers, scores them by the text of their blocks that is neither link nor
-boilerplate, and votes for the generalised path (tags with classes, digits folded) of the best one. Spark
-adds the votes up by host, a page's vote weighing as much as its text, up to ``MOST_VOTE`` characters, so that one
-very long page does not speak for its host. Pass 2 extracts again from all containers on the host's winning path where they
-hold nearly all of the page's text that is not boilerplate, else from them and the page's own best one.
-
-Left out are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and
-reader comments, told by tag, role or words of class and id; headings in an article's own header stay.
-Blocks are cut at block tags and line breaks, in page order, white space in them turned into one space.
+Pass 1 scores each page's containers: every container with text of its own votes on its generalised path (tags
+with classes, digits folded), with the text of its blocks that is prose for it and linked text against it. Spark counts
+on how many different pages of a host each block of a path is found; text that recurs on ``RECURS`` of the path's
+pages, and three at least, votes against it. Copies count as one page: pages are told apart by their three longest blocks.
+Paths on three pages or more win or lose by these votes, and the path with most prose wins in any case.
+
+Pass 2 extracts again, on hosts of ``ENOUGH`` different pages or more. The nearest path around a block that won or lost
+decides; a block below neither is foreign, but on pages that have less than half of their text on winning paths,
+which are of another layout and lose nothing but what is below losing paths. Other hosts' pages stand alone.
+
+Left out before any vote are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden
+parts and reader comments, told by tag, role or words of class and id; headings in an article's own header stay.
+A part whose class sounds like boilerplate, but not like an advert, stays where the host's most prose is in it; on a page that stands alone,
+where most of the page's text is. Text outside ``article`` and ``main`` is left out where these hold most of a page's text.
+No share of the rest is given up. Blocks are cut at block tags and line breaks, in page order, white space in them turned into one space.
 
 Defined results: null or empty html gives the empty text; pages cut anywhere are read up to there; a null
-url is a host of its own; repeated rows are extracted each; other columns are ignored.
+url is of a host without name; repeated rows are extracted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +27,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_batches
 
-#: Hosts up to this many go to every task with their winning path; more are joined by shuffle.
-BROADCAST_HOSTS = 200_000
+#: Rules of up to this many paths go to every task (8 bytes a path and some 100 a host); more are joined by shuffle.
+BROADCAST_PATHS = 200_000
 
 _TAG = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -60,10 +67,10 @@ _GOOD = frozenset("article post entry story content main articlebody body text".
 _KEEP_CLASS = frozenset("html body main".split())
 
 
-#: Most characters that a page's vote for its host's path counts.
-MOST_VOTE = 5000.0
-#: The share of a page's text, without boilerplate, that a container must hold for the rest to be left out.
-NEARLY_ALL = 0.9
+#: Different pages from which on a host's votes count, and pages of a path from which on it wins or loses.
+ENOUGH, HELD = 5, 3
+#: Share of a path's pages from which on a block that they have in common counts as boilerplate.
+RECURS = 0.1
 
 
 class Page:
@@ -71,6 +78,8 @@ class Page:
 
     def __init__(self) -> None:
         self.parent, self.path, self.good = [-1], [""], [False]
+        #: Whether a container is marked as the article or the main part by its tag.
+        self.marked = [False]
         #: Of containers whose class sounds like boilerplate: the next such one around, and the class words.
         self.soft: dict[int, tuple[int, frozenset[str]]] = {}
         #: (container, text, link characters, index of the innermost such container around it or -1)
@@ -190,7 +199,8 @@ def parse(text: str) -> Page:
             at = len(page.parent) - 1
             first = sorted(_DIGITS.sub("#", c.lower()) for c in classes.split())
             page.path.append(page.path[page.parent[at]] + ">" + ".".join([name, *first]))
-            page.good.append(name in ("article", "main") or attributes.get("itemprop") == "articleBody" or (name in ("div", "section") and bool(words & _GOOD)))
+            page.marked.append(name in ("article", "main") or attributes.get("itemprop") == "articleBody")
+            page.good.append(page.marked[at] or (name in ("div", "section") and bool(words & _GOOD)))
         if words & _BOILER and name not in _KEEP_CLASS and name != "article" and not (name in ("h1", "h2", "h3") or own):
             if name in _NAMED:
                 page.soft[at] = (soft, words & _BOILER)
@@ -205,115 +215,147 @@ def parse(text: str) -> Page:
     return page
 
 
-def _above(page: Page, at: int) -> Iterator[int]:
-    while at > 0:
-        yield at
-        at = page.parent[at]
+def _below(page: Page, roots: set[int]) -> list[bool]:
+    """For each container whether it is one of ``roots`` or below one."""
+    inside = [False] * len(page.parent)
+    for i in range(len(inside)):
+        inside[i] = i in roots or (i > 0 and inside[page.parent[i]])
+    return inside
+
+
+def _path_ids(page: Page) -> list[int]:
+    """Signed 64-bit hashes of the containers' generalised paths."""
+    return [_signed(p) for p in page.path]
+
+
+def _signed(text: str) -> int:
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _soft_chain(page: Page, soft: int) -> Iterator[int]:
+    while soft >= 0:
+        yield soft
+        soft = page.soft[soft][0]
+
+
+def _prose(text: str, linked: int) -> int:
+    return max(0, len(text) - linked - linked // 2)
+
+
+Ballot = tuple[int, int | None, int | None, int, int]
 
 
-def _settle(page: Page) -> tuple[list[tuple[int, str]], list[float]]:
-    """Blocks that stay, and each container's weight with all that is below it.
+def ballots(text: str | None) -> list[Ballot]:
+    """What a page votes: (page, path, block, characters, characters of prose) for each of its blocks.
 
-    A part whose class sounds like boilerplate stays if it holds most of the page's text.
+    ``page`` is a hash of its three longest blocks. A row without block stands for the path on the page, one
+    without path and block for the page. Adverts and notices don't vote.
     """
-    total = sum(len(b[1]) for b in page.blocks)
-    held: dict[int, int] = {}
-    article = 0
-    for at, t, _, soft in page.blocks:
-        if soft < 0 and any(page.path[i].rpartition(">")[2].partition(".")[0] in ("article", "main") for i in _above(page, at)):
-            article += 1
-        while soft >= 0:
-            held[soft] = held.get(soft, 0) + len(t)
-            soft = page.soft[soft][0]
-    main = {s for s, size in held.items() if size > 0.6 * total and not article and not page.soft[s][1] & _NEVER}
-
-    def stays(soft: int) -> bool:
-        while soft >= 0:
-            if soft not in main:
-                return False
-            soft = page.soft[soft][0]
-        return True
-
-    kept = [(at, t, link) for at, t, link, soft in page.blocks if soft < 0 or stays(soft)]
-    weight = [0.0] * len(page.parent)
-    for at, t, link in kept:
-        weight[at] += max(0.0, len(t) - 1.5 * link)
-    for i in range(len(weight) - 1, 0, -1):
-        weight[page.parent[i]] += weight[i]
-    return [(at, t) for at, t, _ in kept], weight
-
-
-def _own_best(page: Page, weight: list[float]) -> int:
-    """The container to take where the page stands alone."""
-    children: dict[int, list[int]] = {}
-    for i in range(1, len(page.parent)):
-        children.setdefault(page.parent[i], []).append(i)
-    at = 0
-    while True:
-        below = children.get(at, [])
-        if not below:
-            return at
-        best = max(below, key=lambda i: (weight[i], -i))
-        if weight[best] <= 0:
-            return at
-        # Of a part that sounds like the article nothing is left out, and little of any other.
-        if weight[best] < (weight[at] if page.good[at] else NEARLY_ALL * weight[0]):
-            return at
-        at = best
-
-
-def vote(text: str | None) -> tuple[str, float]:
-    """The path a page votes for, and the weight of its vote; none without text."""
     page = parse(text or "")
-    _, weight = _settle(page)
-    best = _own_best(page, weight)
-    return page.path[best], min(weight[best], MOST_VOTE)
+    ids = _path_ids(page)
+    blocks = [b for b in page.blocks if not any(page.soft[s][1] & _NEVER for s in _soft_chain(page, b[3]))]
+    if not blocks:
+        return []
+    key = _signed("\n".join(sorted((b[1] for b in blocks), key=lambda t: (-len(t), t))[:3]))
+    rows: list[Ballot] = [(key, None, None, 0, 0)]
+    rows += [(key, p, None, 0, 0) for p in {ids[b[0]] for b in blocks}]
+    return rows + [(key, ids[at], _signed(t), len(t), _prose(t, link)) for at, t, link, _ in blocks]
+
+
+class Rules:
+    """What a host's pages decided: paths that won and lost, and the one with most prose."""
 
+    def __init__(self, won: list[int], lost: list[int], most: int) -> None:
+        self.won, self.lost, self.most = frozenset(won), frozenset(lost), most
 
-def extract(text: str | None, path: str | None = None) -> str:
-    """The main text, from the containers on ``path`` alone where they hold nearly all of it."""
+
+def extract(text: str | None, rules: Rules | None = None) -> str:
+    """The main text, by the host's ``rules`` or, without them, by the page alone."""
     page = parse(text or "")
-    blocks, weight = _settle(page)
-    best = _own_best(page, weight)
-    roots = {best}
-    if path is not None:
-        found = {i for i in range(len(page.path)) if page.path[i] == path}
-        article = any(page.good[i] for i in _above(page, best))
-        if not article and sum((weight[i] for i in found), 0.0) >= NEARLY_ALL * weight[0] > 0:
-            roots = found
-        else:
-            roots |= found
-    inside = [False] * len(page.parent)
-    for i in range(len(inside)):
-        inside[i] = i in roots or (i > 0 and inside[page.parent[i]])
-    return "\n".join(t for at, t in blocks if inside[at])
+    total = sum(len(b[1]) for b in page.blocks)
+    marked = _below(page, {i for i, m in enumerate(page.marked) if m})
+    ids = _path_ids(page) if rules else []
+    if rules:
+        main = {s for i, p in enumerate(ids) if p == rules.most for s in _above(page, i) if s in page.soft}
+    else:
+        held: dict[int, int] = {}
+        for _, t, _, soft in page.blocks:
+            for s in _soft_chain(page, soft):
+                held[s] = held.get(s, 0) + len(t)
+        article = any(marked[b[0]] for b in page.blocks if b[3] < 0)
+        main = {s for s, size in held.items() if size > 0.6 * total and not article}
+    main = {s for s in main if not page.soft[s][1] & _NEVER}
+    blocks = [(at, t, link) for at, t, link, soft in page.blocks if all(s in main for s in _soft_chain(page, soft))]
+    if rules:
+        said: list[bool | None] = []
+        for i, p in enumerate(ids):
+            said.append(True if p in rules.won else False if p in rules.lost else said[page.parent[i]] if i else None)
+        blocks = [b for b in blocks if said[b[0]] is not False]
+        if 2 * sum(len(t) for at, t, _ in blocks if said[at]) > sum(len(t) for _, t, _ in blocks):
+            blocks = [b for b in blocks if said[b[0]]]
+    if 2 * sum(_prose(t, link) for at, t, link in blocks if marked[at]) > sum(_prose(t, link) for _, t, link in blocks):
+        blocks = [b for b in blocks if marked[b[0]]]
+    return "\n".join(t for _, t, _ in blocks)
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the generalised path with most votes on each host."""
+def _above(page: Page, at: int) -> Iterator[int]:
+    while at > 0:
+        yield at
+        at = page.parent[at]
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        votes = [vote(t) for t in batch.column("html").to_pylist()]
-        yield {"host": batch.column("host"), "path": [p for p, _ in votes], "weight": [w for _, w in votes]}
 
-    votes = map_batches(pages.select("host", "html"), run, "host string, path string, weight double")
-    totals = votes.where("weight > 0").groupBy("host", "path").agg(F.sum(F.round("weight").cast("long")).alias("weight"))
-    return totals.groupBy("host").agg(F.max_by("path", F.struct("weight", "path")).alias("path"))
+def host_rules(pages: DataFrame) -> DataFrame:
+    """(site, won, lost, most) of each host of ``pages`` (site, html) that has enough different pages.
+
+    Votes are counted by block, then by path and number of pages, so that no group is larger than the different
+    numbers that occur; only a host's paths on three pages or more meet in one row.
+    """
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        out: dict[str, list] = {k: [] for k in ("site", "page", "path", "block", "chars", "prose")}
+        for site, text in zip(batch.column("site").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            for row in ballots(text):
+                for k, v in zip(out, (site, *row), strict=True):
+                    out[k].append(v)
+        yield out
+
+    votes = map_batches(pages, run, "site long, page long, path long, block long, chars long, prose long")
+    once = votes.groupBy("site", "path", "block", "page").agg(F.max("chars").alias("chars"), F.max("prose").alias("prose"))
+    block = once.groupBy("site", "path", "block").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("prose").alias("prose"))
+    level = block.groupBy("site", "path", F.col("block").isNull().alias("mark"), "n").agg(F.sum("chars").alias("chars"), F.sum("prose").alias("prose"))
+    path = level.groupBy("site", "path").agg(
+        F.max(F.when(F.col("mark"), F.col("n"))).alias("pages"), F.sum("prose").alias("prose"), F.collect_list(F.struct("n", "chars", "prose")).alias("levels")
+    )
+    common = F.greatest(F.lit(float(HELD)), F.col("pages") * RECURS)
+    # Prose that doesn't recur is for a path, all its other text against it.
+    balance = F.aggregate("levels", F.lit(0).cast("long"), lambda s, x: s + F.when(x["n"] >= common, -x["chars"]).otherwise(2 * x["prose"] - x["chars"]))
+    path = path.select("site", "path", "pages", "prose", (balance > 0).alias("won"))
+    enough = (F.col("pages") >= HELD) & F.col("path").isNotNull()
+    site = path.groupBy("site").agg(
+        F.max(F.when(F.col("path").isNull(), F.col("pages"))).alias("pages"),
+        F.max_by("path", F.when(F.col("path").isNotNull(), F.struct("prose", "path"))).alias("most"),
+        F.collect_list(F.when(enough & F.col("won"), F.col("path"))).alias("won"),
+        F.collect_list(F.when(enough & ~F.col("won"), F.col("path"))).alias("lost"),
+    )
+    most = F.array("most")
+    return site.where(F.col("pages") >= ENOUGH).select("site", F.array_union("won", most).alias("won"), F.array_except("lost", most).alias("lost"), "most")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     host = F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    paths = Scratch(pages.sparkSession, "hosts").write(host_paths(pages), "paths")
-    if paths.count() <= BROADCAST_HOSTS:
-        paths = F.broadcast(paths)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host).alias("site"))
+    rules = Scratch(pages.sparkSession, "hosts").write(host_rules(pages.select("site", "html")), "rules")
+    if (rules.agg(F.sum(10 + F.size("won") + F.size("lost"))).first()[0] or 0) <= BROADCAST_PATHS:
+        rules = F.broadcast(rules)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = [extract(t, p) for t, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        columns = (batch.column(k).to_pylist() for k in ("html", "won", "lost", "most"))
+        texts = [extract(t, None if won is None else Rules(won, lost, most)) for t, won, lost, most in zip(*columns, strict=True)]
         yield {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return map_batches(pages.join(paths, "host", "left").select("page_id", "url", "html", "path"), run, "page_id long, url string, text string, n_chars long")
+    return map_batches(pages.join(rules, "site", "left").select("page_id", "url", "html", "won", "lost", "most"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,19 +87,68 @@ def test_op2_layouts():
         assert html_extract.extract(page) == want, page
 
 
+def _rules(won, lost=(), most=None):
+    ids = lambda ps: [html_extract._signed(p) for p in ps]
+    return html_extract.Rules(ids(won), ids(lost), ids([most or won[0]])[0])
+
+
 def test_op2_keeps_split_articles():
-    long = [f"Paragraph {i} of the story goes on for quite some words here." for i in range(10)]
+    long = [f"Paragraph {i} of the story goes on for quite some words here." for i in range(20)]
     p = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
-    for left in (3, 4, 6, 7):
+    for left in (3, 9, 12, 19):
         for name in ("a", "story"):
             page = f"<body><nav>menu</nav><div class='{name}'>{p(long[:left])}</div><div class='b'>{p(long[left:])}</div><footer>f</footer></body>"
             assert html_extract.extract(page) == "\n".join(long)
-            for path in (f">body>div.{name}", ">body>div.b", ">body>div.elsewhere"):
-                assert html_extract.extract(page, path) == "\n".join(long), (left, name, path)
+            for won in ([f">body>div.{name}", ">body>div.b"], [">body>div.elsewhere"]):
+                assert html_extract.extract(page, _rules(won)) == "\n".join(long), (left, name, won)
     page = f"<body><div class='main'><section class='body'>{p(long[:3])}</section><section class='more'>{p(long[3:])}</section></div></body>"
-    assert html_extract.extract(page, ">body>div.main>section.body") == "\n".join(long)
+    assert html_extract.extract(page, _rules([">body>div.main>section.body"])) == "\n".join(long)
     page = f"<body><article><div class='x'>{p(long[:9])}</div>{p(long[9:])}</article></body>"
-    assert html_extract.extract(page) == html_extract.extract(page, ">body>article>div.x") == "\n".join(long)
+    assert html_extract.extract(page) == html_extract.extract(page, _rules([">body>article>div.x", ">body>article"])) == "\n".join(long)
+
+
+def test_op2_foreign_paragraphs():
+    long = [f"Paragraph {i} of the story goes on for quite some words here." for i in range(10)]
+    story, foreign = "".join(f"<p>{x}</p>" for x in long), "<p>Something else that is said on the page's edge.</p>" * 3
+    page = f"<body>{foreign}<div class='a'>{story}<div class='z'>Follow our channel</div></div></body>"
+    assert html_extract.extract(page, _rules([">body>div.a"], [">body>div.a>div.z"])) == "\n".join(long)
+    assert html_extract.extract(f"<body>{foreign}<article>{story}</article></body>") == "\n".join(long)
+
+
+def test_op2_votes_decide(spark):
+    """Sites whose class names mean nothing, articles in two containers, among boilerplate that only votes can tell."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    say = lambda n: " ".join(words[k] for k in rng.integers(0, len(words), n))
+    notices = [f"Notice {k}: " + say(12) for k in range(4)]
+    pages, want = [], {}
+    for i in range(60):
+        parts = [say(int(rng.integers(9, 40))) for _ in range(7)]
+        cells = [f"{rng.integers(0, 10)}" for _ in range(2)]
+        links = "".join(f"<a href='/{say(1)}'>{say(4)}</a> " for _ in range(3))
+        html = (
+            f"<body><div class='x1'>All rights are with the makers of this place</div><div class='q7'>{notices[i % 4]}</div>"
+            f"<div class='k{i}'><p>{parts[0]}</p><p>{parts[1]}</p><div class='j'>Read on with us every day</div><p>{parts[2]}</p></div><div class='r'>{links}</div>"
+            f"<div class='m'><p>{parts[3]}</p><p>{parts[4]}</p>{cells[0]}<p>{parts[5]}</p></div><div class='widget'><p>{parts[6]}</p></div></body>"
+        )
+        pages += [(i, f"https://one.example/{i}", html)] * (40 if i == 3 else 1)
+        want[i] = "\n".join([*parts[:5], cells[0], parts[5]])
+    # A host of copies: nothing of the article is lost, however often it is found.
+    pages += [(1000 + i, f"https://two.example/{i}", f"<body><div class='u'><p>{notices[0]}</p><p>{notices[1]}</p></div></body>") for i in range(30)]
+    # An article in a part that sounds like boilerplate, short on one page among much else.
+    for i in range(20):
+        said, aside = say(60 if i else 5), say(4 if i else 40)
+        pages.append((2000 + i, f"https://three.example/{i}", f"<body><div class='widget'><div class='in'>{said}</div></div><div class='ad'>{aside}</div></body>"))
+        want[2000 + i] = said
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("site", F.lit("x")).withColumn("path", F.lit(1)).withColumn("won", F.lit(2))
+    got = rows_of(html_extract.extract_pages(df))
+    texts = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == len(pages) and {k: texts[k] for k in want} == want
+    assert all(texts[1000 + i] == f"{notices[0]}\n{notices[1]}" for i in range(30))
+    alone = {k: html_extract.extract(h) for k, _, h in pages}
+    assert sum(alone[k] != want[k] for k in want) >= 60
+    again = {r["page_id"]: r["text"] for r in rows_of(html_extract.extract_pages(df.repartition(7)))}
+    assert again == texts
 
 
 def test_op2_minority_layouts(spark):
