@@ -3,11 +3,14 @@
 A text's paragraphs are its lines, long lines cut again where the bytes before a space hash to 0, so that
 an edit moves cuts near it only; equal paragraphs count by occurrence. Each paragraph's 64-bit
 digest goes into ``HASHES`` cells of a table: a cell holds how many digests it got, their XOR and the XOR of
-their check hashes. Subtracting two tables leaves the digests that differ; peeling takes them out one
-by one from cells that hold a single one. Where peeling stops early, both tables are built twice as
-large and the difference is taken again, until it succeeds. Likeness is shared digests over all.
+their check hashes. Tables have two cells a paragraph or more, in thirds of a power of two, so that the
+halves of a large one's thirds add up to the smaller one. Subtracting two tables, the larger folded to the other's size, leaves the
+digests that differ; peeling takes them out one by one from cells that hold a single one. Where peeling stops early, both tables are
+built larger and the difference is taken again, until it succeeds. Likeness is shared digests over all.
 
-A fingerprint is the table of ``CELLS`` cells in hexadecimal, after the number of paragraphs.
+A fingerprint is the number of paragraphs, in eight hexadecimal digits, and the table in base 64, all exact. It grows with
+the text (some 55 characters a paragraph on average), so that the fingerprints of a text and of a version of it with
+a third replaced tell their likeness by themselves (``near``); those of texts that share nothing mostly don't.
 
 The next document by descending id is found without a global sort in one task: documents are dealt to
 ranges of the id, and the first of each range is also sent to the range before it.
@@ -20,6 +23,7 @@ document; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +37,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import mapped, mix
 
-CELLS, HASHES = 32, 3
+HASHES = 3
+#: Cells of a third of the smallest table.
+LEAST_THIRD = 16
 #: Bytes of text for each range of ids, and most ranges.
 RANGE_BYTES, MOST_RANGES = 64_000_000, 65_536
 _SPACE = np.zeros(256, bool)
@@ -67,110 +73,130 @@ def paragraphs(raw: bytes) -> np.ndarray:
     return np.unique(mix(np.array(out, np.uint64) ^ mix(np.array(turns, np.uint64))))
 
 
-def _cells(digests: np.ndarray, m: int) -> np.ndarray:
-    """The HASHES cells of each digest, one in each third of the table."""
-    third = np.uint64(m // HASHES)
-    return np.stack([(mix(digests + _SEEDS[k]) % third).astype(np.int64) + k * (m // HASHES) for k in range(HASHES)])
-
-
-def size_for(level: int) -> int:
-    """Cells of a table at a retry level: CELLS rounded to thirds, doubled each time."""
-    return (CELLS // HASHES) * HASHES << level
-
-
-def build(digests: np.ndarray, owner: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of ``n`` owners: counts, XOR of digests, XOR of check hashes; arrays of shape (n, m)."""
-    count, keys, checks = np.zeros(n * m, np.int64), np.zeros(n * m, np.uint64), np.zeros(n * m, np.uint64)
-    check = mix(digests ^ _SALT)
-    for c in _cells(digests, m):
-        at = owner * m + c
-        np.add.at(count, at, 1)
-        np.bitwise_xor.at(keys, at, digests)
-        np.bitwise_xor.at(checks, at, check)
-    return count.reshape(n, m), keys.reshape(n, m), checks.reshape(n, m)
+class Tables:
+    """Tables of several owners, one after the other: counts, XOR of digests, XOR of check hashes by cell."""
+
+    def __init__(self, third: np.ndarray) -> None:
+        self.third = np.asarray(third, np.int64)
+        self.start = np.concatenate(([0], np.cumsum(HASHES * self.third)))
+        n = int(self.start[-1])
+        self.count, self.keys, self.checks = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.third)
+
+    def cells(self, digests: np.ndarray, owner: np.ndarray) -> Iterator[np.ndarray]:
+        """The cell of each digest in each third of its owner's table."""
+        third, start = self.third[owner], self.start[owner]
+        for k in range(HASHES):
+            yield start + k * third + (mix(digests + _SEEDS[k]).astype(np.int64) & (third - 1))
+
+    def add(self, digests: np.ndarray, owner: np.ndarray, times: np.ndarray | int = 1) -> list[np.ndarray]:
+        """Puts digests in; the cells that change."""
+        check = mix(digests ^ _SALT)
+        touched = list(self.cells(digests, owner))
+        for at in touched:
+            np.add.at(self.count, at, times)
+            np.bitwise_xor.at(self.keys, at, digests)
+            np.bitwise_xor.at(self.checks, at, check)
+        return touched
+
+    def put(self, other: Tables, pick: np.ndarray, sign: int) -> None:
+        """Adds the tables ``pick`` of others, each folded to the size of the one here that it is added to."""
+        size = HASHES * other.third[pick]
+        owner = np.repeat(np.arange(len(pick)), size)
+        cell = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        source = np.repeat(other.start[pick], size) + cell
+        wide, third = other.third[pick][owner], self.third[owner]
+        at = self.start[owner] + cell // wide * third + (cell % wide & (third - 1))
+        np.add.at(self.count, at, sign * other.count[source])
+        np.bitwise_xor.at(self.keys, at, other.keys[source])
+        np.bitwise_xor.at(self.checks, at, other.checks[source])
+
+
+def third_for(paragraphs: np.ndarray | int) -> np.ndarray:
+    """Cells of a third of the table for so many paragraphs: a power of two, of two thirds of them or more."""
+    need = np.maximum(LEAST_THIRD, np.asarray(paragraphs, np.float64) / 1.5)
+    return (1 << np.ceil(np.log2(need)).astype(np.int64)).astype(np.int64)
+
+
+def tables(sets: list[np.ndarray], third: np.ndarray | None = None) -> Tables:
+    """A table for each set, of the size its number of paragraphs asks for or of thirds as given."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = Tables(third_for(sizes) if third is None else third)
+    out.add(np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes))
+    return out
 
 
-def peel(count: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def peel(left: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(owner, digest, sign of each recovered difference, whether each owner's table came out empty).
 
-    All owners are peeled together, a layer of single cells a round; the arrays are used up.
+    All owners are peeled together, a layer of single cells a round; the tables are used up.
     """
-    n, m = count.shape
-    count, keys, checks = count.ravel(), keys.ravel(), checks.ravel()
-    owners, digests, signs = [], [], []
-    look = np.flatnonzero(np.abs(count) == 1)
+    owner_of = np.repeat(np.arange(len(left)), HASHES * left.third)
+    owners, digests, signs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    look = np.flatnonzero(np.abs(left.count) == 1)
     while len(look):
-        pure = look[(np.abs(count[look]) == 1) & (mix(keys[look] ^ _SALT) == checks[look])]
+        pure = look[(np.abs(left.count[look]) == 1) & (mix(left.keys[look] ^ _SALT) == left.checks[look])]
         if not len(pure):
             break
         # A digest may be alone in several of its cells; it is taken out once.
-        owner = pure // m
-        _, one = np.unique(np.stack((owner.astype(np.uint64), keys[pure])), axis=1, return_index=True) if len(pure) > 1 else (None, np.array([0]))
-        pure, owner = pure[one], owner[one]
-        d, s = keys[pure].copy(), count[pure].copy()
+        order = np.lexsort((left.keys[pure], owner_of[pure]))
+        pure = pure[order]
+        first = np.ones(len(pure), bool)
+        first[1:] = (left.keys[pure[1:]] != left.keys[pure[:-1]]) | (owner_of[pure[1:]] != owner_of[pure[:-1]])
+        pure = pure[first]
+        owner, d, s = owner_of[pure], left.keys[pure].copy(), left.count[pure].copy()
         owners.append(owner)
         digests.append(d)
         signs.append(s)
-        check = mix(d ^ _SALT)
-        touched = []
-        for c in _cells(d, m):
-            at = owner * m + c
-            np.subtract.at(count, at, s)
-            np.bitwise_xor.at(keys, at, d)
-            np.bitwise_xor.at(checks, at, check)
-            touched.append(at)
-        look = np.unique(np.concatenate(touched))
-    empty = ~((count != 0) | (keys != 0) | (checks != 0)).reshape(n, m).any(1)
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return join(owners, np.int64), join(digests, np.uint64), join(signs, np.int64), empty
-
-
-Table = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def tables(sets: list[np.ndarray], m: int) -> Table:
-    """A table of ``m`` cells for each set."""
-    n = len(sets)
-    return build(np.concatenate(sets) if n else np.zeros(0, np.uint64), np.repeat(np.arange(n), [len(s) for s in sets]), n, m)
+        look = np.unique(np.concatenate(left.add(d, owner, -s)))
+    full = (left.count != 0) | (left.keys != 0) | (left.checks != 0)
+    empty = ~np.logical_or.reduceat(full, left.start[:-1]) if len(left) else np.zeros(0, bool)
+    return np.concatenate(owners), np.concatenate(digests), np.concatenate(signs), empty
 
 
-def subtracted(left: Table, right: Table) -> tuple[np.ndarray, np.ndarray]:
+def subtracted(left: Tables, one: np.ndarray, right: Tables, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each pair of tables how many digests differ, and whether peeling recovered them all."""
-    owner, _, _, empty = peel(left[0] - right[0], left[1] ^ right[1], left[2] ^ right[2])
+    both = Tables(np.minimum(left.third[one], right.third[two]))
+    both.put(left, one, 1)
+    both.put(right, two, -1)
+    owner, _, _, empty = peel(both)
     return np.bincount(owner, minlength=len(empty)), empty
 
 
-def differences(left: list[np.ndarray], right: list[np.ndarray], first: tuple[Table, Table] | None = None) -> np.ndarray:
+def differences(left: list[np.ndarray], right: list[np.ndarray], first: tuple[Tables, np.ndarray, Tables, np.ndarray] | None = None) -> np.ndarray:
     """How many digests differ between the sets of each pair, recovered by subtracting and peeling.
 
-    ``first``: the sets' tables of the first level, where they are there already.
+    ``first``: the sets' tables, and which of them are each pair's, where they are there already.
     """
     n = len(left)
     out = np.zeros(n, np.int64)
-    todo = np.arange(n)
-    level = 0
-    if first and n:
-        found, empty = subtracted(*first)
-        out[empty] = found[empty]
-        todo, level = todo[~empty], 1
+    if not n:
+        return out
+    if first is None:
+        first = tables(left), np.arange(n), tables(right), np.arange(n)
+    found, empty = subtracted(*first)
+    out[empty] = found[empty]
+    todo = np.flatnonzero(~empty)
+    third = 2 * np.minimum(first[0].third[first[1]], first[2].third[first[3]])
+    # Tables much too small for even the difference in size can't be peeled, so they are skipped.
+    gap = np.array([abs(len(x) - len(y)) for x, y in zip(left, right, strict=True)], np.int64)
     while len(todo):
-        m = size_for(level)
-        # Tables much too small for even the difference in size can't be peeled, so they are skipped.
-        gap = np.array([abs(len(left[i]) - len(right[i])) for i in todo])
-        now, later = todo[gap <= m], todo[gap > m]
+        third[todo] = np.maximum(third[todo], third_for(gap[todo] / 2))
+        size = np.cumsum(HASHES * third[todo])
         failed = []
-        step = max(1, 300_000 // m)
-        for at in range(0, len(now), step):
-            part = now[at : at + step]
-            found, empty = subtracted(tables([left[i] for i in part], m), tables([right[i] for i in part], m))
+        for part in np.split(todo, np.flatnonzero(np.diff(size // 300_000)) + 1):
+            pick = np.arange(len(part))
+            found, empty = subtracted(tables([left[i] for i in part], third[part]), pick, tables([right[i] for i in part], third[part]), pick)
             out[part[empty]] = found[empty]
             failed.append(part[~empty])
-        todo = np.concatenate([later, *failed]) if failed else later
-        level += 1
+        todo = np.concatenate(failed)
+        third[todo] *= 2
     return out
 
 
-def likeness(left: list[np.ndarray], right: list[np.ndarray], first: tuple[Table, Table] | None = None) -> np.ndarray:
+def likeness(left: list[np.ndarray], right: list[np.ndarray], first: tuple[Tables, np.ndarray, Tables, np.ndarray] | None = None) -> np.ndarray:
     """Shared digests over all digests of each pair; 1 where both have none."""
     both = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64)
     d = differences(left, right, first)
@@ -180,23 +206,26 @@ def likeness(left: list[np.ndarray], right: list[np.ndarray], first: tuple[Table
 _CELL = np.dtype([("c", ">u4"), ("k", ">u8"), ("h", ">u8")])
 
 
-def fingerprints(table: Table, sizes: list[int]) -> list[str]:
-    """Tables of the first level as text: paragraphs, then count, key and check of every cell, all exact."""
-    cells = np.zeros(table[0].shape, _CELL)
-    cells["c"], cells["k"], cells["h"] = table
-    return [f"{n:08x}" + row.tobytes().hex() for n, row in zip(sizes, cells, strict=True)]
+def fingerprints(table: Tables, sizes: list[int]) -> list[str]:
+    """Tables as text: paragraphs, then count, key and check of every cell, all exact."""
+    cells = np.zeros(len(table.count), _CELL)
+    cells["c"], cells["k"], cells["h"] = table.count, table.keys, table.checks
+    raw, at = cells.tobytes(), (table.start * _CELL.itemsize).tolist()
+    return [f"{n:08x}" + base64.b64encode(raw[a:b]).decode() for n, a, b in zip(sizes, at[:-1], at[1:], strict=True)]
 
 
-def read_fingerprint(text: str) -> tuple[int, Table]:
+def read_fingerprint(text: str) -> tuple[int, Tables]:
     """How many paragraphs a fingerprint has, and its table."""
-    cells = np.frombuffer(bytes.fromhex(text[8:]), _CELL)
-    return int(text[:8], 16), (cells["c"].astype(np.int64)[None], cells["k"].astype(np.uint64)[None], cells["h"].astype(np.uint64)[None])
+    cells = np.frombuffer(base64.b64decode(text[8:]), _CELL)
+    out = Tables(np.array([len(cells) // HASHES]))
+    out.count, out.keys, out.checks = cells["c"].astype(np.int64), cells["k"].astype(np.uint64), cells["h"].astype(np.uint64)
+    return int(text[:8], 16), out
 
 
 def near(left: str, right: str) -> float | None:
     """Likeness of two texts from their fingerprints alone; None where the texts differ in too much for them."""
     (n, one), (m, two) = read_fingerprint(left), read_fingerprint(right)
-    found, empty = subtracted(one, two)
+    found, empty = subtracted(one, np.zeros(1, np.int64), two, np.zeros(1, np.int64))
     return None if not empty[0] else 1.0 if not n + m else float((n + m - found[0]) / (n + m + found[0]))
 
 
@@ -216,17 +245,17 @@ def _compare(ids: list, texts: list[str], follow: str) -> pa.RecordBatch:
     changed = [raw(edited(t, f)) for t, f in zip(texts, after, strict=True)]
     own = [paragraphs(raw(t)) for t in [*texts, follow]]
     other = [paragraphs(c) for c in changed]
-    mine, its = tables(own, size_for(0)), tables(other, size_for(0))
-    head = tuple(x[:-1] for x in mine)
+    mine, its = tables(own), tables(other)
+    at = np.arange(len(texts))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()),
             pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(c).hexdigest() for c in changed]),
-            pa.array(fingerprints(head, [len(x) for x in own[:-1]])),
+            pa.array(fingerprints(mine, [len(x) for x in own])[:-1]),
             pa.array(fingerprints(its, [len(x) for x in other])),
-            pa.array(likeness(own[:-1], other, (head, its))),
-            pa.array(likeness(own[:-1], own[1:], (head, tuple(x[1:] for x in mine)))),
+            pa.array(likeness(own[:-1], other, (mine, at, its, at))),
+            pa.array(likeness(own[:-1], own[1:], (mine, at, mine, at + 1))),
         ],
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
