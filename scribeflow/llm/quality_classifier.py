@@ -5,7 +5,8 @@ vector of +1 and -1, drawn from its hash. The context vector of a word is the su
 its neighbours over the whole corpus; sums are integers, so that their order does not matter. Context
 vectors are kept by 18 bits of the whole word's hash: words that share a bucket share its sum, in which the
 frequent ones weigh most, and the table's size is fixed. A document is the mean of its words' own and
-context vectors. A network with one hidden layer, trained in numpy on at most ``train_rows`` labelled
+context vectors, beside which stand four numbers of its form: the squared length of the sum of its words' vectors,
+its distinct words against its length, its share of words said twice in a row, and its length. A network with one hidden layer, trained in numpy on at most ``train_rows`` labelled
 rows, scores it; a temperature fitted on rows held back from training calibrates the probability.
 
 Labels, lang, source and doc_id are never inputs of a score. Defined results: null and empty texts pool
