@@ -143,3 +143,6 @@ ORACLES: dict[str, str] = {
     **native_queries.ORACLES,
     **stream_queries.ORACLES,
 }
+
+# How sessions are cut changes no result.
+ORACLES |= {f"segmented_{n}": ORACLES[n] for n in ("codex_usage_pool", "claude_fold", "antigravity_fifo", "model_carry_forward")}

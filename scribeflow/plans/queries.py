@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import content_bytes, digest, overlaps_window, truncate_block, version_newer
-from ..operators import acp, drift, interactions, probes, promote, sequence, stats, validate
+from ..operators import acp, drift, interactions, probes, promote, segments, sequence, stats, validate
 from ..sources import detect
 from ..sources.transcripts import parse
 from .bridge import conversation_sessions, event_sessions, native_lines, shaped, text_blocks
@@ -85,21 +85,34 @@ def _loss(kind: str) -> Query:
     return lambda spark, d: acp.acp_loss(conversation_sessions(spark, d).unionByName(event_sessions(spark, d))).where(F.col("loss_type") == kind).groupBy("key").agg(F.sum("value").alias("value"))
 
 
-def codex_usage_pool(spark, d):
+#: Lines in a segment of the queries over cut sessions.
+SEGMENT_LINES = 16
+
+
+def _segmented(query: Callable[..., DataFrame]) -> Query:
+    """A query of sequence operators over sessions cut into segments."""
+    return lambda spark, d: query(spark, d, segments, lambda rows: segments.cut(rows, "seq", SEGMENT_LINES))
+
+
+def _uncut(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def codex_usage_pool(spark, d, ops=sequence, cut=_uncut):
     """Purchases open anchors, clicks and sign-ups close them, views count tokens."""
     e = event_sessions(spark, d)
     opens, closes = F.col("kind") == "assistant_message", F.col("kind").isin("assistant_message", "tool_call", "user_message")
     tokens = F.when(F.col("kind") == "tool_result", F.col("tool_result.tool_call_id").cast("long"))
-    rows = sequence.closing_lines(e.select("session_key", "seq", "kind", tokens.alias("tokens"), opens.alias("o"), closes.alias("c")), F.col("o"), F.col("c"), "seq")
+    rows = ops.closing_lines(cut(e.select("session_key", "seq", "kind", tokens.alias("tokens"), opens.alias("o"), closes.alias("c"))), F.col("o"), F.col("c"), "seq")
     pools = rows.where("tokens is not null and owner_close is not null").groupBy("session_key", "owner_close").agg(F.sum("tokens").alias("tokens"))
     anchors = rows.where("o").select("session_key", "seq", F.coalesce("close_line", F.lit(LONG)).alias("owner_close"))
     return anchors.join(pools, ["session_key", "owner_close"], "left").select("session_key", "seq", F.when(F.col("owner_close") < LONG, F.col("owner_close")).alias("close_seq"), "tokens")
 
 
-def claude_fold(spark, d):
+def claude_fold(spark, d, ops=sequence, cut=_uncut):
     """Runs of results with the same tool id modulo 3 fold; the last purchase text, first and last place stay."""
     e = event_sessions(spark, d).where("kind = 'tool_result'").select("session_key", "seq", (F.col("tool_result.tool_call_id").cast("long") % 3).alias("mid"), F.col("tool_result.tool_call_id").cast("long").alias("usage"))
-    rows = sequence.fold_islands(e, "mid", "seq")
+    rows = ops.fold_islands(cut(e), "mid", "seq")
     return rows.groupBy("session_key", "island", "mid").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max_by("usage", "seq").alias("usage"), F.count("*").alias("n")).withColumn("island", F.col("island").cast("long"))
 
 
@@ -108,18 +121,18 @@ def resumed_folds(spark, d):
     return sequence.resumed_folds(sequence.fold_islands(e, "mid", "seq"), "mid", "seq").select("session_key", "mid", F.col("island").cast("long").alias("island"), "seq")
 
 
-def antigravity_fifo(spark, d):
+def antigravity_fifo(spark, d, ops=sequence, cut=_uncut):
     """Purchases plan as many calls as their id modulo 4, views and errors take them in order."""
     e = event_sessions(spark, d)
     plan, take = F.col("kind") == "assistant_message", F.col("kind") == "tool_result"
     calls = (F.col("assistant_message.usage.input_tokens") % 4).cast("int")
-    rows = sequence.fifo_match(e.select("session_key", "seq", plan.alias("p"), take.alias("t"), calls.alias("n")), F.col("p"), F.col("t"), F.col("n"), "seq")
+    rows = ops.fifo_match(cut(e.select("session_key", "seq", plan.alias("p"), take.alias("t"), calls.alias("n"))), F.col("p"), F.col("t"), F.col("n"), "seq")
     return rows.where("t").select("session_key", "seq", F.col("call_owner").alias("plan_seq"), F.col("call_index").cast("long").alias("call_index"))
 
 
-def model_carry_forward(spark, d):
+def model_carry_forward(spark, d, ops=sequence, cut=_uncut):
     e = event_sessions(spark, d).select("session_key", "seq", F.col("assistant_message.model").alias("model"))
-    return sequence.carry_forward(e, "model", "seq", "model_now").select("session_key", "seq", "model_now")
+    return ops.carry_forward(cut(e), "model", "seq", "model_now").select("session_key", "seq", "model_now")
 
 
 def step_order_sort(spark, d):
@@ -314,6 +327,7 @@ QUERIES: dict[str, Query] = {
     "fetch_compression": fetch_compression,
     "probe_predicates": interactions_predicates,
     "first_claims": first_claims,
+    **{f"segmented_{q.__name__}": _segmented(q) for q in (codex_usage_pool, claude_fold, antigravity_fifo, model_carry_forward)},
     **native_queries.QUERIES,
     **stream_queries.QUERIES,
 }
