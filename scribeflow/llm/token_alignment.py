@@ -9,10 +9,10 @@ after the other, and each distinct word is aligned once for the whole corpus:
 1. Texts are cut into words, in blocks of texts; a block keeps its distinct words once (Arrow).
 2. Each distinct word of the corpus is encoded by both tokenizers (Arrow). All that follows about words is
    relational: ``posexplode`` of the tokens, windowed sums of their lengths, an equi-join on word and end,
-   a running count of the joint ends as group id, and a join on word and group for the links. One exchange
-   by word number serves all of it.
-3. Blocks get their words' links back by a join and say how many documents hold each id pair; counts are
-   summed over blocks. Words get the sums of their links' counts, and blocks add them up by document.
+   a running count of the joint ends as group id, and a join on word that gives each group the range of ids
+   between one joint end and the next; links are the pairs of a group. All of it keeps one partitioning by word number.
+3. Blocks get their words' links back by a join on word numbers and say how many documents hold each id pair;
+   counts are summed over blocks. Words get the sums of their links' counts, and blocks add them up by document.
 
 Exchanges are by word, by word number, by pair and by block; no key is a document's or a source's. A word or
 pair has at most one row a block, which an adaptive sort-merge join can split.
@@ -36,7 +36,7 @@ from itertools import chain, count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, free_shuffles, give_back, mapped
@@ -57,8 +57,8 @@ BLOCKS = "block long, doc_id long, ix array<int>, nth int, word string"
 TOKENS = "word string, bad boolean, a array<struct<id:int,len:int>>, b array<struct<id:int,len:int>>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
-#: Lets joins on (word, end) use a partitioning by word alone.
-CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Lets joins on (word, end) use a partitioning by word alone, and aggregates by word use the order of the joins before them.
+BY_WORD = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true"}
 
 
 def default_pair() -> tuple[str, str]:
@@ -231,54 +231,76 @@ def encode_words(words: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
     return mapped(words.select("word"), _encoder(words.sparkSession.sparkContext.broadcast(files)), TOKENS)
 
 
-def _ends(tokens: DataFrame, side: str) -> DataFrame:
-    """A row for each token of a side with the byte offset where it ends."""
-    rows = tokens.select("w", F.posexplode(side).alias("pos", "token"))
+def _ends(tokens: DataFrame, side: str, n: int) -> DataFrame:
+    """A row for each token of a side: its position and the byte offset where it ends."""
+    sizes = tokens.select("w", F.col(side)["len"].alias("sizes")).repartition(n, "w")
     up_to = Window.partitionBy("w").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("w", F.sum(F.col("token.len").cast("long")).over(up_to).alias("end"), F.col("token.id").alias(side))
+    rows = sizes.select("w", F.posexplode("sizes").alias("pos", "len"))
+    return rows.select("w", F.sum(F.col("len").cast("long")).over(up_to).alias("end"), F.col("pos").alias(f"to_{side}"))
 
 
 def group_tokens(tokens: DataFrame) -> DataFrame:
-    """w, end, a, b, grp: a row for each offset at which a token ends; ``grp`` counts the joint ends before it.
+    """w, grp, a, b: a row for each group of a word, with both sides' ids in order.
 
-    ``tokens``: w (number of the text or word), a and b (arrays of structs of id and len).
+    ``tokens``: w (number of the text or word), a and b (arrays of structs of id and len). The equi-join gives the
+    offsets where both sides end, a running count numbers them, and the ids between one and the next are
+    the range of positions behind the one before. An inner join and windows by w keep the exchange by w.
     """
     n = max(1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    a, b = (_ends(tokens.select("w", side).repartition(n, "w"), side) for side in ("a", "b"))
-    both = a.join(b, ["w", "end"], "full_outer")
-    before = Window.partitionBy("w").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    joint = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
-    return both.select("w", "end", "a", "b", F.coalesce(F.sum(joint).over(before), F.lit(0)).cast("long").alias("grp"))
+    cuts = _ends(tokens, "a", n).join(_ends(tokens, "b", n), ["w", "end"])
+    in_word = Window.partitionBy("w").orderBy("end")
+    since = {side: F.coalesce(F.lag(f"to_{side}").over(in_word), F.lit(-1)).alias(f"from_{side}") for side in ("a", "b")}
+    cuts = cuts.select("w", F.row_number().over(in_word).alias("grp"), "to_a", "to_b", *since.values())
+    ids = tokens.select("w", F.col("a")["id"].alias("ids_a"), F.col("b")["id"].alias("ids_b")).repartition(n, "w")
+
+    def between(side: str) -> Column:
+        return F.slice(f"ids_{side}", F.col(f"from_{side}") + 2, F.col(f"to_{side}") - F.col(f"from_{side}")).alias(side)
+
+    return cuts.join(ids, "w").select("w", "grp", between("a"), between("b"))
+
+
+def _counted(ids: str) -> Column:
+    """The distinct ids of a list, and how often each comes up."""
+    return F.transform(F.array_distinct(ids), lambda x: F.struct(x.alias("id"), F.size(F.filter(ids, lambda y: y == x)).cast("long").alias("n")))
+
+
+def _pairs() -> Column:
+    """Linked ids of a group with their number: pair is a * 2^32 + b."""
+
+    def pair(a: Column, b: Column) -> Column:
+        return (F.shiftleft(a.cast("long"), 32) + b).alias("pair")
+
+    one = F.array(F.struct(pair(F.get("a", F.lit(0)), F.get("b", F.lit(0))), F.lit(1).cast("long").alias("n")))
+    many = F.flatten(F.transform(_counted("a"), lambda x: F.transform(_counted("b"), lambda y: F.struct(pair(x["id"], y["id"]), (x["n"] * y["n"]).alias("n")))))
+    return F.when((F.size("a") == 1) & (F.size("b") == 1), one).otherwise(many)
 
 
 def link_tokens(grouped: DataFrame) -> DataFrame:
-    """w, pair, n: how often tokens a and b share a group; pair is a * 2^32 + b."""
-    a = grouped.where("a is not null").groupBy("w", "grp", "a").agg(F.count("*").alias("n_a"))
-    b = grouped.where("b is not null").groupBy("w", "grp", "b").agg(F.count("*").alias("n_b"))
-    pair = F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")
-    return a.join(b, ["w", "grp"]).groupBy("w", pair.alias("pair")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+    """w, pair, n: how often tokens a and b share a group."""
+    return grouped.select("w", F.explode(_pairs()).alias("x")).groupBy("w", "x.pair").agg(F.sum("x.n").alias("n"))
 
 
-def group_texts(grouped: DataFrame) -> DataFrame:
-    """w, groups (``a1,a2|b1;a3|b2,b3``), n_a, n_b, n_groups."""
+def _texts() -> list[Column]:
+    """Aggregates of a word's groups: their text and sizes."""
+    a, b = (F.array_join(F.col(side).cast("array<string>"), ",") for side in ("a", "b"))
+    listed = F.concat(a, F.lit("|"), b)
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("grp", listed.alias("text"))))["text"], ";")
+    return [text.alias("groups"), F.sum(F.size("a")).alias("n_a"), F.sum(F.size("b")).alias("n_b"), F.count("*").alias("n_groups")]
 
-    def listed(side: str) -> F.Column:
-        held = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
-        return F.array_join(F.transform(held, lambda t: t[side].cast("string")), ",")
 
-    one = grouped.groupBy("w", "grp").agg(F.concat(listed("a"), F.lit("|"), listed("b")).alias("text"), F.count("a").alias("n_a"), F.count("b").alias("n_b"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "text"))), lambda g: g["text"]), ";")
-    return one.groupBy("w").agg(text.alias("groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"))
+def group_texts(grouped: DataFrame) -> DataFrame:
+    """w, groups (``a1,a2|b1;a3|b2,b3``), n_a, n_b, n_groups."""
+    return grouped.groupBy("w").agg(*_texts())
 
 
 def align_words(tokens: DataFrame) -> DataFrame:
-    """w, word, groups (null where the word is bad), n_a, links (pair, n) of rows of ``w, word, bad, a, b``; one exchange by w."""
-    spark = tokens.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grouped = group_tokens(tokens)
-    links = link_tokens(grouped).groupBy("w").agg(F.collect_list(F.struct("pair", "n")).alias("links"), F.sum("n").alias("n_links"))
-    found = tokens.select("w", "word", "bad").repartition(n, "w").join(group_texts(grouped), "w", "left").join(links, "w", "left")
-    return found.select("w", "word", F.when(~F.col("bad"), F.coalesce("groups", F.lit(""))).alias("groups"), F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "links")
+    """w, groups, n_a, n_b, n_groups, n_links, links (pair and n by group) of each word with tokens.
+
+    A pair that several groups of a word hold is in ``links`` once for each.
+    """
+    links = F.flatten(F.collect_list(_pairs()))
+    found = group_tokens(tokens).groupBy("w").agg(*_texts(), links.alias("links"))
+    return found.withColumn("n_links", F.aggregate("links", F.lit(0).cast("long"), lambda total, x: total + x["n"]))
 
 
 def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -368,17 +390,20 @@ def align_documents(docs: DataFrame, files: tuple[str, str] | None = None, group
     rows = cut.where("nth is null").select("block", "doc_id", "ix")
     words = scratch.read("blocks", cut.schema).where("nth is not null").select("block", "nth", "word")
     tokens = scratch.write(encode_words(words.select("word").distinct(), data).withColumn("w", F.monotonically_increasing_id()), "tokens")
-    before = spark.conf.get(CO_PARTITION, "true")
-    spark.conf.set(CO_PARTITION, "false")
+    places = scratch.write(words.join(tokens.select("word", "w", "bad"), "word").select("block", "nth", "w", "bad"), "places")
+    free_shuffles(spark)
+    before = {c: spark.conf.get(c, None) for c in BY_WORD}
+    for c, value in BY_WORD.items():
+        spark.conf.set(c, value)
     try:
         aligned = scratch.write(align_words(tokens), "aligned")
     finally:
-        spark.conf.set(CO_PARTITION, before)
+        for c, value in before.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
     scratch.drop("tokens")
     free_shuffles(spark)
     # The documents that hold each pair, by block and then over all.
-    of_word = aligned.select("word", F.isnull("groups").alias("bad"), F.col("links.pair").alias("pairs"))
-    by_block = words.join(of_word, "word").select("block", "nth", "bad", "pairs")
+    by_block = places.join(aligned.select("w", F.col("links.pair").alias("pairs")), "w", "left").drop("w")
     counts = rows.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_pairs_of_block, "pair long, n long")
     counts = scratch.write(counts.groupBy("pair").agg(F.sum("n").alias("docs")), "counts")
     free_shuffles(spark)
@@ -389,12 +414,11 @@ def align_documents(docs: DataFrame, files: tuple[str, str] | None = None, group
     # What a word adds to its documents.
     told = aligned.select("w", F.explode("links").alias("x")).select("w", "x.pair", "x.n").join(best, "pair")
     told = told.groupBy("w").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
-    of_word = aligned.select("w", "word", "groups", "n_a", "n_links").join(told, "w", "left")
-    of_word = of_word.select("word", "groups", *(F.coalesce(c, F.lit(0)).alias(c) for c in SUMS))
-    by_block = words.join(of_word, "word").drop("word")
+    by_block = places.join(aligned.select("w", "groups", "n_a", "n_links"), "w", "left").join(told, "w", "left")
+    by_block = by_block.select("block", "nth", F.when(~F.col("bad"), F.coalesce("groups", F.lit(""))).alias("groups"), *(F.coalesce(c, F.lit(0)).alias(c) for c in SUMS))
     out = rows.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_docs_of_block(groups), RESULT + ", groups string" * groups)
     out = scratch.write(out, "result")
-    scratch.drop("blocks", "aligned", "counts", "best")
+    scratch.drop("blocks", "places", "aligned", "counts", "best")
     free_shuffles(spark)
     return out
 
