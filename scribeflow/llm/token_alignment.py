@@ -53,7 +53,7 @@ BROADCAST_PAIRS = 1_000_000
 #: (document, word) pairs whose links are told apart at once.
 STEP = 200_000
 
-BLOCKS = "block long, doc_id long, ix array<int>, nth int, word string"
+BLOCKS = "block long, doc_id long, n int, ix binary, nth int, word string"
 TOKENS = "word string, bad boolean, a array<struct<id:int,len:int>>, b array<struct<id:int,len:int>>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -162,9 +162,25 @@ class _Words(dict):
         return found
 
 
+def _packed(ix: np.ndarray) -> bytes:
+    """Numbers of words by byte planes, compressed: most of the upper bytes are alike."""
+    return pa.compress(ix.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words of all documents, one after the other, and where each document's end (from 0)."""
+    sizes = docs.column("n").to_numpy()
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    out = np.empty(ends[-1], np.int32)
+    for i, packed in enumerate(chain.from_iterable(docs.column("ix").chunks)):
+        planes = pa.decompress(packed.as_buffer(), decompressed_size=4 * int(sizes[i]), codec="zstd") if sizes[i] else b""
+        out[ends[i] : ends[i + 1]] = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    return out, ends
+
+
 def _blocks(cut) -> callable:
     """Rows of documents (numbers of their words in order) and of distinct words, by block."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("ix", pa.list_(pa.int32())), ("nth", pa.int32()), ("word", pa.string())])
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("ix", pa.binary()), ("nth", pa.int32()), ("word", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fine = re.compile(cut.value)
@@ -178,13 +194,12 @@ def _blocks(cut) -> callable:
             for at in range(0, len(ids), 2000):
                 some = rows[at : at + 2000]
                 n = len(some)
-                ix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]), pa.int32()), pa.array(np.concatenate(some), pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(ids[at : at + 2000], pa.int64()), ix, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(ids[at : at + 2000], pa.int64()), pa.array(list(map(len, some)), pa.int32()), pa.array(list(map(_packed, some)), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=schema)
             words = list(held.parts)
             for at in range(0, len(words), 50_000):
                 part = words[at : at + 50_000]
                 m = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.nulls(m, pa.int64()), pa.nulls(m, schema.field("ix").type), pa.array(np.arange(at, at + m), pa.int32()), pa.array(part, pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(np.arange(at, at + m), pa.int32()), pa.array(part, pa.string())], schema=schema)
             ids, rows, held, size, number = [], [], _Words(fine), 0, number + 1
 
         for batch in batches:
@@ -318,7 +333,7 @@ def _pairs_of_block(docs: pa.Table, words: pa.Table) -> pa.Table:
     kinds, flat = np.unique(flat, return_inverse=True)
     bad = words.column("bad").to_numpy().astype(bool)
     del words
-    ix, rows = _lists(docs, "ix")
+    ix, rows = _unpacked(docs)
     n, w, k = docs.num_rows, max(len(bad), 1), max(len(kinds), 1)
     total = np.zeros(k, np.int64)
     at = 0
@@ -353,7 +368,7 @@ def _docs_of_block(keep_text: bool) -> callable:
         sums["n_groups"] = np.array([g.count("|") if g else 0 for g in groups], np.int64)
         sums["n_b"] = np.array([g.count(",") if g else 0 for g in groups], np.int64) + 2 * sums["n_groups"] - sums["n_a"]
         del words
-        ix, rows = _lists(docs, "ix")
+        ix, rows = _unpacked(docs)
         out: dict[str, list] = {c: [] for c in sums}
         digests, texts = [], []
         for i in range(docs.num_rows):
@@ -387,7 +402,7 @@ def align_documents(docs: DataFrame, files: tuple[str, str] | None = None, group
     scratch = Scratch(spark, "align")
     fine = spark.sparkContext.broadcast(fine_cut(pieces_of(data[1])))
     cut = scratch.write(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _blocks(fine), BLOCKS), "blocks")
-    rows = cut.where("nth is null").select("block", "doc_id", "ix")
+    rows = cut.where("nth is null").select("block", "doc_id", "n", "ix")
     words = scratch.read("blocks", cut.schema).where("nth is not null").select("block", "nth", "word")
     tokens = scratch.write(encode_words(words.select("word").distinct(), data).withColumn("w", F.monotonically_increasing_id()), "tokens")
     places = scratch.write(words.join(tokens.select("word", "w", "bad"), "word").select("block", "nth", "w", "bad"), "places")
