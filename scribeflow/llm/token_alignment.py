@@ -50,6 +50,8 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCK_CHARS = 32_000_000
 #: Pairs of ids, some 50 bytes each, that may be broadcast.
 BROADCAST_PAIRS = 1_000_000
+#: Rounds in which blocks get their words' groups and sums.
+ROUNDS = 4
 #: (document, word) pairs whose links are told apart at once.
 STEP = 200_000
 
@@ -401,11 +403,14 @@ def align_documents(docs: DataFrame, files: tuple[str, str] | None = None, group
     data = tuple(open(f, "rb").read() for f in files or default_pair())  # read by the driver; executors get the bytes
     scratch = Scratch(spark, "align")
     fine = spark.sparkContext.broadcast(fine_cut(pieces_of(data[1])))
-    cut = scratch.write(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _blocks(fine), BLOCKS), "blocks")
-    rows = cut.where("nth is null").select("block", "doc_id", "n", "ix")
-    words = scratch.read("blocks", cut.schema).where("nth is not null").select("block", "nth", "word")
+    cut = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _blocks(fine), BLOCKS).withColumn("of", F.when(F.isnull("nth"), "docs").otherwise("words"))
+    cut.write.option("compression", "zstd").partitionBy("of").parquet(f"{scratch.path}/blocks")
+    held = cut.drop("of").schema
+    rows = scratch.read("blocks/of=docs", held).select("block", "doc_id", "n", "ix")
+    words = scratch.read("blocks/of=words", held).select("block", "nth", "word")
     tokens = scratch.write(encode_words(words.select("word").distinct(), data).withColumn("w", F.monotonically_increasing_id()), "tokens")
     places = scratch.write(words.join(tokens.select("word", "w", "bad"), "word").select("block", "nth", "w", "bad"), "places")
+    scratch.drop("blocks/of=words")
     free_shuffles(spark)
     before = {c: spark.conf.get(c, None) for c in BY_WORD}
     for c, value in BY_WORD.items():
@@ -429,13 +434,20 @@ def align_documents(docs: DataFrame, files: tuple[str, str] | None = None, group
     # What a word adds to its documents.
     told = aligned.select("w", F.explode("links").alias("x")).select("w", "x.pair", "x.n").join(best, "pair")
     told = told.groupBy("w").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
-    by_block = places.join(aligned.select("w", "groups", "n_a", "n_links"), "w", "left").join(told, "w", "left")
-    by_block = by_block.select("block", "nth", F.when(~F.col("bad"), F.coalesce("groups", F.lit(""))).alias("groups"), *(F.coalesce(c, F.lit(0)).alias(c) for c in SUMS))
-    out = rows.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_docs_of_block(groups), RESULT + ", groups string" * groups)
-    out = scratch.write(out, "result")
-    scratch.drop("blocks", "places", "aligned", "counts", "best")
+    sums = [F.coalesce(c, F.lit(0)).alias(c) for c in SUMS]
+    adds = scratch.write(aligned.select("w", "groups", "n_a", "n_links").join(told, "w", "left").select("w", "groups", *sums), "adds")
+    scratch.drop("aligned", "counts", "best")
+    # Blocks get their words in rounds, so that a share of them is on its way at a time.
+    for k in range(ROUNDS):
+        free_shuffles(spark)
+        here = F.pmod(F.shiftright("block", 32) + F.col("block"), F.lit(ROUNDS)) == k
+        by_block = places.where(here).join(adds, "w", "left")
+        by_block = by_block.select("block", "nth", F.when(~F.col("bad"), F.coalesce("groups", F.lit(""))).alias("groups"), *sums)
+        out = rows.where(here).groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_docs_of_block(groups), RESULT + ", groups string" * groups)
+        scratch.append(out, "result")
+    scratch.drop("blocks", "places", "adds")
     free_shuffles(spark)
-    return out
+    return scratch.read("result", out.schema)
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
