@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import blocks_text
-from ..sources.transcripts import Options, Parsed, parse
+from ..sources.transcripts import Options, Parsed, dealt, parse
 
 #: Tool names that calls go through in turn; the last ones are no tool's own.
 NAMES = {
@@ -23,6 +23,8 @@ _RESULTS = ("RUN_COMMAND", "VIEW_FILE", "LIST_DIRECTORY", "GREP_SEARCH", "SEARCH
 _SKIPS = ("mode", "permission-mode", "ai-title", "last-prompt", "file-history-snapshot", "file-history-delta", "queue-operation")
 #: Seconds of 2026-01-01.
 EPOCH = 1_767_225_600
+#: Events that a task gets, about: their sorts in ``parse`` hold 5 to 17 KB for each.
+TASK_EVENTS = 30_000
 
 
 def _s(text: Column | str) -> Column:
@@ -57,10 +59,16 @@ def _say(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
+def tasks_of(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for the table's sessions, by its rows; these are counted in the files' footers."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").count() // TASK_EVENTS + 1
+
+
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     order = Window.partitionBy("session_key").orderBy("ts", "event_id")
-    e = e.withColumn("session_key", F.col("user_id").cast("string")).select("session_key", F.row_number().over(order).alias("n"), "k", "props", F.col("event_type").alias("t"))
+    e = dealt(e.select(F.col("user_id").cast("string").alias("session_key"), "ts", "event_id", "k", "props", "event_type"), tasks_of(spark, sf_dir))
+    e = e.select("session_key", F.row_number().over(order).alias("n"), "k", "props", F.col("event_type").alias("t"))
     return e.withColumn("r", F.when(F.col("k") % 13 == 5, "skip").when(F.col("k") % 17 == 3, "novel").otherwise(F.col("t")))
 
 
@@ -168,7 +176,7 @@ def rich_lines(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str, harness: str, **options) -> Parsed:
-    return parse(rich_lines(spark, sf_dir, harness), harness, Options(**({"permissive": True} | options)))
+    return parse(rich_lines(spark, sf_dir, harness), harness, Options(**({"permissive": True, "tasks": tasks_of(spark, sf_dir)} | options)))
 
 
 #: Flat columns of an event and their kind in SQL.

@@ -16,7 +16,7 @@ from ..sources.lines import numbered
 from ..sources.registry import parse_with
 from ..sources.transcripts import Options, parse
 from .bridge import event_sessions
-from .native import flat, parsed, rich_lines
+from .native import flat, parsed, rich_lines, tasks_of
 from .native_sql import WITH, X
 from .scratch import written
 
@@ -66,7 +66,7 @@ def parse_errors(spark, d):
 def parse_accounts_for_all_lines(spark, d):
     def one(h: str) -> DataFrame:
         lines = rich_lines(spark, d, h)
-        found = parse(lines, h, Options(permissive=True))
+        found = parse(lines, h, Options(permissive=True, tasks=tasks_of(spark, d)))
         lost = validate.uncovered_lines(lines, found.events, found.skips).groupBy("session_key").agg(F.count("*").alias("lost"))
         good = lines.join(found.errors.select("session_key"), "session_key", "left_anti").groupBy("session_key").agg(F.count("*").alias("lines"))
         return good.join(lost, "session_key", "left").select("session_key", "lines", F.coalesce("lost", F.lit(0)).alias("lost"))
@@ -135,7 +135,7 @@ def native_keep_raw(spark, d):
 @query(f"WITH {WITH['codex']} SELECT kind, count(*) AS n FROM flat WHERE kind <> 'system' GROUP BY kind")
 def native_transforms(spark, d):
     """Through the adapter registry, with a transform over the event table."""
-    found = parse_with(rich_lines(spark, d, "codex"), "codex", Options(permissive=True), promote.resolve(["codex:web-search"], "codex")[0], lambda e: e.where("kind <> 'system'"))
+    found = parse_with(rich_lines(spark, d, "codex"), "codex", Options(permissive=True, tasks=tasks_of(spark, d)), promote.resolve(["codex:web-search"], "codex")[0], lambda e: e.where("kind <> 'system'"))
     return found.events.groupBy("kind").agg(F.count("*").alias("n"))
 
 

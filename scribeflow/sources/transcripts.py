@@ -61,6 +61,8 @@ class Options:
     keep_raw: bool = False
     max_payload_bytes: int = 0
     version_hint: str = ""
+    #: Tasks that sessions are dealt to; ``spark.sql.shuffle.partitions`` if that is more.
+    tasks: int = 0
 
 
 @dataclass
@@ -190,6 +192,15 @@ def cut_payloads(events: DataFrame, most: int) -> DataFrame:
     return events.withColumn("tool_result", F.when(F.col("tool_result").isNull() | F.coalesce("_own", F.lit(False)), F.col("tool_result")).otherwise(cut))
 
 
+def dealt(rows: DataFrame, least: int = 0) -> DataFrame:
+    """Rows by session, in as many tasks as the session says or ``least``.
+
+    A number that is given is kept. Without one, small compressed partitions are put together until a task's sorts hold
+    many times their size.
+    """
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), least), "session_key")
+
+
 def parse(lines: DataFrame, harness: str, options: Options = Options()) -> Parsed:
     """Events, skips and errors of transcripts in one format. ``lines``: session_key, line, text, or raw or
     ``decoded`` ones.
@@ -197,7 +208,7 @@ def parse(lines: DataFrame, harness: str, options: Options = Options()) -> Parse
     A transcript with an error has no events; its first error is reported. Without ``permissive`` a record
     that can't be read is an error; a message resumed after its fold closed always is.
     """
-    rows = (lines if "items" in lines.columns else decoded(lines, harness)).repartition("session_key")
+    rows = dealt(lines if "items" in lines.columns else decoded(lines, harness), options.tasks)
     if "pos" in rows.columns:
         rows = _numbered(rows, harness)
     by = Window.partitionBy("session_key")
