@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators.validate import gaps
 from ..sources.splits import numbered_splits
-from ..sources.transcripts import Options, parse
+from ..sources.transcripts import Options, dealt, parse
 from ..streaming.incremental import follow_log, new_bytes, standing
 from .bridge import event_sessions
-from .native import flat, parsed, rich_lines
+from .native import flat, parsed, rich_lines, tasks_of
 from .native_queries import ORACLES as ORACLES_NATIVE
 from .native_sql import WITH
 from .scratch import folder
@@ -25,8 +25,10 @@ ORACLES: dict = {}
 def transcript_files(spark: SparkSession, sf_dir: str, harness: str) -> str:
     """A new folder with each user's transcript as a file of its own, ``session_key=NAME/part-...``."""
     root = f"{folder(spark)}/transcripts-{uuid.uuid4().hex}"
-    lines = rich_lines(spark, sf_dir, harness).repartition("session_key").sortWithinPartitions("session_key", "line")
-    lines.select("session_key", F.col("text").alias("value")).write.partitionBy("session_key").text(root)
+    lines = dealt(rich_lines(spark, sf_dir, harness), tasks_of(spark, sf_dir)).sortWithinPartitions("session_key", "line")
+    # Tasks put their own files in place; the driver would move them one by one.
+    write = lines.select("session_key", F.col("text").alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    write.partitionBy("session_key").text(root)
     return root
 
 
@@ -46,7 +48,7 @@ def _followed(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
 def _split(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
     """Each user's transcript, numbered by splits of 16 KB."""
     lines = by_name(numbered_splits(spark, transcript_files(spark, sf_dir, harness), split=16_384, suffix=".txt"))
-    return flat(parse(lines, harness, Options(permissive=True)).events)
+    return flat(parse(lines, harness, Options(permissive=True, tasks=tasks_of(spark, sf_dir))).events)
 
 
 def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from .files import Piece, last_line_end, read_piece, walk
 
 #: Bytes of one piece, and bytes of one file in one trigger; the rest follows in later triggers.
 PIECE_BYTES, FILE_BYTES = 4 << 20, 256 << 20
+#: What a task gets at least where pieces are smaller.
+TASK_BYTES = 4 << 20
 
 
 class _Part(InputPartition):
@@ -53,7 +55,7 @@ class GrowingReader(DataSourceStreamReader):
             at = start["files"].get(path, 0)
             while at < to:
                 piece = Piece(path, at, min(to, at + self.piece))
-                if size and size + piece.end - piece.start > self.piece:
+                if size and size + piece.end - piece.start > max(self.piece, TASK_BYTES):
                     parts.append([])
                     size = 0
                 parts[-1].append(piece)

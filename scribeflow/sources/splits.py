@@ -20,7 +20,8 @@ from pyspark.sql.types import StructType
 from .files import Piece, file_system, read_piece, walk
 from .lines import BOM, MAX_LINE_BYTES, TRIM
 
-SPLIT_BYTES = 32 << 20
+#: Bytes of a split, and what a task gets at least where splits are smaller.
+SPLIT_BYTES, TASK_BYTES = 32 << 20, 8 << 20
 LINES = "session_key string, line int, text string"
 COUNTS = "path string, start long, feeds long"
 _BLOCK = 1 << 20
@@ -103,17 +104,22 @@ class SplitReader(DataSourceReader):
         self.counting = options.get("counting", "false") == "true"
         self.head = int(options.get("head", 0))
 
+    def __getstate__(self) -> dict:
+        """What tasks need: the list of files grows with the input and would go to every one of them."""
+        return self.__dict__ | {"files": [], "feeds": {}}
+
     def partitions(self) -> list[InputPartition]:
-        """Splits of large files; small files share one."""
+        """Splits of large files; small files and small splits share a task."""
         parts: list[list] = [[]]
         held = 0
+        most = max(self.split, TASK_BYTES)
         for path, size in self.files:
             known = self.feeds.get(path, [])
             size, cut = (min(size, self.head), size > self.head) if self.head else (size, False)
             before = 0
             for k, start in enumerate(range(0, size, self.split)):
                 end = min(size, start + self.split)
-                if held and held + end - start > self.split:
+                if held and held + end - start > most:
                     parts.append([])
                     held = 0
                 parts[-1].append((path, start, end, size, before, cut))
@@ -122,13 +128,14 @@ class SplitReader(DataSourceReader):
         return [_Part(p) for p in parts]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        if self.counting:
+            n = [sum(read_piece(Piece(path, at, min(end, at + _BLOCK))).count(b"\n") for at in range(start, end, _BLOCK)) for path, start, end, *_ in partition.pieces]
+            paths, starts = ([p[i] for p in partition.pieces] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(starts, pa.int64()), pa.array(n, pa.int64())], names=["path", "start", "feeds"])
+            return
         batch: list[tuple[str, int, str]] = []
         held = 0
         for path, start, end, size, feeds, cut in partition.pieces:
-            if self.counting:
-                n = sum(read_piece(Piece(path, at, min(end, at + _BLOCK))).count(b"\n") for at in range(start, end, _BLOCK))
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start]), pa.array([n])], names=["path", "start", "feeds"])
-                continue
             key = key_of(path)
             for number, text in lines_of_split(path, start, end, size, feeds, cut):
                 batch.append((key, number, text))

@@ -1,9 +1,14 @@
 """Work that grows with the input is dealt to more tasks, not to larger ones."""
 
+import json
+import pickle
+
 import pytest
 from pyspark.sql import functions as F
 
 from scribeflow.plans import native
+from scribeflow.sources.growing import GrowingReader
+from scribeflow.sources.splits import SplitReader
 from scribeflow.sources.transcripts import Options, parse
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +30,22 @@ def test_tables_of_events_go_to_tasks_by_their_rows(spark, monkeypatch, harness)
     assert few.rdd.getNumPartitions() == 4
     assert many.rdd.getNumPartitions() == 1000 // 50 + 1
     assert many.count() == few.count()
+
+
+def test_small_splits_share_tasks_which_get_no_list_of_files():
+    files = [[f"/t/session_key={i}/part-0.txt", 20_000] for i in range(9000)]
+    reader = SplitReader({"files": json.dumps(files), "splitbytes": "16384", "feeds": json.dumps({p: [3, 1] for p, _ in files})})
+    parts = reader.partitions()
+    pieces = [p for part in parts for p in part.pieces]
+    assert len(pieces) == 18_000 and {(p[1], p[2], p[4]) for p in pieces} == {(0, 16_384, 0), (16_384, 20_000, 3)}
+    assert len(parts) <= 9000 * 20_000 // (8 << 20) + 2
+    assert len(pickle.dumps(reader)) < 2000
+
+
+def test_small_pieces_of_growing_files_share_tasks():
+    reader = GrowingReader("/t", ".txt", 65_536, 256 << 20)
+    end = {"files": {f"/t/session_key={i}/part-0.txt": 100_000 for i in range(900)}}
+    parts = reader.partitions({"files": {}}, end)
+    assert sum(len(part.pieces) for part in parts) == 1800
+    assert sum(p.end - p.start for part in parts for p in part.pieces) == 90_000_000
+    assert len(parts) <= 90_000_000 // (4 << 20) + 3
