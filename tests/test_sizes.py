@@ -49,3 +49,16 @@ def test_small_pieces_of_growing_files_share_tasks():
     assert sum(len(part.pieces) for part in parts) == 1800
     assert sum(p.end - p.start for part in parts for p in part.pieces) == 90_000_000
     assert len(parts) <= 90_000_000 // (4 << 20) + 3
+
+
+def test_nested_records_are_not_read_again(monkeypatch):
+    """A member's value is known from the record around it."""
+    from scribeflow.functions import strict_json
+    from scribeflow.sources import decode
+
+    read = []
+    loads = strict_json.loads
+    monkeypatch.setattr(strict_json, "loads", lambda t: read.append(t) or loads(t))
+    line = '{"type":"user","message":{"content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}}'
+    assert decode.claude_code(line)["items"][0]["user_message"]["content"][1]["text"] == "b"
+    assert read == [line]
