@@ -19,13 +19,19 @@ def _some(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
 
-def confidences(text: Column) -> dict[str, Column]:
-    """Confidence 0 to 2 of each format, from the first line as far as it is looked at."""
-    head = F.substring(text.cast("binary"), 1, SNIFF_BYTES).cast("string")
-    whole = F.octet_length(text) <= SNIFF_BYTES
+def probed(first: DataFrame) -> DataFrame:
+    """First lines with ``_head``, ``_ok`` and ``_p``, which ``confidences`` looks at: columns, so that each is made once for a line."""
+    head = F.substring(F.col("text").cast("binary"), 1, SNIFF_BYTES).cast("string")
+    rows = first.withColumn("_head", head)
     # try_parse_json tells malformed lines; the probe reads the few fields that matter.
-    ok = whole & F.try_parse_json(text).isNotNull() & head.startswith("{")
-    p = F.from_json(F.when(ok, text), _PROBE)
+    whole = F.when(F.octet_length("text") <= SNIFF_BYTES, F.col("text"))
+    rows = rows.withColumn("_ok", F.coalesce(F.try_parse_json(whole).isNotNull() & F.col("_head").startswith("{"), F.lit(False)))
+    return rows.withColumn("_p", F.from_json(F.when(F.col("_ok"), F.col("text")), _PROBE))
+
+
+def confidences() -> dict[str, Column]:
+    """Confidence 0 to 2 of each format, from a ``probed`` first line as far as it is looked at."""
+    head, ok, p = F.col("_head"), F.col("_ok"), F.col("_p")
     has = lambda *marks: [head.contains(f'"{m}"') for m in marks]
 
     def every(conditions: list[Column]) -> Column:
@@ -65,8 +71,8 @@ def detect(lines: DataFrame) -> DataFrame:
 
     The header is the file's first line, so a blank one matches nothing.
     """
-    first = lines.where("line = 1")
-    found = confidences(F.col("text"))
+    first = probed(lines.where("line = 1"))
+    found = confidences()
     best = F.greatest(*found.values())
     name = F.lit(None).cast("string")
     for h in reversed(REGISTRY):
