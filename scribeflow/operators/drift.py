@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import LAST_VALIDATED, version_newer
 from ..plans.scratch import written
 from ..sources.detect import REGISTRY, detect
-from ..sources.transcripts import decoded, parse
+from ..sources.transcripts import Options, decoded, parse
 from .validate import uncovered_lines
 
 #: Fixed values: (record type, path) pairs whose string values are part of the vocabulary; ``*`` is any type.
@@ -108,13 +108,13 @@ def report_lines(findings: DataFrame) -> DataFrame:
     return findings.select(_rank().alias("rank"), "record_type", "path", "value", finding_text().alias("line")).orderBy("rank", "record_type", "path", "value").select("line")
 
 
-def scan(lines: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
+def scan(lines: DataFrame, baseline: DataFrame, tasks: int = 0) -> tuple[DataFrame, DataFrame]:
     """Checks transcripts of any mixture of formats: (outcomes, report).
 
     ``lines``: session_key, line, text of all files. Outcomes have a row for each file: session_key, harness, category.
     Report: session_key, rank, line, in order of rank and line within a file. A file's format is detected;
     it is read strictly, every line has to be accounted for, and its vocabulary is held against the baseline.
-    A failure of one file leaves the others alone.
+    A failure of one file leaves the others alone. ``tasks``: as in ``Options``.
     """
     found = written(detect(lines).select("session_key", "harness"), "detected")
     note = lambda df, rank, text: df.select("session_key", F.lit(rank).alias("rank"), text.alias("line"))
@@ -125,7 +125,8 @@ def scan(lines: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
     occurs = {r["harness"] for r in found.select("harness").distinct().collect()}  # a name for each format at most
     for h in (h for h in REGISTRY if h in occurs):
         own = lines.join(found.where(F.col("harness") == h).select("session_key"), "session_key", "left_semi")
-        read = parse(decoded(own, h).persist(), h)
+        # Decoded once; errors, spans and versions each read the few columns that they need.
+        read = parse(written(decoded(own, h), "decoded"), h, Options(tasks=tasks))
         errors = written(read.errors, "errors")
         report = report.unionByName(note(errors, 1, F.format_string("  drift: line %d: %s", "line", "reason")))
         missed = uncovered_lines(own.join(errors.select("session_key"), "session_key", "left_anti"), read.events, read.skips)

@@ -14,7 +14,7 @@ from ..sources import discover
 from ..sources.detect import detect
 from ..sources.lines import numbered
 from ..sources.registry import parse_with
-from ..sources.transcripts import Options, parse
+from ..sources.transcripts import Options, decoded, parse
 from .bridge import event_sessions
 from .native import flat, parsed, rich_lines, tasks_of
 from .native_sql import WITH, X
@@ -65,7 +65,7 @@ def parse_errors(spark, d):
   SELECT h.harness, session_key, n + CASE WHEN h.harness = 'codex' THEN 1 ELSE 0 END AS lines, 0::BIGINT AS lost FROM ok, (SELECT unnest(['antigravity', 'claude-code', 'codex']) AS harness) h""")
 def parse_accounts_for_all_lines(spark, d):
     def one(h: str) -> DataFrame:
-        lines = rich_lines(spark, d, h)
+        lines = written(decoded(rich_lines(spark, d, h), h), "decoded")
         found = parse(lines, h, Options(permissive=True, tasks=tasks_of(spark, d)))
         lost = validate.uncovered_lines(lines, found.events, found.skips).groupBy("session_key").agg(F.count("*").alias("lost"))
         good = lines.join(found.errors.select("session_key"), "session_key", "left_anti").groupBy("session_key").agg(F.count("*").alias("lines"))
@@ -162,7 +162,7 @@ def sink_sessions_json(spark, d):
 
 @query(f"""WITH {WITH["codex"]} SELECT session_key, count(*) AS events, count(*) FILTER (WHERE kind = 'tool_call') AS tool_calls, count(*) FILTER (WHERE kind = 'thinking') AS thinking, string_agg(DISTINCT model, ',' ORDER BY model) FILTER (WHERE model <> '') AS models FROM flat GROUP BY session_key""")
 def sink_stats_json(spark, d):
-    rows = sinks.stats_json(parsed(spark, d, "codex").events)
+    rows = sinks.stats_json(written(parsed(spark, d, "codex").events, "events"))
     models = F.array_join(F.array_sort(F.from_json(F.get_json_object("value", "$.models"), "array<string>")), ",")
     at = lambda p: F.coalesce(F.get_json_object("value", p).cast("long"), F.lit(0))
     return rows.select("session_key", at("$.events").alias("events"), at("$.tool_calls").alias("tool_calls"), at("$.event_counts.thinking").alias("thinking"), models.alias("models"))
@@ -214,7 +214,7 @@ def drift_scan_files(spark, d):
         base = _observed(spark, d, h) if base is None else base.unionByName(_observed(spark, d, h))
     lost = spark.read.parquet(f"{d}/events.parquet").where("event_id % 100 = 7").select(F.concat(F.lit("lost:"), "user_id").alias("session_key")).distinct()
     lines = lines.unionByName(lost.select("session_key", F.lit(1).alias("line"), F.lit("no record").alias("text")))
-    return drift.scan(written(lines, "lines"), written(base, "baseline"))[0]
+    return drift.scan(written(lines, "lines"), written(base, "baseline"), tasks_of(spark, d))[0]
 
 
 def discover_skips() -> tuple[str, ...]:
@@ -454,7 +454,7 @@ def foreign_directories(spark, d):
     CASE WHEN said AND coalesce(ran, false) AND coalesce(e, false) AND coalesce(w, false) AND calls >= 12 THEN 'clean' ELSE 'inconclusive' END AS category FROM s LEFT JOIN t USING (session_key)""")
 def probe_outcomes(spark, d):
     """What sessions were expected to show, and what is missing."""
-    e = parsed(spark, d, "codex").events
+    e = written(parsed(spark, d, "codex").events, "events")
     lacks = {"said": probes.missing_answer(e), "ran": probes.missing_tool_kind(e, "execute"), "tools": probes.missing_tools(e, ("exec", "web_search")), "busy": probes.missing_calls(e, 12)}
     out = probes.outcome(e, *lacks.values())
     for name, rows in lacks.items():
