@@ -457,6 +457,62 @@ def test_op7_unigram_walk_is_the_best_path():
         assert sum(p.score[names[i]] for i in ids) == pytest.approx(best[len(w)])
 
 
+def _op7_model():
+    with open(sentence_pieces.default_model(), "rb") as f:
+        return f.read()
+
+
+def test_op7_words_end_where_no_piece_goes_on(monkeypatch):
+    """A word with marks or digits around it is walked once, whatever they are; every character is in one word."""
+    p = sentence_pieces.load(_op7_model())
+    walked = []
+    walk = sentence_pieces.encode_words
+    monkeypatch.setattr(sentence_pieces, "encode_words", lambda p, words: walked.extend(words) or walk(p, words))
+    stems = [f"{a}{b}" for a in ("stone", "river", "ofanble", "thenreat", "größe") for b in ("ing", "er", "ed", "ly")]
+    texts = [" ".join(f"{a}{s}{b}" for s in stems) for a in ("", "(", '"', "/") for b in (".", ",", ";", "!", "?", ")", '"', "17", "2,")]
+    sentence_pieces.encode(p, texts)
+    assert sum(any(c.isalpha() for c in w) for w in walked) <= 2 * len(stems)  # with and without a space in front
+    for t in (*texts, " \n a  b\n\n c1,234é\t☃▁ж中文日本語한국어  ", "\n", "   "):
+        assert "".join(p.cut.findall(t)) == t
+    assert sentence_pieces.word_cut(["ab", " \n", "1"]).findall(" \nab 1ab") == [" \n", "ab", " 1", "ab"]
+
+
+@pytest.mark.parametrize("limits", [(300_000, 100_000), (40, 40)])
+def test_op7_equals_the_library_on_mixed_characters(monkeypatch, limits):
+    """Pieces, parts of pieces and characters of all kinds in a row, also where the walk's memories are full all the time."""
+    import sentencepiece
+
+    monkeypatch.setattr(sentence_pieces, "REMEMBER_PAIRS", limits[0], raising=False)
+    monkeypatch.setattr(sentence_pieces, "REMEMBER_STEPS", limits[1], raising=False)
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.default_model())
+    p = sentence_pieces.load(_op7_model())
+    rng = np.random.default_rng(7)
+    pieces = sorted(p.ids)
+    odd = ["\n", " ", "  ", "0", "12345", "☃", "中文字", "日本", "\t", "\x00", "'", "—", "ß", "ж", "́", "😀", "…"]
+    texts = []
+    for _ in range(300):
+        parts = [pieces[i][int(rng.integers(0, 2)) :] if rng.random() < 0.7 else odd[i % len(odd)] for i in rng.integers(0, len(pieces), 60)]
+        texts.append("".join(parts))
+    for t, ids in zip(texts, sentence_pieces.encode(p, texts)):
+        assert ids.tolist() == lib.encode(t)
+        assert sentence_pieces.decode(p, ids) == t
+    assert p.pairs <= limits[0] and p.steps <= limits[1]
+
+
+def test_op7_merge_models_with_characters_that_are_no_pieces():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        merged = ["a", "b", "c"]  # in the order of their merges, as such a model is trained
+        while len(merged) < 10:
+            merged += {merged[i] + merged[j] for i, j in rng.integers(0, len(merged), (1, 2))} - set(merged)
+        ids = {w: i for i, w in enumerate(merged[1:])}
+        score = {w: -float(i) for w, i in ids.items()}
+        p = sentence_pieces.Pieces(True, score, ids, [w.encode() for w in ids], [100 + b for b in range(256)], False, 0, max(map(len, ids)), frozenset("abc"), None, {w: -x for w, x in score.items() if len(w) > 1})
+        words = ["".join(w) for n in range(1, 7) for w in itertools.product("abcx", repeat=n)]
+        for w, got in sentence_pieces.encode_words(p, words).items():
+            assert list(got) == [i for m in sentence_pieces.merge(p, w) for i in ([ids[m]] if m in ids else [100 + b for b in m.encode()])]
+
+
 def test_op7_unigram_model_of_real_size(spark):
     """The library's pieces under a unigram score: the walk has to find a path of the library's score."""
     import sentencepiece
