@@ -66,11 +66,19 @@ class Scratch:
     def read(self, name: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
+    def _folders(self, names: tuple[str, ...]) -> Iterator[tuple]:
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            yield path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def make(self, *names: str) -> None:
+        """Folders that a write by partitions leaves out where a partition has no rows; they read as empty tables."""
+        for system, path in self._folders(names):
+            system.mkdirs(path)
+
+    def drop(self, *names: str) -> None:
+        for system, path in self._folders(names):
+            system.delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -405,6 +405,7 @@ def align_documents(docs: DataFrame, files: tuple[str, str] | None = None, group
     fine = spark.sparkContext.broadcast(fine_cut(pieces_of(data[1])))
     cut = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _blocks(fine), BLOCKS).withColumn("of", F.when(F.isnull("nth"), "docs").otherwise("words"))
     cut.write.option("compression", "zstd").partitionBy("of").parquet(f"{scratch.path}/blocks")
+    scratch.make("blocks/of=docs", "blocks/of=words")
     held = cut.drop("of").schema
     rows = scratch.read("blocks/of=docs", held).select("block", "doc_id", "n", "ix")
     words = scratch.read("blocks/of=words", held).select("block", "nth", "word")

@@ -135,6 +135,13 @@ def test_op13_groups_within_a_text(spark):
     assert {(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF, r["n"]) for r in token_alignment.link_tokens(grouped).collect()} == {(7, 4, 2), (8, 5, 1), (8, 6, 1), (9, 5, 1), (9, 6, 1)}
 
 
+def test_op13_documents_without_words(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, None)], "doc_id long, text string")
+    got = Counter((r["doc_id"], tuple(r[c] for c in COLUMNS)) for r in token_alignment.align_documents(docs).collect())
+    assert got == Counter((d, (0, 0, 0, 0, 0, 0, "")) for d in (1, 2, None))
+    assert token_alignment.align_documents(docs.limit(0)).count() == 0
+
+
 def test_op13_fine_cuts_follow_the_pieces():
     import re
 
