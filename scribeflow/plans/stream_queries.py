@@ -16,6 +16,7 @@ from .native import flat, parsed, rich_lines, tasks_of
 from .native_queries import ORACLES as ORACLES_NATIVE
 from .native_sql import WITH
 from .scratch import folder
+from .session_files import write_sessions
 from .views import create_views
 
 QUERIES: dict = {}
@@ -23,12 +24,9 @@ ORACLES: dict = {}
 
 
 def transcript_files(spark: SparkSession, sf_dir: str, harness: str) -> str:
-    """A new folder with each user's transcript as a file of its own, ``session_key=NAME/part-...``."""
+    """A new folder with each user's transcript as a file of its own, ``deal=N/session_key=NAME/part-0.txt``."""
     root = f"{folder(spark)}/transcripts-{uuid.uuid4().hex}"
-    lines = dealt(rich_lines(spark, sf_dir, harness), tasks_of(spark, sf_dir)).sortWithinPartitions("session_key", "line")
-    # Tasks put their own files in place; the driver would move them one by one.
-    write = lines.select("session_key", F.col("text").alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    write.partitionBy("session_key").text(root)
+    write_sessions(dealt(rich_lines(spark, sf_dir, harness), tasks_of(spark, sf_dir)).sortWithinPartitions("session_key", "line"), root)
     return root
 
 

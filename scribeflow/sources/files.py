@@ -51,3 +51,27 @@ def walk(root: str, suffix: str = "") -> Iterator[tuple[str, int]]:
     for info in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
         if info.type == pafs.FileType.File and info.path.endswith(suffix):
             yield prefix + info.path, info.size
+
+
+def below(path: str, suffix: str = "", deep: bool = True) -> Iterator[tuple[str, int, bool]]:
+    """(path, size, whether it is a folder) of a file, or of the files below a folder; nothing for a path that isn't there.
+
+    Below folders, names with a dot or a line in front are passed over, as by Spark's readers. Without ``deep`` the
+    folders in a folder are given instead of what lies in them.
+    """
+    fs, base = file_system(path)
+    info = fs.get_file_info(base)
+    if info.is_file:
+        yield path, info.size, False
+        return
+    prefix = path[: len(path) - len(base)] if "://" in path and path.endswith(base) else ""
+    for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if info.base_name[:1] in (".", "_"):
+            continue
+        if info.type == pafs.FileType.Directory:
+            if deep:
+                yield from below(prefix + info.path, suffix)
+            else:
+                yield prefix + info.path, 0, True
+        elif info.type == pafs.FileType.File and info.path.endswith(suffix):
+            yield prefix + info.path, info.size, False

@@ -6,8 +6,10 @@ import pickle
 import pytest
 from pyspark.sql import functions as F
 
-from scribeflow.plans import native
+from scribeflow.plans import native, session_files
+from scribeflow.sources import splits
 from scribeflow.sources.growing import GrowingReader
+from scribeflow.sources.lines import read_lines
 from scribeflow.sources.splits import SplitReader
 from scribeflow.sources.transcripts import Options, parse
 
@@ -42,6 +44,32 @@ def test_small_splits_share_tasks_which_get_no_list_of_files():
     assert len(pickle.dumps(reader)) < 2000
 
 
+def test_files_below_folders_are_not_listed_in_the_driver(spark, tmp_path, monkeypatch):
+    """Names and line feeds of files stay with tasks, of which the driver knows the numbers."""
+    for i in range(150):
+        (tmp_path / f"a{i % 7}" / f"b{i}").mkdir(parents=True)
+        (tmp_path / f"a{i % 7}" / f"b{i}" / "c.txt").write_text("one\n\ntwo\n" * (i % 9))
+    (tmp_path / "a0" / "_hidden").mkdir()
+    (tmp_path / "a0" / "_hidden" / "c.txt").write_text("no\n")
+    (tmp_path / "a0" / "other.md").write_text("no\n")
+    monkeypatch.setattr(splits, "_load", lambda *a, **k: pytest.fail("a list of files in the driver"))
+    monkeypatch.setattr(splits, "TASK_BYTES", 2000)
+    lines = splits.numbered_splits(spark, str(tmp_path), split=16, suffix=".txt")
+    assert sorted(lines.collect()) == sorted(read_lines(spark, f"{tmp_path}/a*/b*").select("session_key", "line", "text").collect())
+    # Tasks get 2,000 bytes at most and about as much, but for the last one of each of four partitions.
+    size = sum(9 * (i % 9) for i in range(150))
+    assert size // 2000 <= lines.rdd.getNumPartitions() <= size // 1984 + 4
+    assert splits.numbered_splits(spark, str(tmp_path / "a0" / "b0")).count() == 0
+
+
+def test_sessions_are_put_in_place_by_tasks(spark, tmp_path):
+    """Nothing by session comes back to the driver, no job of Spark's own writer runs, and each session is one whole file."""
+    lines = spark.createDataFrame([(k, n, None if n == 3 else f"{k}é{n}") for k in ("1", "22", None) for n in range(5000)], "session_key string, line int, text string")
+    session_files.write_sessions(lines.repartition(3, "session_key").sortWithinPartitions("session_key", "line"), f"file:{tmp_path}/out")
+    found = {f.parent.name: f.read_text() for f in tmp_path.glob("out/deal=0000*/session_key=*/*")}
+    assert found == {f"session_key={k or session_files.NO_KEY}": "".join("\n" if n == 3 else f"{k}é{n}\n" for n in range(5000)) for k in ("1", "22", None)}
+
+
 def test_small_pieces_of_growing_files_share_tasks():
     reader = GrowingReader("/t", ".txt", 65_536, 256 << 20)
     end = {"files": {f"/t/session_key={i}/part-0.txt": 100_000 for i in range(900)}}
