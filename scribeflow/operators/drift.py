@@ -43,15 +43,33 @@ def reached(v: Column, path: str) -> Column:
     return _strings(now)
 
 
-def vocabulary(lines: DataFrame, harness: str, *by: str) -> DataFrame:
-    """Distinct (``by``, harness, record_type, facet, path, value) of ``lines`` (text and ``by``).
+def shaped(lines: DataFrame, harness: str, *by: str) -> tuple[DataFrame, DataFrame]:
+    """(seen, words): distinct (``by``, shape) of ``lines`` (text and ``by``), and the distinct (shape, record_type,
+    facet, path, value) of the vocabulary.
 
-    Facet ``type`` has one row for each record type, ``key`` its keys two levels deep, ``value`` the
-    discriminator values. A line is parsed once; ``distinct`` combines before the shuffle.
+    Two lines are of one shape if their type, their keys and what they have at the discriminators' paths are the same,
+    so that a shape's words are those of any line of it: they are spelled for one text of each shape. ``lines`` is read twice.
     """
+    rows = lines.select(*by, "text", F.try_parse_json("text").alias("v")).withColumn("record_type", _record_type(F.col("v")))
+    at = [reached(F.col("v"), path) for _, path in DISCRIMINATORS[harness]]
+    of = [F.schema_of_variant("v"), F.col("record_type"), *(x for a in at for x in (F.size(a), a))]
+    shape = F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit(1), *of).alias("b"))
+    seen = written(rows.select(*by, shape.alias("shape"), F.xxhash64("text").alias("h")).groupBy(*by, "shape").agg(F.min("h").alias("h")), "shapes")
+    one = written(seen.groupBy("shape").agg(F.min("h").alias("h")), "shape")
+    texts = lines.select("text").join(one.select("h").distinct(), F.xxhash64("text") == F.col("h"), "left_semi").distinct()
+    known = texts.select("text", F.try_parse_json("text").alias("v")).withColumn("record_type", _record_type(F.col("v"))).select("text", "v", shape.alias("shape"))
+    known = known.join(one.select("shape"), "shape", "left_semi").groupBy("shape").agg(F.min("text").alias("text"))
+    return seen.select(*by, "shape"), spelled(known, harness, "shape").distinct()
+
+
+def _record_type(v: Column) -> Column:
+    return F.coalesce(F.nullif(F.get(_strings(F.array(F.try_variant_get(v, "$.type", "variant"))), F.lit(0)), F.lit("")), F.lit(UNTYPED))
+
+
+def spelled(lines: DataFrame, harness: str, *by: str) -> DataFrame:
+    """(``by``, record_type, facet, path, value) of each line of ``lines`` (text and ``by``), which is parsed once."""
     rows = lines.select(*by, F.try_parse_json("text").alias("v")).withColumn("m", _fields(F.col("v")))
-    kind = F.coalesce(F.nullif(F.get(_strings(F.array(F.try_variant_get("v", "$.type", "variant"))), F.lit(0)), F.lit("")), F.lit(UNTYPED))
-    rows = rows.withColumn("record_type", kind)
+    rows = rows.withColumn("record_type", _record_type(F.col("v")))
     entry = lambda facet, path, value: F.struct(F.lit(facet).alias("facet"), F.lit(path).alias("path"), value.alias("value"))
     inner = F.flatten(F.transform(F.map_entries("m"), lambda e: F.concat(F.array(e["key"]), F.coalesce(F.transform(F.map_keys(_fields(e["value"])), lambda s: F.concat(e["key"], F.lit("."), s)), F.array().cast("array<string>")))))
     parts = [F.array(entry("type", "", F.lit(""))), F.transform(F.coalesce(inner, F.array().cast("array<string>")), lambda k: entry("key", "", k))]
@@ -62,7 +80,18 @@ def vocabulary(lines: DataFrame, harness: str, *by: str) -> DataFrame:
         found = found if of == "*" else F.when(F.col("record_type") == of, found)
         parts.append(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: entry("value", path, x)))  # noqa: B023
     out = rows.select(*by, "record_type", F.explode(F.array_distinct(F.concat(*parts))).alias("e"))
-    return out.select(*by, F.lit(harness).alias("harness"), "record_type", "e.facet", "e.path", "e.value").distinct()
+    return out.select(*by, "record_type", "e.facet", "e.path", "e.value")
+
+
+def vocabulary(lines: DataFrame, harness: str, *by: str) -> DataFrame:
+    """Distinct (``by``, harness, record_type, facet, path, value) of ``lines`` (text and ``by``).
+
+    Facet ``type`` has one row for each record type, ``key`` its keys two levels deep, ``value`` the
+    discriminator values.
+    """
+    seen, words = shaped(lines, harness, *by)
+    out = seen.join(words, "shape") if by else words
+    return out.select(*by, F.lit(harness).alias("harness"), "record_type", "facet", "path", "value").distinct()
 
 
 def path_values(rows: DataFrame, path: str) -> DataFrame:
@@ -90,6 +119,20 @@ def drift(baseline: DataFrame, observed: DataFrame, *by: str) -> DataFrame:
     return pick(new_types, F.lit("new_record_type")).unionByName(pick(inner.where("facet <> 'type'"), name)).unionByName(pick(unseen, F.lit("unexercised")))
 
 
+def file_findings(baseline: DataFrame, lines: DataFrame, harness: str) -> tuple[DataFrame, DataFrame]:
+    """``drift`` by session_key in two parts, what is new and what never occurs: shapes are held against the baseline, not lines."""
+    seen, words = shaped(lines, harness, "session_key")
+    words = written(words.withColumn("harness", F.lit(harness)), "words")
+    on = ["harness", "record_type", "facet", "path", "value"]
+    new = drift(baseline, words.select(*on).distinct()).where("finding <> 'unexercised'")
+    facet = F.when(F.col("finding") == "new_record_type", "type").when(F.col("finding") == "new_key", "key").otherwise("value")
+    shapes = words.join(new.withColumn("facet", facet), on).drop("facet")
+    found = ["session_key", "harness", "finding", "record_type", "path", "value"]
+    types = seen.join(words.where("facet = 'type'"), "shape").select("session_key", *on).distinct()
+    unseen = drift(baseline, types, "session_key").where("finding = 'unexercised'")
+    return written(seen.join(shapes, "shape").select(*found).distinct(), "findings"), unseen.select(*found)
+
+
 def finding_text() -> Column:
     return (
         F.when(F.col("finding") == "new_record_type", F.format_string("  drift: the baseline lacks record type %s", "record_type"))
@@ -123,10 +166,11 @@ def scan(lines: DataFrame, baseline: DataFrame, tasks: int = 0) -> tuple[DataFra
     bad = lost.select("session_key", F.lit("exec-error").alias("category"))
     report = report.unionByName(note(found.where("harness is not null"), 0, F.concat_ws(": ", "session_key", "harness")))
     occurs = {r["harness"] for r in found.select("harness").distinct().collect()}  # a name for each format at most
+    known = written(lines.select("session_key", "line", "text").join(found.where("harness is not null"), "session_key"), "known", "harness")
     for h in (h for h in REGISTRY if h in occurs):
-        own = lines.join(found.where(F.col("harness") == h).select("session_key"), "session_key", "left_semi")
+        own = known.where(F.col("harness") == h)
         # Decoded once; errors, spans and versions each read the few columns that they need.
-        read = parse(written(decoded(own, h), "decoded"), h, Options(tasks=tasks))
+        read = parse(written(decoded(own, h, spans=True), "decoded"), h, Options(tasks=tasks))
         errors = written(read.errors, "errors")
         report = report.unionByName(note(errors, 1, F.format_string("  drift: line %d: %s", "line", "reason")))
         missed = uncovered_lines(own.join(errors.select("session_key"), "session_key", "left_anti"), read.events, read.skips)
@@ -136,9 +180,10 @@ def scan(lines: DataFrame, baseline: DataFrame, tasks: int = 0) -> tuple[DataFra
         newer = read.events.where("kind = 'session_meta'").where(F.coalesce(version_newer(version, F.lit(LAST_VALIDATED[h])), F.lit(False)))
         newer = newer.select("session_key", version.alias("version")).unionByName(errors.where("newer").select("session_key", "version"))
         report = report.unionByName(note(newer, 3, F.format_string(f"  note: version %s was not validated; the newest that was is {LAST_VALIDATED[h]}", "version")))
-        findings = written(drift(baseline.where(F.col("harness") == h), written(vocabulary(own, h, "session_key"), "words"), "session_key"), "findings")
-        report = report.unionByName(findings.select("session_key", _rank().alias("rank"), finding_text().alias("line")))
-        for part in (errors, missed, findings.where("finding <> 'unexercised'")):
+        new, unseen = file_findings(baseline.where(F.col("harness") == h), own, h)
+        for part in (new, unseen):
+            report = report.unionByName(part.select("session_key", _rank().alias("rank"), finding_text().alias("line")))
+        for part in (errors, missed, new):
             bad = bad.unionByName(part.select("session_key", F.lit("drift").alias("category")))
     worst_of = F.max(severity(F.col("category")))
     outcomes = found.join(bad.groupBy("session_key").agg(worst_of.alias("s")), "session_key", "left")

@@ -193,28 +193,27 @@ def native_vocabulary(spark, d):
     return drift.vocabulary(rich_lines(spark, d, "claude-code"), "claude-code").where("facet = 'value'").select("record_type", "path", "value")
 
 
-def _observed(spark, d, h: str) -> DataFrame:
-    return drift.vocabulary(rich_lines(spark, d, h).where(F.lower("text").contains('"novel"') == False), h)  # noqa: E712
-
-
 @query(f"""WITH {X} SELECT h || ':' || session_key AS session_key, h AS harness, CASE WHEN bool_or(r = 'novel') THEN 'drift' ELSE 'clean' END AS category FROM x, (SELECT unnest(['antigravity', 'claude-code', 'codex']) AS h)
   WHERE NOT EXISTS (SELECT 1 FROM x f WHERE f.session_key = x.session_key AND f.n = 1 AND f.r IN ('novel', 'skip') AND h <> 'codex') GROUP BY h, session_key
   UNION ALL SELECT 'lost:' || user_id, NULL, 'exec-error' FROM events WHERE event_id % 100 = 7 GROUP BY user_id""")
 def drift_scan_files(spark, d):
     """Files of three formats and of none, scanned together against a baseline of all but the novel records."""
-    lines, base = None, None
-    for h in HARNESSES:
-        own = rich_lines(spark, d, h)
+    from pyspark.sql import Window
+
+    def rich(h: str) -> DataFrame:
         # A first line that is no event may not tell its format; such files are another query's.
         head = F.lower("text").contains('"novel"') | F.get_json_object("text", "$.type").isin("CONVERSATION_HISTORY", *discover_skips())
-        odd = own.where((F.col("line") == 1) & head).select("session_key") if h != "codex" else None
-        own = own if odd is None else own.join(odd, "session_key", "left_anti")
-        own = own.select(F.concat(F.lit(h + ":"), "session_key").alias("session_key"), "line", "text")
-        lines = own if lines is None else lines.unionByName(own)
-        base = _observed(spark, d, h) if base is None else base.unionByName(_observed(spark, d, h))
+        odd = F.max(F.when(F.col("line") == 1, head)).over(Window.partitionBy("session_key")) if h != "codex" else F.lit(False)
+        return rich_lines(spark, d, h).select(F.concat(F.lit(h + ":"), "session_key").alias("session_key"), "line", "text", F.coalesce(odd, F.lit(False)).alias("odd"))
+
     lost = spark.read.parquet(f"{d}/events.parquet").where("event_id % 100 = 7").select(F.concat(F.lit("lost:"), "user_id").alias("session_key")).distinct()
-    lines = lines.unionByName(lost.select("session_key", F.lit(1).alias("line"), F.lit("no record").alias("text")))
-    return drift.scan(written(lines, "lines"), written(base, "baseline"), tasks_of(spark, d))[0]
+    lost = lost.select("session_key", F.lit(1).alias("line"), F.lit("no record").alias("text"), F.lit(False).alias("odd"), F.lit("").alias("harness"))
+    lines = written(_all(rich).unionByName(lost), "lines", "harness")
+    base = None
+    for h in HARNESSES:
+        own = drift.vocabulary(lines.where((F.col("harness") == h) & ~F.lower("text").contains('"novel"')), h)
+        base = own if base is None else base.unionByName(own)
+    return drift.scan(lines.where("not odd").select("session_key", "line", "text"), written(base, "baseline"), tasks_of(spark, d))[0]
 
 
 def discover_skips() -> tuple[str, ...]:

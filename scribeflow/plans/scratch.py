@@ -23,9 +23,9 @@ def folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` from a new table in that folder."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` from a new table in that folder, in a folder of its own for each value of ``by``."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

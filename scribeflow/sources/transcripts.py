@@ -88,8 +88,16 @@ class TranscriptError(ValueError):
 _RAW = T.StructType([*(f for f in _RECORD.fields if f.name != "line"), T.StructField("block", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("marked", T.StringType())])
 
 
-def decoded(lines: DataFrame, harness: str) -> DataFrame:
-    """One row for each line with what its decoder says.
+def _spans(r: dict) -> dict:
+    """What a record's errors, skips, versions and the lines of its events depend on."""
+    r["items"] = [{"kind": e["kind"]} for e in r["items"]]
+    if r.get("fold"):
+        r["fold"] = {"message_id": r["fold"].get("message_id")}
+    return r | {"text": None, "pool": None}
+
+
+def decoded(lines: DataFrame, harness: str, spans: bool = False) -> DataFrame:
+    """One row for each line with what its decoder says. ``spans``: without texts and what is in the events.
 
     Raw lines (block, pos, value) keep their places. As their numbers aren't known yet, a byte-order mark in
     front is taken off, and ``marked`` is the problem that the line has if it is not the first.
@@ -112,7 +120,8 @@ def decoded(lines: DataFrame, harness: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 rows = batch.slice(at, 2000).to_pylist()
-                yield pa.RecordBatch.from_pylist([place(r) if raw else one(r["text"], r["line"]) | r for r in rows], schema=schema)
+                out = (place(r) if raw else one(r["text"], r["line"]) | r for r in rows)
+                yield pa.RecordBatch.from_pylist([_spans(r) if spans else r for r in out], schema=schema)
 
     return lines.select(*(("session_key", "block", "pos", "value") if raw else ("session_key", "line", "text"))).mapInArrow(run, kind)
 
