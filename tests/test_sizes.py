@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribeflow.plans import native, session_files
+from scribeflow.plans.stream_queries import by_name, transcript_files
 from scribeflow.sources import splits
 from scribeflow.sources.growing import GrowingReader
 from scribeflow.sources.lines import read_lines
@@ -70,6 +71,18 @@ def test_sessions_are_put_in_place_by_tasks(spark, tmp_path):
     assert found == {f"session_key={k or session_files.NO_KEY}": "".join("\n" if n == 3 else f"{k}é{n}\n" for n in range(5000)) for k in ("1", "22", None)}
 
 
+def test_transcripts_pass_by_no_list_of_files(spark, monkeypatch):
+    """What ``split_events_claude`` writes and reads again: whole lines, by tasks' folders, without a list in the driver."""
+    monkeypatch.setattr(splits, "_load", lambda *a, **k: pytest.fail("a list of files in the driver"))
+    root = transcript_files(spark, SF, "claude-code")
+    lines = by_name(splits.numbered_splits(spark, root, split=16_384, suffix=".txt"))
+    want = native.rich_lines(spark, SF, "claude-code")
+    assert sorted(lines.select("session_key", "line", "text").collect()) == sorted(want.collect())
+    files = [r["path"].rsplit("/", 3)[1:] for r in splits.files_below(spark, root).collect()]
+    assert len(files) == want.select("session_key").distinct().count()
+    assert all(deal.startswith("deal=") and name == "part-0.txt" for deal, _, name in files)
+
+
 def test_small_pieces_of_growing_files_share_tasks():
     reader = GrowingReader("/t", ".txt", 65_536, 256 << 20)
     end = {"files": {f"/t/session_key={i}/part-0.txt": 100_000 for i in range(900)}}
